@@ -39,9 +39,11 @@ class Model:
     bias: float
     weight: dict[str, float]
 
+    def g(self, words: set[str]) -> float:
+        return self.bias + sum(map(self.weight.__getitem__, self.weight.keys() & words))
+
     def score(self, text: str | None) -> float:
-        g = self.bias + sum(map(self.weight.__getitem__, self.weight.keys() & words_of(text)))
-        return 1 / (1 + math.exp(-min(50.0, max(-50.0, g))))
+        return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.g(words_of(text))))))
 
 
 class Rows:
@@ -93,10 +95,17 @@ def without_copies(texts: list[set[str]]) -> list[set[str]]:
     return out
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 5, share: float = 0.03, lift: float = 3.0) -> Model:
+def turning_point(g_pos: list[float], g_unl: list[float], bias: float, prior: float) -> float:
+    """The g above which as many unlabelled texts lie as the prior leads to expect with a mark: prior times the marked share of the positives."""
+    marked = float(np.mean(np.array(g_pos) > bias + 0.05))
+    return max(bias + 0.1, float(np.quantile(g_unl, 1 - prior * marked, method="higher")))
+
+
+def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 4, share: float = 0.006, lift: float = 4.0, sure: float = 5.0) -> Model:
     """Weights of the words that mark the positives: at least `share` of them (and `least` texts) have the word,
-    and `lift` times the share of the unlabelled texts that do. Copies count once, so that a text that is
-    repeated can't make its words marks. Without positives every score is the prior's.
+    `lift` times the share of the unlabelled texts that do, and `sure` standard deviations more than chance.
+    Copies count once, so that a text that is repeated can't make its words marks. Without positives every
+    score is the prior's.
     """
     pos, unl = (without_copies([words_of(t) for t in sorted(set(x))]) for x in (positive, unlabelled))
     prior = min(max(prior, 1e-3), 0.9)
@@ -104,12 +113,17 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 5
     if not pos or not unl:
         return Model(bias, {})
     seen, there = Counter(w for t in pos for w in t), Counter(w for t in unl for w in t)
-    marks = sorted(w for w, n in seen.items() if n >= max(least, share * len(pos)) and n / len(pos) >= lift * there[w] / len(unl))
+    chance = {w: len(pos) * (there[w] + 0.5) / len(unl) for w in seen}
+    marks = sorted(w for w, n in seen.items() if n >= max(least, share * len(pos)) and n >= lift * chance[w] and n >= chance[w] + sure * math.sqrt(chance[w]))
     if not marks:
         return Model(bias, {})
     number = {x: i for i, x in enumerate(marks)}
     b, w = descend(Rows(pos, number), Rows(unl, number), prior)
-    return Model(float(b), dict(zip(marks, w.tolist(), strict=True)))
+    model = Model(float(b), dict(zip(marks, w.tolist(), strict=True)))
+    # moved so that the turning point has the score 0.7, which predictions go by
+    at = turning_point([model.g(t) for t in pos], [model.g(t) for t in unl], model.bias, prior)
+    model.bias += math.log(0.7 / 0.3) - at + 1e-6
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1500, most_unlabelled: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -120,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1500, most_un
     by_hash = (F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id")
     # twice as many: some labels may have no document
     pos = told.where("label = 1").orderBy(*by_hash).limit(2 * most_positive).select("id")
-    ids = docs.where(F.col(text_col).isNotNull() & (crc32_of_id(id_col) % 3 != 1)).select(F.col(id_col).alias("id"))
-    unl = ids.join(told.where("label = 1"), "id", "left_anti").orderBy(*by_hash).limit(most_unlabelled)
+    # the unlabelled texts are a sample of all, the confirmed ones among them, so that the prior is theirs
+    unl = docs.where(F.col(text_col).isNotNull() & (crc32_of_id(id_col) % 3 != 1)).select(F.col(id_col).alias("id")).orderBy(*by_hash).limit(most_unlabelled)
     chosen = broadcast_if_small(pos.withColumn("kind", F.lit(1)).unionByName(unl.withColumn("kind", F.lit(0))).distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(chosen, "id").orderBy(*by_hash, "text").collect()
