@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, secrets, simhash
+from . import decontam, langid, mpegts, packing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -14,10 +14,18 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.media_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_decontamination, op6_secrets, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_mpegts, op3_decontamination, op4_toxicity, op6_secrets, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

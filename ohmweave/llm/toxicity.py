@@ -95,15 +95,29 @@ def without_copies(texts: list[set[str]]) -> list[set[str]]:
     return out
 
 
-def turning_point(g_pos: list[float], g_unl: list[float], bias: float, prior: float) -> float:
-    """The g above which as many unlabelled texts lie as the prior leads to expect with a mark: prior times the marked share of the positives."""
-    marked = float(np.mean(np.array(g_pos) > bias + 0.05))
-    return max(bias + 0.1, float(np.quantile(g_unl, 1 - prior * marked, method="higher")))
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 4, share: float = 0.006, lift: float = 4.0, sure: float = 5.0) -> Model:
+def calibrated(model: Model, g_pos: list[float], g_unl: list[float], prior: float, threshold: float = 0.7) -> Model:
+    """The model with g mapped linearly so that its scores are chances of toxicity at two points.
+
+    A text without a mark has the chance that the prior leaves for such. The turning point has the threshold:
+    as many unlabelled texts lie above it as the prior and the marked share of the positives let expect, but
+    it is not below three quarters of a typical mark's weight.
+    """
+    marked = min(0.999, float(np.mean(np.array(g_pos) > model.bias + 0.05)))
+    typical = float(np.median([w for w in model.weight.values() if w > 0] or [1.0]))
+    at = max(0.75 * typical, float(np.quantile(g_unl, 1 - prior * marked)) - model.bias)
+    none = logit(max(1e-4, prior * (1 - marked) / (1 - prior * marked)))
+    slope = (logit(threshold) - none) / at
+    return Model(none + 1e-9, {w: v * slope for w, v in model.weight.items()})
+
+
+def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 4, share: float = 0.006, lift: float = 4.0) -> Model:
     """Weights of the words that mark the positives: at least `share` of them (and `least` texts) have the word,
-    `lift` times the share of the unlabelled texts that do, and `sure` standard deviations more than chance.
+    `lift` times the share of the unlabelled texts that do, and more often than the commonest of as many words
+    would by chance (a Poisson tail).
     Copies count once, so that a text that is repeated can't make its words marks. Without positives every
     score is the prior's.
     """
@@ -114,16 +128,15 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 4
         return Model(bias, {})
     seen, there = Counter(w for t in pos for w in t), Counter(w for t in unl for w in t)
     chance = {w: len(pos) * (there[w] + 0.5) / len(unl) for w in seen}
-    marks = sorted(w for w, n in seen.items() if n >= max(least, share * len(pos)) and n >= lift * chance[w] and n >= chance[w] + sure * math.sqrt(chance[w]))
+    tried = sum(n >= least for n in seen.values())
+    unlikely = lambda n, c: n * math.log(n / c) - (n - c) >= math.log(tried)
+    marks = sorted(w for w, n in seen.items() if n >= max(least, share * len(pos), lift * chance[w]) and unlikely(n, chance[w]))
     if not marks:
         return Model(bias, {})
     number = {x: i for i, x in enumerate(marks)}
     b, w = descend(Rows(pos, number), Rows(unl, number), prior)
     model = Model(float(b), dict(zip(marks, w.tolist(), strict=True)))
-    # moved so that the turning point has the score 0.7, which predictions go by
-    at = turning_point([model.g(t) for t in pos], [model.g(t) for t in unl], model.bias, prior)
-    model.bias += math.log(0.7 / 0.3) - at + 1e-6
-    return model
+    return calibrated(model, [model.g(t) for t in pos], [model.g(t) for t in unl], prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1500, most_unlabelled: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
