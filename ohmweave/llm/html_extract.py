@@ -210,7 +210,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for every row of pages.
 
     Null, empty and text-free html give an empty text. Rows with a null url share one host. Truncated pages are
-    read to their end; a tag cut off there is dropped. Repeated rows get a row each. An empty table gives an
+    read to their end; a tag cut off there is dropped. A quote that never closes ends with its tag. Repeated rows get a row each. An empty table gives an
     empty result. Other columns of pages are not looked at.
     """
     winners = broadcast_if_small(stored(host_paths(pages, url_col, html_col).select("host", "path"), "host-paths"))

@@ -245,8 +245,8 @@ def label_words(model: Model, texts: list[str | None], cache: dict[str, int], ta
     cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
     for at in range(0, len(new), 50_000):
         table[0] = np.concatenate([table[0], model.emissions(new[at : at + 50_000])])
-    if not flat:
-        return cut, np.empty((0, len(model.labels))), ends
+    if not flat or not model.labels:
+        return cut, np.empty((len(flat), len(model.labels))), ends
     score = table[0][np.fromiter(map(cache.__getitem__, flat), dtype=np.int64, count=len(flat))]
     fresh = np.zeros(len(flat), dtype=bool)
     starts = np.r_[0, ends[:-1]]
