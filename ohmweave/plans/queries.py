@@ -37,14 +37,15 @@ def text(prefix: str, c: str) -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-NO_PULSE = F.lit(None).cast(wf.PULSE)
+def no_pulse() -> Column:
+    return F.lit(None).cast(wf.PULSE)
 
 
 def line_parts(spark, sf_dir, kind: str, circuit: Column, value: Column) -> DataFrame:
     """Every line item as a component between its part and its supplier."""
     li = table(spark, sf_dir, "lineitem")
     name = F.concat(F.lit(kind), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
-    return li.select(circuit.alias("circuit"), F.lit(kind).alias("kind"), name.alias("name"), text("p", "l_partkey").alias("node1"), text("s", "l_suppkey").alias("node2"), value.cast("double").alias("value"), NO_PULSE.alias("pulse"))
+    return li.select(circuit.alias("circuit"), F.lit(kind).alias("kind"), name.alias("name"), text("p", "l_partkey").alias("node1"), text("s", "l_suppkey").alias("node2"), value.cast("double").alias("value"), no_pulse().alias("pulse"))
 
 
 def seconds(ts: str = "ts") -> Column:
@@ -148,7 +149,7 @@ def q09_short_circuits(spark, sf_dir):
 round(abs(s_acctbal) / l_quantity, 9) as value from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal <> 0""")
 def q10_norton(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    v = s.select(F.lit("all").alias("circuit"), F.lit("v").alias("kind"), text("v", "s_suppkey").alias("name"), text("s", "s_suppkey").alias("node1"), F.lit("0").alias("node2"), F.col("s_acctbal").alias("value"), NO_PULSE.alias("pulse"))
+    v = s.select(F.lit("all").alias("circuit"), F.lit("v").alias("kind"), text("v", "s_suppkey").alias("name"), text("s", "s_suppkey").alias("node1"), F.lit("0").alias("node2"), F.col("s_acctbal").alias("value"), no_pulse().alias("pulse"))
     out = netlist.norton(line_parts(spark, sf_dir, "r", F.lit("all"), F.col("l_quantity")).unionByName(v))
     return out.where("kind = 'i'").select("name", "node1", "node2", r("value", 9).alias("value"))
 
@@ -160,7 +161,7 @@ union all select 'r' || l_orderkey || '_' || l_linenumber, 'a', case when l_retu
 def q11_series_capacitors(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     circuit = F.col("l_orderkey").cast("string").alias("circuit")
-    make = lambda df, kind, name, a, b: df.select(circuit, F.lit(kind).alias("kind"), name.alias("name"), a.alias("node1"), b.alias("node2"), F.lit(1.0).alias("value"), NO_PULSE.alias("pulse"))
+    make = lambda df, kind, name, a, b: df.select(circuit, F.lit(kind).alias("kind"), name.alias("name"), a.alias("node1"), b.alias("node2"), F.lit(1.0).alias("value"), no_pulse().alias("pulse"))
     orders = li.select("l_orderkey").distinct()
     res = make(li, "r", F.concat(text("r", "l_orderkey"), F.lit("_"), F.col("l_linenumber").cast("string")), F.lit("a"), F.when(F.col("l_returnflag") == "N", "0").otherwise("x"))
     parts = res.unionByName(make(orders, "r", text("b", "l_orderkey"), F.lit("b"), F.lit("0"))).unionByName(make(orders, "c", text("c", "l_orderkey"), F.lit("a"), F.lit("b")))
@@ -171,7 +172,7 @@ def q11_series_capacitors(spark, sf_dir):
 select c_nationkey::varchar circuit, 'c' || c_custkey node, round(a, 3) as value from customer join m on n = c_nationkey where not exists (select 1 from u where u.c_custkey = customer.c_custkey)""")
 def q12_missing_capacitors(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    make = lambda df, kind, name, value: df.select(F.col("c_nationkey").cast("string").alias("circuit"), F.lit(kind).alias("kind"), name.alias("name"), text("c", "c_custkey").alias("node1"), F.lit("0").alias("node2"), value.alias("value"), NO_PULSE.alias("pulse"))
+    make = lambda df, kind, name, value: df.select(F.col("c_nationkey").cast("string").alias("circuit"), F.lit(kind).alias("kind"), name.alias("name"), text("c", "c_custkey").alias("node1"), F.lit("0").alias("node2"), value.alias("value"), no_pulse().alias("pulse"))
     caps = make(o.where("o_orderpriority = '1-URGENT'").join(c, o.o_custkey == c.c_custkey), "c", text("c", "o_orderkey"), F.col("o_totalprice"))
     parts = make(c, "r", text("r", "c_custkey"), F.lit(1.0)).unionByName(caps)
     return netlist.fill_capacitors(parts).where("name like 'c_filled_%'").select("circuit", F.col("node1").alias("node"), r("value", 3).alias("value"))
@@ -367,7 +368,8 @@ def chains(spark, sf_dir) -> DataFrame:
     return rows.join(g, "c_custkey").select(F.col("c_custkey").cast("string").alias("circuit"), "g", c.alias("c"), "c_acctbal")
 
 
-NO_FORCING = F.lit(None).cast(f"array<struct<node:string,dc:double,pulses:array<{wf.PULSE}>>>").alias("b")
+def no_forcing() -> Column:
+    return F.lit(None).cast(f"array<struct<node:string,dc:double,pulses:array<{wf.PULSE}>>>").alias("b")
 
 
 @registered("""with g as (select c_custkey, c_acctbal b, 2 + c_custkey % 6 n from customer), i as (select *, unnest(range(n)) i from g)
@@ -383,7 +385,7 @@ s as (select *, unnest(range(9)) step from v)
 select c_custkey::varchar circuit, step, step / 8.0::double as time, round(sum(w * ((1 - l / 16) / (1 + l / 16)) ** step), 8) as value from s group by all""")
 def q33_trapezoid(spark, sf_dir):
     x0 = F.transform("c", lambda e: e).alias("x0")
-    asked = chains(spark, sf_dir).select("circuit", "g", "c", NO_FORCING, x0, F.lit("n0").alias("node"), F.lit(1.0).alias("tstop"), F.lit(8).alias("steps"))
+    asked = chains(spark, sf_dir).select("circuit", "g", "c", no_forcing(), x0, F.lit("n0").alias("node"), F.lit(1.0).alias("tstop"), F.lit(8).alias("steps"))
     return stepper.transients(asked, "cg").select("circuit", "step", "time", r("value", 8).alias("value"))
 
 
@@ -510,7 +512,7 @@ def q41_step_sweep(spark, sf_dir):
     one = lambda v: F.array(F.struct(F.lit("n").alias("node"), v.alias("value")))
     name = F.concat_ws("/", F.col("c_custkey").cast("string"), F.col("steps").cast("string"))
     g = F.array(F.struct(F.lit("n").alias("row"), F.lit("n").alias("col"), F.col("rate").alias("value"))).alias("g")
-    asked = c.select(name.alias("circuit"), g, one(F.lit(1.0)).alias("c"), NO_FORCING, one(F.lit(1.0)).alias("x0"), F.lit("n").alias("node"), F.lit(1.0).alias("tstop"), "steps")
+    asked = c.select(name.alias("circuit"), g, one(F.lit(1.0)).alias("c"), no_forcing(), one(F.lit(1.0)).alias("x0"), F.lit("n").alias("node"), F.lit(1.0).alias("tstop"), "steps")
     last = stepper.transients(asked).groupBy("circuit").agg(F.max_by("value", "step").alias("final"))
     part = F.split("circuit", "/")
     exact = F.exp(-(1.0 + part[0].cast("long") % 7))

@@ -34,3 +34,11 @@ def test_matches_sql(spark, sf_dir, duck, name):
     assert len(got) == len(want)
     for k in got:
         assert ((got[k] == want[k]) | (got[k].isna() & want[k].isna())).all(), k
+
+
+def test_the_contract_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout) >= 43
