@@ -1,37 +1,14 @@
-"""What the operators of this subpackage share: table reading, the shared folder, components."""
+"""What the operators of this subpackage share, beside tables, stores and components of the core."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
+from ..sources.store import broadcast_if_small, shared_dir, stored, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = sc.getCheckpointDir()
-        at = os.path.dirname(at.rstrip("/")) if at else f"file://{tempfile.mkdtemp(prefix='ohmweave-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ohmweave-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["broadcast_if_small", "connected_components", "crc32_of_id", "shared_dir", "small_batches", "stored", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -44,40 +21,3 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def crc32_of_id(id_col: str = "doc_id"):
     """crc32 of the id's decimal text; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph given as columns (a, b) of one ordered type.
-
-    Returns (node, component) for every node of an edge; component is the least node reachable.
-    Alternates large-star and small-star rounds: each is a partial aggregate and an equi-join, so
-    neither a neighbourhood nor a component is ever gathered in one place. Every round is written to
-    the shared folder. Self loops, repeated and reversed edges are allowed; null ends are ignored.
-    """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    e = stored(e, "edges")
-
-    def state(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    before = state(e)
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.col("n"), F.min("b")).alias("m"))
-        large = both.join(least, both.a == least.n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        joined = large.join(least, large.a == least.n)
-        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a > b").distinct()
-        e = stored(small, "edges")
-        after = state(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """df marked for broadcast if it has few rows by count; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE_SQL, "op6_secrets": secrets.oracle_sql()}
+    return {"op3_decontamination": decontam.ORACLE_SQL, "op6_secrets": secrets.oracle_sql(), "op10_warc": warc.ORACLE_SQL}

@@ -335,3 +335,12 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, id_col: str = "page
     asked = held.captures.select("key", "page_id")
     found = look_up(asked, f"{held.at}/index", held.files)
     return read_records(found, f"{held.at}/archives").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB has no base32: hex digits go by groups of 20 bits, four letters each.
+ORACLE_SQL = """
+with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages),
+d as (select page_id, strlen(html) n, array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || h[5 * k + 1:5 * k + 5])::bigint >> s) & 31)]), '')), '') digest from p),
+m as (select *, max(page_id) over (partition by digest) last from d)
+select page_id, n::bigint payload_bytes, digest payload_digest, case when page_id is null or page_id = last then 'response' else 'revisit' end record_type, case when page_id <> last then last end refers_to from m"""
