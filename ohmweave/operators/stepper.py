@@ -109,6 +109,11 @@ def trapezoid(s: System, node: str, time: float, steps: int, method: str = "lu",
     return out
 
 
+def spread(systems: DataFrame) -> DataFrame:
+    """Systems dealt evenly: rows are small and the work on them isn't, so their bytes say little about partitions."""
+    return systems.repartition(int(systems.sparkSession.conf.get("spark.sql.shuffle.partitions")), "circuit")
+
+
 def dc_points(systems: DataFrame, method: str = "lu") -> DataFrame:
     """(circuit, node, value): the operating point of every circuit."""
 
@@ -120,7 +125,7 @@ def dc_points(systems: DataFrame, method: str = "lu") -> DataFrame:
                 rows += zip([row.circuit] * len(s.nodes), s.nodes, operating_point(s, method), strict=True)
             yield pd.DataFrame(rows, columns=["circuit", "node", "value"])
 
-    return systems.mapInPandas(run, "circuit string, node string, value double")
+    return spread(systems).mapInPandas(run, "circuit string, node string, value double")
 
 
 def transients(asked: DataFrame, method: str = "lu") -> DataFrame:
@@ -131,6 +136,7 @@ def transients(asked: DataFrame, method: str = "lu") -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            names, series, ends = [], [], []
             for row in part.itertuples(index=False):
                 s = System(row)
                 if row.node not in s.at:
@@ -138,10 +144,16 @@ def transients(asked: DataFrame, method: str = "lu") -> DataFrame:
                 given = getattr(row, "x0", None)
                 x0 = None if given is None else np.array([{e["node"]: e["value"] for e in given}.get(n, 0.0) for n in s.nodes])
                 y = trapezoid(s, row.node, row.tstop, int(row.steps), method, x0)
-                k = np.arange(len(y))
-                yield pd.DataFrame({"circuit": row.circuit, "step": k, "time": row.tstop * k / row.steps, "value": y})
-
-    return asked.mapInPandas(run, "circuit string, step long, time double, value double")
+                names.append(row.circuit)
+                series.append(y)
+                ends.append(row.tstop)
+            if names:
+                sizes = [len(y) for y in series]
+                k = np.concatenate([np.arange(n) for n in sizes])
+                time = k * np.repeat(np.array(ends) / (np.array(sizes) - 1), sizes)
+                yield pd.DataFrame({"circuit": np.repeat(np.array(names, dtype=object), sizes), "step": k, "time": time, "value": np.concatenate(series)})
+
+    return spread(asked).mapInPandas(run, "circuit string, step long, time double, value double")
 
 
 def conjugate_gradients(entries: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 500) -> DataFrame:
