@@ -3,7 +3,7 @@ import math
 import pytest
 
 from ohmweave.operators import assemble, generate, netlist, stepper
-from ohmweave.plans import commands
+from ohmweave.plans import commands, sweeps
 from ohmweave.sources import netlist_text
 
 
@@ -103,3 +103,21 @@ def test_singular_systems_are_refused(spark):
     p = parts_of(spark, "r1 a b 1", "c1 a 0 1", "c2 b 0 1")
     with pytest.raises(Exception, match="no single solution"):
         stepper.dc_points(assemble.systems(p)).collect()
+
+
+LADDER = ["ladder", "V1 s 0 1", "R1 s a 1", "R2 a b 1", "R3 b out 2", "C1 a 0 0.5", "C2 b 0 1", "C3 out 0 0.25", "I1 out 0 0 pulse(0 0.3 0.2 0.1 0.1 0.3 5)", ".tran 0.02 1", ".print tran v(out)"]
+
+
+def test_walks_and_trapezoid_agree(spark):
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(LADDER)], "circuit string, line_no int, line string")
+    exact = {r.step: r.value for r in commands.run("tran", lines=df, steps=320).collect()}
+    got = {r.step: r.value for r in commands.run("tran", lines=df, solver="monte-carlo", steps=320, outputs=40, samples=4000).collect()}
+    assert sorted(got) == list(range(41))
+    assert max(abs(got[k] - exact[8 * k]) for k in got) < 0.03
+    assert abs(got[0] - 1.0) < 1e-9
+
+
+def test_errors_fall_with_the_step(spark):
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(LADDER)], "circuit string, line_no int, line string")
+    e = {r.steps: r.max_abs for r in sweeps.step_errors(commands.prepared(df), [20, 80], 1280).collect()}
+    assert 0 < e[80] < e[20] < 0.05
