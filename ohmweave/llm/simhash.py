@@ -93,57 +93,59 @@ def near_to(x: np.ndarray, i: np.ndarray, j: np.ndarray, radii: tuple[int, ...])
     return np.logical_and.reduce([np.bitwise_count(x[i, c] ^ x[j, c]) <= r for c, r in enumerate(radii)])
 
 
-def forest(x: np.ndarray, at: np.ndarray, radii: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs that span the components of rows `at` of x under near_to; works in blocks of bounded size."""
+def forest(x: np.ndarray, at: np.ndarray, radii: tuple[int, ...], group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs that span the components of rows `at` of x under near_to; rows of one group need no link.
+
+    Works in blocks of bounded size.
+    """
     found, left = [], at
     while len(left) > 1:
-        front, left = left[:1], left[1:]
+        mine = group[left] == group[left[0]]
+        front, left = left[mine], left[~mine]
         while len(front) and len(left):
             parent = np.full(len(left), -1)
             for k in range(0, len(front), 128):
                 hit = near_to(x, front[k : k + 128, None], left[None, :], radii)
                 new = hit.any(axis=0) & (parent < 0)
                 parent[new] = k + hit.argmax(axis=0)[new]
-            got = parent >= 0
-            if not got.any():
+            got = np.flatnonzero(parent >= 0)
+            if not len(got):
                 break
-            found.append((front[parent[got]], left[got]))
-            front, left = left[got], left[~got]
+            groups, first = np.unique(group[left[got]], return_index=True)  # a link for each group that is reached
+            found.append((front[parent[got[first]]], left[got[first]]))
+            mine = np.isin(group[left], groups)
+            front, left = left[mine], left[~mine]
     return found
 
 
-def bucket_links(keys: np.ndarray, x: np.ndarray, radii: tuple[int, ...]) -> np.ndarray:
+def bucket_links(keys: np.ndarray, x: np.ndarray, radii: tuple[int, ...], group: np.ndarray) -> np.ndarray:
     """Verified links (pairs of row numbers) inside the runs of equal keys."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     a = starts[sizes == 2]
-    a = a[near_to(x, a, a + 1, radii)]
+    a = a[near_to(x, a, a + 1, radii) & (group[a] != group[a + 1])]
     found = [(a, a + 1)]
     for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-        found += forest(x, np.arange(s, s + n), radii)
+        found += forest(x, np.arange(s, s + n), radii, group)
     return np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], axis=1)
 
 
-def ball_links(points: DataFrame, radii: tuple[int, ...] = (3,), parts: int = 4) -> DataFrame:
-    """(a, b): links between near points that connect all that is connected.
+def links_by_key(points: DataFrame, masks: list[tuple[int, int]], radii: tuple[int, ...]) -> DataFrame:
+    """(a, b): links between near points that meet in a bucket of one of the masks.
 
-    points: node, fp and, with a second radius, check: nodes are linked if fp differs in radii[0] bits at
-    most and check in radii[1] at most. fp (and check) should name a node: give one row for equal values.
-    Within a bucket the links are a spanning forest, so their closure over all buckets is that of all pairs.
+    points: node, grp, fp and, with a second radius, check. Points of one grp are known to be connected.
     """
-    if radii[0] > (3 if parts == 4 else 5):
-        raise ValueError("what is kept must differ in 2 bits at most: radius 3 with 4 parts, 5 with 2")
     values = ["fp", "check"][: len(radii)]
-    masks = F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip")) for k, f in variant_masks(parts)])
-    v = points.select("node", *values).where(F.col("fp").isNotNull()).select("node", *values, F.explode(masks).alias("m"))
-    v = v.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), "node", *values)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip")) for k, f in masks]))
+    v = points.select("node", "grp", *values).where(F.col("fp").isNotNull()).select("node", "grp", *values, each.alias("m"))
+    v = v.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), "node", "grp", *values)
 
     def run(batches):
-        held = [np.empty(0, np.int64)] * (2 + len(values))
+        held = [np.empty(0, np.int64)] * (3 + len(values))
 
         def links(cols):
-            x = np.stack(cols[2:], axis=1).view(np.uint64)
-            pairs = cols[1][bucket_links(cols[0], x, radii)]
+            x = np.stack(cols[3:], axis=1).view(np.uint64)
+            pairs = cols[1][bucket_links(cols[0], x, radii, cols[2])]
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
 
@@ -161,6 +163,24 @@ def ball_links(points: DataFrame, radii: tuple[int, ...] = (3,), parts: int = 4)
     return v.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def ball_links(points: DataFrame, radii: tuple[int, ...] = (3,), parts: int = 4) -> DataFrame:
+    """(a, b): links between near points that connect all that is connected.
+
+    points: node, fp and, with a second radius, check: nodes are linked if fp differs in radii[0] bits at
+    most and check in radii[1] at most. fp (and check) should name a node: give one row for equal values.
+    Points that agree in what is kept meet first, and their components are found; the variants then link only
+    what that left apart, so that a large group of near copies isn't linked over again in every bucket.
+    """
+    if radii[0] > (3 if parts == 4 else 5):
+        raise ValueError("what is kept must differ in 2 bits at most: radius 3 with 4 parts, 5 with 2")
+    masks = variant_masks(parts)
+    plain = masks[:: len(masks) // parts]  # no bit flipped
+    first = stored(links_by_key(points.withColumn("grp", F.col("node")), plain, radii), "links")
+    roots = connected_components(first)
+    grouped = points.join(roots, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
+    return stored(links_by_key(grouped, masks, radii), "links").unionByName(first)
+
+
 def components_of(fps: DataFrame, links: DataFrame) -> DataFrame:
     """(fp, component_id): least doc_id of the component of each fingerprint. fps: doc_id, fp."""
     roots = connected_components(links)
