@@ -266,8 +266,11 @@ def judge(model: Model, texts: list[str | None], cache: dict, table: list) -> tu
     return names, np.clip(np.where(known, score, 0.0), 0, 1)
 
 
-def train(docs: DataFrame, per_lang: int = 120, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit to at most `per_lang` documents of each of at most `most_langs` languages, from rows whose crc32 of the id isn't 0 mod 5."""
+def train(docs: DataFrame, per_lang: int = 120, most_langs: int = 200, most_chars: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit to at most `per_lang` documents of each of at most `most_langs` languages, from rows whose crc32 of the id isn't 0 mod 5.
+
+    Those chosen that are longer than `most_chars` are left out: the driver holds the sample.
+    """
     may = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc32_of_id(id_col) % 5 != 0))
     rows = may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
@@ -276,7 +279,7 @@ def train(docs: DataFrame, per_lang: int = 120, most_langs: int = 200, id_col: s
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id")
     chosen = rows.where(F.col("lang").isin(langs)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("id").distinct()
     ids = broadcast_if_small(chosen)
-    sample = may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").distinct()
+    sample = may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") <= most_chars).join(ids, "id", "left_semi").distinct()
     return fit([(r.lang, r.text) for r in sample.orderBy("id", "lang", "text").collect()])
 
 

@@ -8,7 +8,7 @@ Features are the words that a text has (once each, whatever their number), of th
 have markedly more often than the unlabelled texts.
 
 The fit runs on the driver on a bounded sample (`most_positive` and `most_unlabelled` whole texts, by hash
-order); the class prior is a count over all training labels. Scoring runs in Spark tasks over whole texts.
+order, none of over `most_chars`); the class prior is a count over all training labels. Scoring runs in Spark tasks over whole texts.
 """
 
 from __future__ import annotations
@@ -139,18 +139,21 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 4
     return calibrated(model, [model.g(t) for t in pos], [model.g(t) for t in unl], prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1500, most_unlabelled: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit to rows whose crc32 of the id isn't 1 mod 3. A doc_id with several labels is positive if one is 1."""
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1200, most_unlabelled: int = 4000, most_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit to rows whose crc32 of the id isn't 1 mod 3. A doc_id with several labels is positive if one is 1.
+
+    The sample is what the driver holds: most_positive and most_unlabelled rows at most, less those of over most_chars.
+    """
     told = labels.where(F.col(label_col).isNotNull() & (crc32_of_id(id_col) % 3 != 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     told = told.persist()
     n, positive = told.agg(F.count(F.lit(1)), F.sum(F.when(F.col("label") == 1, 1).otherwise(0))).first()
     by_hash = (F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id")
-    # twice as many: some labels may have no document
-    pos = told.where("label = 1").orderBy(*by_hash).limit(2 * most_positive).select("id")
+    ids = docs.where(F.col(text_col).isNotNull() & (crc32_of_id(id_col) % 3 != 1)).select(F.col(id_col).alias("id"))
+    pos = told.where("label = 1").select("id").join(ids, "id", "left_semi").orderBy(*by_hash).limit(most_positive)
     # the unlabelled texts are a sample of all, the confirmed ones among them, so that the prior is theirs
-    unl = docs.where(F.col(text_col).isNotNull() & (crc32_of_id(id_col) % 3 != 1)).select(F.col(id_col).alias("id")).orderBy(*by_hash).limit(most_unlabelled)
+    unl = ids.orderBy(*by_hash).limit(most_unlabelled)
     chosen = broadcast_if_small(pos.withColumn("kind", F.lit(1)).unionByName(unl.withColumn("kind", F.lit(0))).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= most_chars)
     rows = texts.join(chosen, "id").orderBy(*by_hash, "text").collect()
     told.unpersist()
     out = fit([r.text for r in rows if r.kind == 1][:most_positive], [r.text for r in rows if r.kind == 0][:most_unlabelled], (positive or 0) / n if n else 0.0)
