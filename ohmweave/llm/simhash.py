@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, stored
+from . import jaccard
+from .common import broadcast_if_small, connected_components, small_batches, stored
 
 FULL = (1 << 64) - 1
 
@@ -55,11 +56,6 @@ def shingle_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int
     return simhash(shingles(words_of(text), width), seed)
 
 
-def word_set_fingerprint(text: str | None, seed: int = 42) -> int:
-    """SimHash of the set of words: scattered edits move it less than a shingle fingerprint."""
-    return simhash(iter(set(words_of(text))), seed)
-
-
 def fingerprints(docs: DataFrame, kinds: list[Callable[[str | None], int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp_0, fp_1, ...) as signed longs, one column for each function of `kinds`."""
     small_batches(docs.sparkSession)
@@ -203,32 +199,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", set_seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """docs with one document left of each group of near copies: the one with the least id.
 
-    Texts are linked if their 3-word-shingle fingerprints differ in 3 bits at most, or if word-set
-    fingerprints under one of several hash seeds differ in 5 at most and the shingle fingerprints in 12
-    at most. On copies with a Jaccard similarity of 0.8 or more over five-word shingles the first test
-    alone finds about one pair in ten, one word-set seed about three in four.
+    Texts are linked if the Jaccard similarity of their five-word shingle sets is `similarity` or more, and by
+    nothing else; groups are the components of these links (see jaccard).
     Rows with a null id are kept: nothing names them. A doc_id's repeated rows count as one document,
     of which one row stays. Null and blank texts are copies of each other. Extra columns are carried along.
     """
-    kinds = [shingle_fingerprint, *(partial(word_set_fingerprint, seed=s) for s in set_seeds)]
-    cols = [f"fp_{i}" for i in range(len(kinds))]
-    fps = stored(fingerprints(docs.where(F.col(id_col).isNotNull()), kinds, id_col, text_col), "fingerprints")
-    exact = stored(fps.groupBy(*cols).agg(F.min("doc_id").alias("rep")), "representatives")
-    links = None
-    for c in cols:
-        key = [c] if c == "fp_0" else [c, "fp_0"]
-        heads = exact.groupBy(*key).agg(F.min("rep").alias("node"))
-        tie = exact.join(heads, key).select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        near = ball_links(heads.select("node", F.col(c).alias("fp"), F.col("fp_0").alias("check")), (3,) if c == "fp_0" else (5, 12), parts=2)
-        links = tie.unionByName(near) if links is None else links.unionByName(tie).unionByName(near)
-    roots = connected_components(links)
-    keep = exact.join(roots, exact.rep == roots.node).where("component < rep").select(*cols, F.col("component").alias("keep"))
-    # of equal fingerprints all but the representative go; of a linked group all but the least
-    gone = fps.join(exact, cols).join(keep.withColumnRenamed("keep", "__keep"), cols, "left")
-    gone = gone.where("doc_id <> rep or __keep is not null").select(F.col("doc_id").alias("__gone")).distinct()
     named = docs.where(F.col(id_col).isNotNull())
+    rows = stored(jaccard.set_rows(named, id_col, text_col), "rows")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    heads = stored(rows.groupBy("node").agg(first), "representatives")
+    keyed = named.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    of_head = heads.where("node <> 0").select("node", "first.doc_id", "first.text_hash")
+    one = keyed.join(broadcast_if_small(of_head), ["doc_id", "text_hash"])
+    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        one = one.dropDuplicates(["doc_id", "text_hash"])
+    texts = stored(one.select("node", "text"), "texts")
+    roots = connected_components(jaccard.similar_links(texts, similarity))
+    rooted = heads.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    gone = rows.join(rooted.join(stays, "root").select("node", "stays"), "node").where("doc_id <> stays.doc_id")
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
     left = named.join(gone, named[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
     return left.unionByName(docs.where(F.col(id_col).isNull()))
