@@ -70,3 +70,20 @@ def test_large_groups_of_edited_copies_match_brute_force(spark):
 def test_documents_match_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert kept(spark, rows) == brute_kept(rows)
+
+
+def test_texts_below_the_similarity_stay(spark):
+    rng, rows = random.Random(4), []
+    vocabulary = [f"v{i}" for i in range(600)]
+    for g in range(4):
+        w = rng.choices(vocabulary, k=3000)
+        x = list(w)
+        for at in range(0, 3000, 60):
+            x[at] = rng.choice(vocabulary)
+        y = list(w)
+        for at in range(0, 3000, 24):
+            y[at] = rng.choice(vocabulary)
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(x)), (10 * g + 2, " ".join(y))]
+    want = brute_kept(rows)
+    assert want == [i for g in range(4) for i in (10 * g, 10 * g + 2)]
+    assert kept(spark, rows) == want
