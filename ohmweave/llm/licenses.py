@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line. A sparse multinomial logistic regression over its word 1-, 2- and 3-grams tells licence
+A paragraph is a line, or several lines of a block without blank ones that make a wrapped notice. A sparse multinomial logistic regression over its word 1-, 2- and 3-grams tells licence
 families and a class of none; it is trained here on the templates below, varied, and on a bounded sample of the
 corpus' own lines. Its chances are calibrated on held-out rows by a temperature, and a family is predicted
 only at a chance of `sure` or more: what falls between is unknown. A prediction counts once one of the
@@ -92,7 +92,9 @@ class Model:
 
     def judge(self, paragraph: str, sure: float, share: float) -> tuple[str, float, float] | None:
         """(family, its chance, best template share) or None where the classifier finds none; share below `share` is unconfirmed."""
-        words = words_of(paragraph)
+        return self.judge_words(words_of(paragraph), sure, share)
+
+    def judge_words(self, words: list[str], sure: float, share: float) -> tuple[str, float, float] | None:
         if self.number.keys().isdisjoint(words):  # the bias alone says none
             return None
         p = self.chances(words)
@@ -102,6 +104,46 @@ class Model:
         have = pairs(words)
         return self.families[best], float(p[best]), max(len(t & have) / len(t) for t in self.confirm[self.families[best]])
 
+    def scan(self, text: str, sure: float, share: float) -> list[tuple[str, float, float]]:
+        """What judge finds in each paragraph of text.
+
+        A line is also judged together with the lines that follow it up to a blank line, a confirmed one or the
+        longest template's number of words; a confirmed run that has more word pairs of a template than the
+        line alone counts as one paragraph.
+        """
+        lines = [words_of(x) for x in text.split("\n")]
+        alone = [self.judge_words(w, sure, share) for w in lines]
+        templates = [t for ts in self.confirm.values() for t in ts]
+        any_pair = set().union(*templates)
+        openers = {a for a, _ in any_pair}
+        longest = max(map(len, templates)) + 1
+
+        def matched(family, have):
+            return max(len(t & have) for t in self.confirm[family] if len(t & have) >= share * len(t))
+
+        found, i = [], 0
+        while i < len(lines):
+            best, end = alone[i], i + 1
+            w = lines[i][-longest:]
+            if w and (w[-1] in openers or not any_pair.isdisjoint(pairs(w))):
+                most = matched(best[0], pairs(lines[i])) if best and best[2] >= share else 0
+                added = 0
+                for j in range(i + 1, len(lines)):
+                    if not lines[j] or added >= longest or (alone[j] and alone[j][2] >= share):
+                        break
+                    w = w + lines[j][:longest]
+                    added += len(lines[j])
+                    here = pairs(w) & any_pair
+                    if max(len(t & here) / len(t) for t in templates) < share:
+                        continue
+                    got = self.judge_words(w, sure, share)
+                    if got and got[2] >= share and matched(got[0], here) > most:
+                        best, end, most = got, j + 1, matched(got[0], here)
+            if best:
+                found.append(best)
+            i = end
+        return found
+
 
 def fit(lines: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, seed: int = 11, copies: int = 60, rounds: int = 300, l2: float = 1e-4) -> Model:
     """Train on varied templates and on `lines` of the corpus that no template resembles."""
@@ -194,7 +236,7 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.8
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
-                found = [j for j in (m.judge(p, sure, share) for p in (text or "").split("\n")) if j]
+                found = m.scan(text or "", sure, share)
                 good = [j for j in found if j[2] >= share]
                 out.append((",".join(sorted({j[0] for j in good})), len(good), len(found) - len(good), round(max((j[1] for j in good), default=0.0), 6)))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64()]

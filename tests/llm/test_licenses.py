@@ -1,6 +1,7 @@
 """Licence paragraphs: templates, near misses and the lines of the given documents."""
 
 import re
+import textwrap
 
 import pytest
 
@@ -45,3 +46,21 @@ def test_edge_rows(spark, model):
     got = sorted((r.doc_id or 0, r.families, r.n_licensed) for r in licenses.scan_licenses(df, model).collect())
     assert got == [(0, "MIT", 1), (1, "", 0), (2, "", 0), (3, "GPL,MIT", 3), (4, "MIT", 1), (4, "MIT", 1)]
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [30, 50, 72, 80])
+def test_wrapped_notices_are_found(spark, model, width):
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if " " in t and "SPDX" not in t]
+    rows, want = [], []
+    for k, (f, t) in enumerate(notices):
+        for j, (first, then) in enumerate((("", ""), (" * ", " * "), ("# ", "# "))):
+            rows.append((10 * k + j, "some words before\n\n" + textwrap.fill(t, width, initial_indent=first, subsequent_indent=then) + "\n\nand some after"))
+            want.append((10 * k + j, f, 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.families, r.n_licensed) for r in licenses.scan_licenses(df, model).collect()) == want
+
+
+def test_notices_on_neighbouring_lines_stay_apart(model):
+    texts = [licenses.TEMPLATES[f][0] for f in ("MIT", "GPL", "CC-BY", "BSD")]
+    assert [j[0] for j in model.scan("\n".join(texts), 0.8, 0.6)] == ["MIT", "GPL", "CC-BY", "BSD"]
+    assert model.scan("the general public is invited\nto the work of the house\n\nand license of\nthe source", 0.8, 0.6) == []
