@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import forget, join_split, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as columns (a, b) of one ordered type.
 
     Returns (node, component) for every node of an edge; component is the least node reachable.
-    Alternates large-star and small-star rounds: each is a partial aggregate and an equi-join, so
-    neither a neighbourhood nor a component is ever gathered in one place. Every round is written to
-    the shared folder. Self loops, repeated and reversed edges are allowed; null ends are ignored.
+    Alternates large-star and small-star rounds: each is a partial aggregate and an equi-join, whose
+    frequent nodes (hubs) are joined by broadcast, so that neither a neighbourhood nor a component is
+    gathered in one task. Every round is written to the shared folder, the one before it deleted. Self loops, repeated and reversed edges are allowed; null ends are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e = stored(e, "edges")
@@ -26,11 +26,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.col("n"), F.min("b")).alias("m"))
-        large = both.join(least, both.a == least.n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_split(both.withColumnRenamed("a", "n"), least, "n", total=2 * before[0]).where("b > n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        # a node's smaller neighbours are few after the large star, so this join has no hub
         joined = large.join(least, large.a == least.n)
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        e = stored(joined.select(ends.alias("e")).select("e.a", "e.b").where("a > b").distinct(), "edges")
+        last, e = e, stored(joined.select(ends.alias("e")).select("e.a", "e.b").where("a > b").distinct(), "edges")
+        forget(last)
         after = state(e)
         if after == before:
             break

@@ -11,16 +11,16 @@ TINY = 1e-10  # keeps relative errors of a zero finite
 def interpolated(wanted: DataFrame, known: DataFrame, by: list[str], t: str = "t", v: str = "value") -> DataFrame:
     """known's values at wanted's times, on straight lines between neighbours, flat beyond the ends.
 
-    One union and two ignore-null windows over (by, t): the as-of value on either side. Of several known rows at
+    One union and two ignore-null windows over (by, t), one in each direction, whose frames only grow: the as-of
+    value on either side. Of several known rows at
     a time the largest value counts.
     """
     k = known.groupBy(*by, t).agg(F.max(v).alias("kv"))
     both = wanted.select(*by, t, F.lit(None).cast("double").alias("kv"), F.lit(True).alias("asked")).unionByName(k.select(*by, t, F.col("kv").cast("double"), F.lit(False).alias("asked")))
     point = F.when(F.col("kv").isNotNull(), F.struct(F.col(t).alias("t"), F.col("kv").alias("v")))
-    order = Window.partitionBy(*by).orderBy(t)
-    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = both.select(*by, t, "asked", F.last(point, ignorenulls=True).over(upto).alias("p"), F.first(point, ignorenulls=True).over(onward).alias("n"))
+    frame = lambda order: Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = lambda order: F.last(point, ignorenulls=True).over(frame(order))
+    seen = both.select(*by, t, "asked", near(F.col(t).asc()).alias("p"), near(F.col(t).desc()).alias("n"))
     line = F.col("p.v") + (F.col("n.v") - F.col("p.v")) * (F.col(t) - F.col("p.t")) / (F.col("n.t") - F.col("p.t"))
     value = F.when(F.col("p").isNull(), F.col("n.v")).when(F.col("n").isNull() | (F.col("n.t") == F.col("p.t")), F.col("p.v")).otherwise(line)
     return seen.where("asked").select(*by, t, value.alias(v))
@@ -83,11 +83,16 @@ def reciprocal_fit(points: DataFrame, by: list[str], x: str = "x", y: str = "y")
 def _grid_fit(points: DataFrame, by: list[str], grid: list[float], basis: Column, x: str, y: str) -> DataFrame:
     """For each grid value g the least squares y = k basis(x, g) + c; the g that leaves least, with its k and c.
 
-    The grid is a fixed list of parameters, not data: each point is repeated once for each of them and pre-aggregated.
+    Points of one x are summed up first; only these sums are repeated for each value of the grid, a fixed list.
     """
-    rows = points.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), F.explode(F.array(*map(F.lit, grid))).alias("_g")).withColumn("u", basis)
-    fit = rows.groupBy(*by, "_g").agg(F.regr_slope("y", "u").alias("k"), F.regr_intercept("y", "u").alias("c"), (F.regr_syy("y", "u") * (1 - F.coalesce(F.regr_r2("y", "u"), F.lit(0.0)))).alias("left"))
-    return fit.where("k is not null").groupBy(*by).agg(F.min(F.struct("left", "_g", "k", "c")).alias("b")).select(*by, "b._g", "b.k", "b.c", "b.left")
+    sums = points.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    rows = sums.withColumn("_g", F.explode(F.array(*map(F.lit, grid)))).withColumn("u", basis)
+    n, u = F.col("n"), F.col("u")
+    s = rows.groupBy(*by, "_g").agg(F.sum("n").alias("n"), F.sum(n * u).alias("u"), F.sum(n * u * u).alias("uu"), F.sum(u * F.col("sy")).alias("uy"), F.sum("sy").alias("y"), F.sum("syy").alias("yy"))
+    s = s.withColumn("uu", F.col("uu") - F.col("u") * F.col("u") / n).withColumn("uy", F.col("uy") - F.col("u") * F.col("y") / n).withColumn("yy", F.col("yy") - F.col("y") * F.col("y") / n)
+    s = s.where(F.col("uu") > 1e-12 * F.col("u") * F.col("u") / n).withColumn("k", F.col("uy") / F.col("uu"))
+    fit = s.select(*by, "_g", "k", ((F.col("y") - F.col("k") * F.col("u")) / n).alias("c"), (F.col("yy") - F.col("k") * F.col("uy")).alias("left"))
+    return fit.groupBy(*by).agg(F.min(F.struct("left", "_g", "k", "c")).alias("b")).select(*by, "b._g", "b.k", "b.c", "b.left")
 
 
 def offset_power_fit(points: DataFrame, by: list[str], x: str = "x", y: str = "y", steps: int = 61) -> DataFrame:
@@ -98,7 +103,8 @@ def offset_power_fit(points: DataFrame, by: list[str], x: str = "x", y: str = "y
 
 def amdahl_fit(points: DataFrame, by: list[str], p: str = "p", speedup: str = "speedup", steps: int = 999) -> DataFrame:
     """The serial share s in [0.001, 0.999] whose 1 / (s + (1 - s) / p) is nearest in squares; ties to the smaller."""
-    grid = F.explode(F.array(*[F.lit(round((i + 1) / 1000, 3)) for i in range(steps)])).alias("s")
-    rows = points.select(*by, F.col(p).alias("p"), F.col(speedup).alias("y"), grid)
-    gap = F.col("y") - 1 / (F.col("s") + (1 - F.col("s")) / F.col("p"))
-    return rows.groupBy(*by, "s").agg(F.sum(gap * gap).alias("left")).groupBy(*by).agg(F.min(F.struct("left", "s")).alias("b")).select(*by, "b.s", "b.left")
+    sums = points.select(*by, F.col(p).alias("p"), F.col(speedup).alias("y")).where("p is not null and y is not null").groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    rows = sums.withColumn("s", F.explode(F.array(*[F.lit(round((i + 1) / 1000, 3)) for i in range(steps)])))
+    f = 1 / (F.col("s") + (1 - F.col("s")) / F.col("p"))
+    left = F.sum(F.col("syy") - 2 * f * F.col("sy") + F.col("n") * f * f)
+    return rows.groupBy(*by, "s").agg(left.alias("left")).groupBy(*by).agg(F.min(F.struct("left", "s")).alias("b")).select(*by, "b.s", "b.left")

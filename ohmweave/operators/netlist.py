@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import forget, stored
 from .graph import connected_components
 
 GROUND = "0"
+MOST_BROADCAST = 200_000  # sources: a circuit's, two nodes' and a source's name and two doubles each
 FIELDS = ["circuit", "kind", "name", "node1", "node2", "value", "pulse"]
 
 
@@ -21,16 +22,20 @@ def fail(when: Column, message: Column, otherwise: Column) -> Column:
 
 
 def merge_parallel(parts: DataFrame, kind: str) -> DataFrame:
-    """Resistors (1 / sum of 1/R) or capacitors (sum of C) between one pair of nodes become one; single ones stay as they are."""
+    """Resistors (1 / sum of 1/R) or capacitors (sum of C) between one pair of nodes become one; single ones stay as they are.
+
+    The merged one is named after the two names of a pair, or after the least and largest and their number, so that
+    no name grows with the data; merged_names lists them all.
+    """
     mine = parts.where(F.col("kind") == kind)
     value = 1 / F.sum(1 / F.col("value")) if kind == "r" else F.sum("value")
     lo, hi = F.least("node1", "node2").alias("lo"), F.greatest("node1", "node2").alias("hi")
-    g = mine.groupBy("circuit", lo, hi).agg(value.alias("v"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("name")).alias("names"), F.min("node1").alias("a"), F.min("node2").alias("b"), F.first("pulse").alias("pulse"))
+    g = mine.groupBy("circuit", lo, hi).agg(value.alias("v"), F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("name").alias("last"), F.min("node1").alias("a"), F.min("node2").alias("b"), F.first("pulse").alias("pulse"))
     one = F.col("n") == 1
     merged = g.select(
         "circuit",
         F.lit(kind).alias("kind"),
-        F.when(one, F.col("names")[0]).otherwise(F.concat(F.lit(f"{kind}_merged_"), F.array_join("names", "_"))).alias("name"),
+        F.when(one, F.col("first")).when(F.col("n") == 2, F.concat_ws("_", F.lit(f"{kind}_merged"), "first", "last")).otherwise(F.concat_ws("_", F.lit(f"{kind}_merged"), "first", F.lit("to"), "last", F.lit("of"), "n")).alias("name"),
         F.when(one, F.col("a")).otherwise(F.col("lo")).alias("node1"),
         F.when(one, F.col("b")).otherwise(F.col("hi")).alias("node2"),
         F.col("v").alias("value"),
@@ -39,6 +44,11 @@ def merge_parallel(parts: DataFrame, kind: str) -> DataFrame:
     return parts.where(F.col("kind") != kind).select(*FIELDS).unionByName(merged)
 
 
+def merged_names(parts: DataFrame, kind: str) -> DataFrame:
+    """(circuit, node1, node2, name): what merge_parallel puts together, a row for each component."""
+    return parts.where(F.col("kind") == kind).select("circuit", F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2"), "name")
+
+
 def short_circuit_map(parts: DataFrame) -> DataFrame:
     """(circuit, node, rep) of nodes that sources of exactly 0 volts tie together; ground represents its own group."""
     key = lambda n: F.concat("circuit", F.lit("\x01"), F.when(F.col(n) == GROUND, "").otherwise(F.col(n)))
@@ -73,15 +83,17 @@ def ground_capacitors(parts: DataFrame) -> DataFrame:
     """
     r = ends(parts.where("kind = 'r'"))
     grounded = r.groupBy("circuit", "node").agg(F.bool_and(F.col("other") == GROUND).alias("ok"))
-    caps = parts.where((F.col("kind") == "c") & (F.col("node1") != GROUND) & (F.col("node2") != GROUND))
+    floating = (F.col("kind") == "c") & (F.col("node1") != GROUND) & (F.col("node2") != GROUND)
+    caps = parts.where(floating).select(*FIELDS)
     side = lambda k: grounded.select("circuit", F.col("node").alias(f"node{k}"), F.col("ok").alias(f"ok{k}"))
     caps = caps.join(side(1), ["circuit", "node1"], "left").join(side(2), ["circuit", "node2"], "left")
     first, second = F.coalesce("ok1", F.lit(True)), F.coalesce("ok2", F.lit(True))
     at = F.when(first, F.col("node1")).when(second, F.col("node2")).otherwise(F.raise_error(F.concat(F.lit("no grounded end for capacitor "), F.col("name"))).cast("string"))
-    moves = caps.select("circuit", F.col("name").alias("cap"), at.alias("at"), F.when(first, F.col("node2")).otherwise(F.col("node1")).alias("to"), F.when(first, F.col("ok1")).otherwise(F.col("ok2")).isNotNull().alias("any"))
-    by_cap = moves.where("any").select("circuit", F.col("cap").alias("name"), F.lit("c").alias("kind"), F.col("at").alias("stay"))
+    moves = caps.withColumn("at", at).withColumn("to", F.when(first, F.col("node2")).otherwise(F.col("node1"))).withColumn("any", F.when(first, F.col("ok1")).otherwise(F.col("ok2")).isNotNull())
     by_node = moves.where("any").groupBy("circuit", F.col("at").alias("hot")).agg(F.min("to").alias("to"))
-    c = parts.join(by_cap, ["circuit", "kind", "name"], "left").withColumn("node1", F.coalesce("stay", "node1")).withColumn("node2", F.when(F.col("stay").isNotNull(), GROUND).otherwise(F.col("node2"))).select(*FIELDS)
+    # rows, not names, change places: two capacitors of one name stay two
+    settled = moves.withColumn("node1", F.when(F.col("any"), F.col("at")).otherwise(F.col("node1"))).withColumn("node2", F.when(F.col("any"), GROUND).otherwise(F.col("node2")))
+    c = parts.where(~floating).select(*FIELDS).unionByName(settled.select(*FIELDS))
     hot = F.when(F.col("node1") == GROUND, F.col("node2")).when(F.col("node2") == GROUND, F.col("node1"))
     moved = c.withColumn("hot", F.when(F.col("kind") == "r", hot)).join(by_node, ["circuit", "hot"], "left")
     for end in ("node1", "node2"):
@@ -94,19 +106,24 @@ def norton(parts: DataFrame) -> DataFrame:
 
     The terminal is the first end, unless that is ground or has no resistor, then the second; neither fails the
     job. Only the constant voltage counts, a pulse on it doesn't. A resistor between two such terminals is rewired at
-    both ends. Terminals vanish: what else hangs on one is refused later.
+    both ends. Terminals vanish: what else hangs on one is refused later, and so is a second source on a terminal.
+    Few sources are broadcast to the resistors, so that a busy terminal is no hot key; many shuffle.
     """
     r = parts.where("kind = 'r'")
-    has = ends(r).select("circuit", "node").distinct()
     v = parts.where("kind = 'v' and value <> 0").select("circuit", F.col("name").alias("v"), "node1", "node2", F.col("value").alias("volt"))
+    few = v.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    sent = F.broadcast if few else lambda df: df
+    has = ends(r).join(sent(ends(v.withColumnRenamed("v", "name").withColumnRenamed("volt", "value")).select("circuit", "node").distinct()), ["circuit", "node"], "left_semi").select("circuit", "node").distinct()
     for k in (1, 2):
         v = v.join(has.select("circuit", F.col("node").alias(f"node{k}"), F.lit(True).alias(f"has{k}")), ["circuit", f"node{k}"], "left")
     one = (F.col("node1") != GROUND) & F.col("has1").isNotNull()
     two = (F.col("node2") != GROUND) & F.col("has2").isNotNull()
     gone = F.when(one, F.col("node1")).when(two, F.col("node2")).otherwise(F.raise_error(F.concat(F.lit("no usable terminal for source "), F.col("v"))).cast("string"))
     t = v.select("circuit", "v", gone.alias("gone"), F.when(one, F.col("node2")).otherwise(F.col("node1")).alias("base"), F.when(one, F.col("volt")).otherwise(-F.col("volt")).alias("lift"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("circuit", "gone")) == 1
+    t = t.withColumn("gone", fail(~alone, F.concat(F.lit("several sources on one terminal: "), F.col("gone")), F.col("gone")))
     for k in (1, 2):
-        r = r.join(t.select("circuit", F.col("gone").alias(f"node{k}"), F.col("base").alias(f"base{k}"), F.col("lift").alias(f"lift{k}"), F.col("v").alias(f"v{k}")), ["circuit", f"node{k}"], "left")
+        r = r.join(sent(t).select("circuit", F.col("gone").alias(f"node{k}"), F.col("base").alias(f"base{k}"), F.col("lift").alias(f"lift{k}"), F.col("v").alias(f"v{k}")), ["circuit", f"node{k}"], "left")
     r = r.withColumn("new1", F.coalesce("base1", "node1")).withColumn("new2", F.coalesce("base2", "node2"))
     flows = []
     for k, other in ((1, "new2"), (2, "new1")):
@@ -126,7 +143,7 @@ def norton(parts: DataFrame) -> DataFrame:
     rest = parts.where("kind not in ('r', 'v')").select(*FIELDS)
     lost = t.select("circuit", F.col("gone").alias("node")).distinct()
     for k in (1, 2):
-        rest = rest.join(lost.select("circuit", F.col("node").alias(f"node{k}"), F.lit(True).alias("lost")), ["circuit", f"node{k}"], "left")
+        rest = rest.join(sent(lost).select("circuit", F.col("node").alias(f"node{k}"), F.lit(True).alias("lost")), ["circuit", f"node{k}"], "left")
         rest = rest.withColumn(f"node{k}", fail(F.col("lost").isNotNull(), F.concat(F.lit("a source's terminal is gone: "), F.col("name")), F.col(f"node{k}"))).drop("lost")
     return rest.select(*FIELDS).unionByName(rewired).unionByName(flows[0]).unionByName(flows[1])
 
@@ -156,5 +173,6 @@ def reduced(parts: DataFrame, fill: bool = True) -> DataFrame:
     """
     out = stored(merge_parallel(merge_parallel(parts.select(*FIELDS), "r"), "c"), "merged")
     for stage in (collapse_shorts, ground_capacitors, norton, *([fill_capacitors] if fill else [])):
-        out = stored(stage(out), stage.__name__)
+        last, out = out, stored(stage(out), stage.__name__)
+        forget(last)
     return out

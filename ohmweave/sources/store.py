@@ -1,4 +1,4 @@
-"""Tables, the shared folder, and what is written there between stages."""
+"""Tables, the shared folder, what is written there between stages, and joins that neither grow a broadcast nor a task."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,12 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local master may leave it unset, and gets a temporary folder then; elsewhere that is an error.
+    """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and sc.getCheckpointDir():
+        at = os.path.dirname(sc.getCheckpointDir().rstrip("/"))
     if not at:
-        at = sc.getCheckpointDir()
-        at = os.path.dirname(at.rstrip("/")) if at else f"file://{tempfile.mkdtemp(prefix='ohmweave-')}"
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='ohmweave-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
@@ -31,9 +37,39 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ohmweave-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made of them is itself stored."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000, size: Column | None = None, most_bytes: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if it has few rows by count; otherwise as it is, for a shuffled join.
+
+    size: bytes of a row, for rows that have no bound of their own; they may sum to most_bytes at most.
+    """
+    n, held = df.select((F.lit(0) if size is None else size).alias("b")).limit(most_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and held <= most_bytes else df
+
 
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 1000, least: int = 100, total: int | None = None) -> DataFrame:
+    """left joined on `key` to right, which has one row a key; no task gets all the rows of a frequent key.
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """df marked for broadcast if it has few rows by count; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    Keys with over a `parts`-th of left's rows (and over `least`) are fewer than `parts`, so right's rows for
+    them are broadcast; the other keys shuffle. left is read several times: it should be a stored table.
+    """
+    counted = left.groupBy(key).count()
+    bar = max(least, (left.count() if total is None else total) // parts)
+    hot = [r[0] for r in counted.where((F.col("count") > bar) & F.col(key).isNotNull()).select(key).collect()]  # fewer than `parts`
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema))
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    return left.join(keys, key, "left_semi").join(few, key, how).unionByName(left.join(keys, key, "left_anti").join(right, key, how))

@@ -47,6 +47,20 @@ def test_sources_become_currents(spark):
         netlist.norton(parts_of(spark, "v1 s 0 6", "r1 s b 1", "c1 s 0 1")).collect()
 
 
+def test_long_merges_keep_short_names(spark):
+    p = parts_of(spark, *(f"r{i} a b 4" for i in range(1, 9)))
+    assert rows(netlist.merge_parallel(p, "r")) == {"r_merged_r1_to_r8_of_8": ("a", "b", 0.5)}
+    assert {(r.node1, r.node2, r.name) for r in netlist.merged_names(p, "r").collect()} == {("a", "b", f"r{i}") for i in range(1, 9)}
+
+
+def test_repeated_names_and_shared_terminals(spark):
+    p = parts_of(spark, "r1 0 a 3", "c1 a b 2", "c1 a b 5", "c1 e 0 7", "r2 b d 1", "c2 d 0 1")
+    got = sorted((r.name, r.node1, r.node2, r.value) for r in netlist.ground_capacitors(p).where("kind = 'c'").collect())
+    assert got == [("c1", "a", "0", 2.0), ("c1", "a", "0", 5.0), ("c1", "e", "0", 7.0), ("c2", "d", "0", 1.0)]
+    with pytest.raises(Exception, match="several sources on one terminal"):
+        netlist.norton(parts_of(spark, "v1 s 0 6", "v2 s 0 4", "r1 s a 2")).collect()
+
+
 def test_missing_capacitors_get_the_mean(spark):
     got = rows(netlist.fill_capacitors(parts_of(spark, "r1 a b 1", "r2 b 0 1", "c1 a 0 2", "c2 a 0 4")))
     assert got["c_filled_b"] == ("b", "0", 3.0)
