@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..sources.store import broadcast_if_small, shared_dir, stored, table
+from ..sources.store import broadcast_if_small, forget, join_split, shared_dir, stored, table
+
+__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "shared_dir", "stored", "table"]
+
+BATCH_BYTES = 8 << 20
 
-__all__ = ["broadcast_if_small", "connected_components", "crc32_of_id", "shared_dir", "small_batches", "stored", "table"]
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose texts in `column` have `most` bytes together at most; a longer text goes alone.
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python in Arrow batches of at most this many rows, to bound a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    Spark fills a batch up to spark.sql.execution.arrow.maxBytesPerBatch or its row that exceeds it, so what a
+    worker holds is bounded by that and the longest text, not by a number of rows.
+    """
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(total[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def crc32_of_id(id_col: str = "doc_id"):

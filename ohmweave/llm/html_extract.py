@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, stored
+from .common import bounded, broadcast_if_small, stored
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -190,10 +190,8 @@ def host_of(url: Column) -> Column:
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, votes): the winning path of each host. Ties go to the path that sorts last."""
-    small_batches(pages.sparkSession, 500)
-
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             count: dict[tuple[str, str], int] = defaultdict(int)
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for path, n in Page(html).votes():
@@ -217,7 +215,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 2):
             texts = [Page(html).text(path) for html, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

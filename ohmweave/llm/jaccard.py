@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, small_batches, stored
+from .common import broadcast_if_small, connected_components, stored
 
 WIDTH = 5
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -64,7 +64,6 @@ def prefix(grams: np.ndarray, common: np.ndarray, t: float) -> np.ndarray:
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, node): the set's name for each row."""
-    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
@@ -190,7 +189,6 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, t: float) -> DataFrame:
 
 def known_sets(texts: DataFrame, shared: DataFrame) -> DataFrame:
     """(node, grams): the whole sets, sorted, of the nodes that meet another in a bucket."""
-    small_batches(texts.sparkSession)
     nodes = stored(shared.select("node").distinct(), "nodes")
 
     def sets(batches):

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, crc32_of_id, small_batches
+from .common import broadcast_if_small, crc32_of_id
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
@@ -289,7 +289,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A null text, or one without a letter, is `und` with score 0. Very long texts are labelled whole.
     Columns of docs that bear these names are replaced.
     """
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS, the lexicon and the labels
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")

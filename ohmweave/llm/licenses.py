@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -226,14 +226,13 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.8
     paragraph, else 0. Null and empty texts have none. Repeated rows and null ids get a row each. An empty
     table gives an empty result. Other columns are not looked at.
     """
-    small_batches(docs.sparkSession)
     model = model or train(docs, text_col=text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the templates
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in bounded(batches, 1):
             out = []
             for text in b.column(1).to_pylist():
                 found = m.scan(text or "", sure, share)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded, stored
 
 UNIT = 192  # bytes, so samples
 TICKS = 2160  # of the 90 kHz clock, for a unit
@@ -184,11 +184,10 @@ def describe(s: Stream) -> str:
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): the transport stream of every text. A null text counts as empty; an empty one is a unit of spaces."""
-    small_batches(docs.sparkSession, 500)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             raw = [t.encode() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array((mux(padded(r)) for r in raw), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -197,10 +196,8 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def access_points(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, seconds, byte_offset, random_access): a row for each elementary packet of each stream."""
-    small_batches(media.sparkSession, 500)
-
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             rows = [(i, t / 90_000, at, p) for i, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t, at, p in demux(ts or b"").times]
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "seconds", "byte_offset", "random_access"])
@@ -213,10 +210,8 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 def read_media(media: DataFrame) -> DataFrame:
     """What the stored streams hold: payload read back, its digests, and the features of the stream."""
-    small_batches(media.sparkSession, 500)
-
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 2):
             rows = []
             for i, n, ts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 s = demux(ts)

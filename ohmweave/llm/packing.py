@@ -9,6 +9,7 @@ by one, two or three available lengths. What no combination fills goes by best f
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -19,27 +20,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded, stored
 
 CAPACITY = 2048
+LONG_SPACE = 50_000
 _ENCODERS: dict = {}
 
 
 def encoder(name: str):
-    """ids of a text under a public byte-level BPE vocabulary, given as <name>.json or <name>.tiktoken.
+    """ids of a text under a public byte-level BPE vocabulary, given as <name>.json and as ranks in <name>.tiktoken.
 
-    The rank file holds the vocabulary of the json file of the same name; the rank encoder gives the same ids
-    some five times faster (tests compare the two). Special tokens' strings are ordinary text.
+    The ids are those that tokenizers gives for the json file: the string of an added token is that token, all
+    between is encoded by ranks, some five times faster (tests compare the two). White space of LONG_SPACE
+    characters and more is left to tokenizers, since the rank encoder's pattern fails on it.
     """
     if name not in _ENCODERS:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
+        at = public_tokenizers.path(f"{name}.json")
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(at) as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        plain = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        apart = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
+        spaces, whole = re.compile(rf"\s{{{LONG_SPACE}}}"), []
+
+        def part(text: str) -> list[int]:
+            if len(text) >= LONG_SPACE and spaces.search(text):
+                whole[:] = whole or [Tokenizer.from_file(at)]
+                return whole[0].encode(text, add_special_tokens=False).ids
+            return plain(text)
+
+        def encode(text: str) -> array:
+            ids, begin = array("I"), 0
+            for m in apart.finditer(text):
+                ids.extend(part(text[begin : m.start()]))
+                ids.append(added[m[0]])
+                begin = m.end()
+            ids.extend(part(text[begin:] if begin else text))
+            return ids
+
+        _ENCODERS[name] = encode
     return _ENCODERS[name]
 
 
@@ -54,15 +81,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """A row per piece; (task, nth) tells pieces of a length apart: the nth of that length in its task."""
-    small_batches(docs.sparkSession, 500)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         encode, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
+        for b in bounded(batches, 1):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = array("I", encode(text or ""))
+                ids = encode(text or "")
                 ids.append(0)
                 raw = memoryview(ids).cast("B")
                 for k, (s, n) in enumerate(cuts(len(ids), capacity)):
@@ -158,15 +184,17 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPAC
     """A row per piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and id 0, so a null or empty text is one piece of length 1. Repeated rows and
-    null ids are packed like any other. An empty table gives an empty result. Extra columns are not looked at.
+    null ids are packed like any other; a text of any length is cut whole. An empty table gives an empty result. Extra columns are not looked at.
     """
     cut = stored(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    where = layout(plan({r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
+    steps = plan({r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    held = docs.sparkSession.sparkContext.broadcast(layout(steps))  # bounded by the capacity, not by the rows
 
     def place(batches):
+        where = held.value
         for b in batches:
             length, rank = (b.column(i).to_numpy() for i in (3, 5))
             sequence, offset = np.empty_like(rank), np.empty_like(rank)

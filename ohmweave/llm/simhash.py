@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import broadcast_if_small, connected_components, small_batches, stored
+from .common import bounded, broadcast_if_small, connected_components, join_split, stored
 
 FULL = (1 << 64) - 1
 
@@ -58,11 +58,10 @@ def shingle_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int
 
 def fingerprints(docs: DataFrame, kinds: list[Callable[[str | None], int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp_0, fp_1, ...) as signed longs, one column for each function of `kinds`."""
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             texts = b.column(1).to_pylist()
             cols = [pa.array(np.array([f(t) for t in texts], dtype=np.uint64).view(np.int64)) for f in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *(f"fp_{i}" for i in range(len(kinds)))])
@@ -133,7 +132,9 @@ def links_by_key(points: DataFrame, masks: list[tuple[int, int]], radii: tuple[i
     """
     values = ["fp", "check"][: len(radii)]
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip")) for k, f in masks]))
-    v = points.select("node", "grp", *values).where(F.col("fp").isNotNull()).select("node", "grp", *values, each.alias("m"))
+    # dealt out before each row becomes one for each mask; a given number of partitions is not coalesced
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = points.select("node", "grp", *values).where(F.col("fp").isNotNull()).repartition(tasks, "node").select("node", "grp", *values, each.alias("m"))
     v = v.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), "node", "grp", *values)
 
     def run(batches):
@@ -182,8 +183,9 @@ def components_of(fps: DataFrame, links: DataFrame) -> DataFrame:
     roots = connected_components(links)
     per_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     rooted = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    rooted = stored(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return join_split(rooted, least, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     fps = stored(fingerprints(docs, [partial(shingle_fingerprint, width=width)], id_col, text_col).withColumnRenamed("fp_0", "fp"), "fingerprints")
     values = fps.select("fp").distinct()
     named = components_of(fps, ball_links(values.select(F.col("fp").alias("node"), "fp")))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_split(fps, stored(named, "components"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, crc32_of_id, small_batches
+from .common import broadcast_if_small, crc32_of_id
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -162,7 +162,6 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1200, most_un
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted added. A null or empty text has the score of no words. Only the text decides."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words
 
     @F.pandas_udf("double")

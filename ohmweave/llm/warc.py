@@ -2,7 +2,7 @@
 
 Writing: every page is a record in a compressed archive (a gzip member each) that its task writes to the shared
 folder; of records with equal payloads one is the response and the others revisit it, decided beforehand from
-digests alone, so no group of equal payloads ever meets in one task. Index: captures sorted by reversed-host
+digests alone and, for a payload that very many share, by a broadcast. Index: captures sorted by reversed-host
 URL key are written as compressed blocks of lines, and a sparse directory keeps each block's first key and place.
 Reading: captures asked for are sorted like the index, so that each task walks through few blocks: it binary-
 searches the list of index files, then the file's directory, reads the block's byte range and binary-searches its lines.
@@ -27,10 +27,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import BATCH_BYTES, bounded, join_split, shared_dir, stored
 
 BLOCK_LINES = 1000
 READ_AHEAD = 4 << 20  # bytes of neighbouring records in one read, at most
@@ -60,16 +60,9 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def digest_column(html: Column) -> Column:
-    """The same in Spark: base32 of SHA-1, 40 hex digits as eight groups of 20 bits, four letters each."""
-    h = F.sha1(html.cast("binary"))
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-    def group(k: int) -> list[Column]:
-        bits = F.conv(F.substring(h, 5 * k + 1, 5), 16, 10).cast("int")
-        return [F.substring(letters, F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-
-    return F.concat(*[c for k in range(8) for c in group(k)])
+def base32(hexadecimal: str) -> str:
+    """A digest as records bear it, of its hexadecimal form, by which Spark groups."""
+    return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
 def header(lines: list[tuple[str, str]]) -> bytes:
@@ -106,12 +99,13 @@ def urn(value: str | None) -> int | None:
 def decisions(pages: DataFrame, least_bytes: int) -> DataFrame:
     """(page_id, digest, refers_to) of revisits: equal payloads of at least `least_bytes` refer to their largest page_id.
 
-    Of rows that repeat a page_id and payload none refers to itself: they are all responses.
+    Of rows that repeat a page_id and payload none refers to itself: they are all responses. A payload that very
+    many pages share meets its largest page_id by broadcast (join_split).
     """
-    ids = pages.select("page_id", digest_column(F.col("html")).alias("digest"), F.octet_length("html").alias("n")).where("page_id is not null")
-    ids = ids.where(F.col("n") >= least_bytes).select("page_id", "digest").distinct()
+    ids = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n")).where("page_id is not null")
+    ids = stored(ids.where(F.col("n") >= least_bytes).select("page_id", "digest").distinct(), "digests")
     last = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return ids.join(last, "digest").where("page_id <> refers_to")
+    return join_split(ids, last, "digest").where("page_id <> refers_to")
 
 
 CAPTURE = "key string, page_id long, file string, offset long, length long"
@@ -119,20 +113,19 @@ CAPTURE = "key string, page_id long, file string, offset long, length long"
 
 def write_archives(pages: DataFrame, at: str, least_bytes: int) -> DataFrame:
     """Write every page as a record below `at`; returns its captures (CAPTURE), stored."""
-    small_batches(pages.sparkSession, 500)
     say = decisions(pages, least_bytes)
-    told = pages.withColumn("digest", digest_column(F.col("html"))).join(say, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    told = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(say, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def run(batches):
         name = attempt_name("archive") + ".warc.gz"
         system, folder = opened(at)
         system.create_dir(folder, recursive=True)
         out, pos = None, 0
-        for b in batches:
+        for b in bounded(batches, 2):
             out = out or system.open_output_stream(f"{folder}/{name}", compression=None)
             rows = []
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = gzip.compress(record(page_id, url, html.encode(), digest, refers_to), 1, mtime=0)
+                raw = gzip.compress(record(page_id, url, html.encode(), base32(digest), refers_to), 1, mtime=0)
                 out.write(raw)
                 rows.append((url_key(url), page_id, name, pos, len(raw)))
                 pos += len(raw)
@@ -285,8 +278,11 @@ def read_records(captures: DataFrame, archive_at: str, with_html: bool = False)
         held: tuple[str, object] | None = None
         for b in batches:
             spots = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
-            rows, i = [], 0
+            rows, i, held_bytes = [], 0, 0
             while i < len(spots):
+                if held_bytes > BATCH_BYTES:
+                    yield batch(READ, rows)
+                    rows, held_bytes = [], 0
                 file, start, length = spots[i]
                 j, end = i + 1, start + length
                 while j < len(spots) and spots[j][0] == file and spots[j][1] == end and end - start < READ_AHEAD:
@@ -298,6 +294,7 @@ def read_records(captures: DataFrame, archive_at: str, with_html: bool = False)
                     held = file, system.open_input_file(f"{folder}/{file}")
                 raw = held[1].read_at(end - start, start)
                 rows += [unpack(raw[o - start : o - start + n]) for _, o, n in spots[i:j]]
+                held_bytes += sum(len(x[-1] or "") for x in rows[i - j :])
                 i = j
             yield batch(READ, rows)
         if held:

@@ -16,7 +16,6 @@ from ohmweave.llm.common import table
 @pytest.fixture(scope="module")
 def ids_of():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -49,6 +48,22 @@ def test_documents(spark, sf_dir, ids_of):
     assert n <= sum(r.length for r in rows) / 2048 * 1.02 + 1
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [SPECIAL, f"a{SPECIAL}b", f"{SPECIAL} a", f"a {SPECIAL}", SPECIAL * 3, f"a\n{SPECIAL}\n{SPECIAL}  b", "<|endoftext|", "<|endoftext |>", f"x<|{SPECIAL}|>", " " * 400_000 + "x" + SPECIAL + "\n" * 60_000, "y" * 100_000])
+def test_ids_are_those_of_tokenizers(text, ids_of):
+    assert [*packing.encoder("byte_bpe_50k")(text), 0] == ids_of(text)
+
+
+def test_one_very_long_text_beside_many_short_ones(spark, ids_of):
+    rows = [(i, f"short text {i}") for i in range(3_000)] + [(9_999, "a long text of many words " * 400_000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+    got = packing.pack(df).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got if r[0] in (0, 9_999)} == {i: len(ids_of(t)) for i, t in rows if i in (0, 9_999)}
+    assert len(got) == len(rows)
+
+
 def test_edge_rows(spark, ids_of):
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x"), (5, "<|endoftext|> é\x00 \n\t  z"), (6, " ".join(f"w{i}" for i in range(9_000)))]
     df = spark.createDataFrame([(i, t, 7, 1) for i, t in rows], "doc_id long, text string, length int, task int")
