@@ -3,8 +3,12 @@
 A first pass scores the containers of every page and lets each page vote for its best ones under a
 generalised path (tags with classes, digits struck out). Spark sums the votes by host and path; a host's
 winner is the path with most votes. A second pass extracts each page again from the containers on its host's
-winning path, or from its own best container where the page has none there. Both passes are one linear scan
-of the page for tags; what is boilerplate by tag, role or class is left out of scores and of text.
+winning path, or from its own best container where that path has no text there. Both passes are one linear scan
+of the page for tags.
+
+What is boilerplate by tag, role or a class that names comments or adverts is left out. Other class names of
+boilerplate, and forms, only make an element suspect: it is left out unless another of its classes says that it is
+the text, or it holds most of the page's text (as a wrapper of a whole page does).
 """
 
 from __future__ import annotations
@@ -14,20 +18,24 @@ from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, broadcast_if_small, stored
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+LONG_NAME, LONG_PATH = 200, 200  # characters; what is longer goes by its hash
+WRAPPER = 0.6  # of a page's text outside links: what a suspect element holds to be no boilerplate
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LEFT_OUT = frozenset("aside button canvas datalist dialog footer form head header iframe menu nav noscript object script select style svg template textarea title video audio".split())
+LEFT_OUT = frozenset("aside button canvas datalist dialog footer head header iframe menu nav noscript object script select style svg template textarea title video audio".split())
 CONTAINER = frozenset("article body div main section td".split())
-BLOCK = CONTAINER | LEFT_OUT | frozenset("address blockquote caption center dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li ol p pre summary table tbody tfoot th thead tr ul".split())
+BLOCK = CONTAINER | LEFT_OUT | frozenset("form address blockquote caption center dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li ol p pre summary table tbody tfoot th thead tr ul".split())
+SCOPES = CONTAINER | frozenset("ul ol dl table".split())
 CLOSES_ITSELF = frozenset("dd dt li option p td th tr".split())
 NOISE = frozenset(
     "ad ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment commentlist comments consent cookie cookies copyright disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promos promotion recommended related reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
@@ -35,48 +43,86 @@ NOISE = frozenset(
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 ABOUT_LAYOUT = frozenset("has is layout no page with without".split())
+# What may stand beside a word of NOISE in one name.
+BESIDE = frozenset("area bar block bottom box col column container content footer global group header holder inner item items left list main module outer page panel primary region right row secondary section site top wrap wrapper".split())
 NEVER_NOISE = frozenset(["html", "body", "main"])
-NOISE_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related reply respond sponsored".split())
+STRONG = frozenset("ad ads advert adverts advertisement comment commentlist comments disqus promo promos related reply respond responses sponsored".split())
+CLEAN, SUSPECT, NOISY = 0, 1, 2
 
 
 def parts(name: str) -> list[str]:
     return [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x]
 
 
-def look(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """(boilerplate, promising, generalised name) of an element."""
-    noise, good, names = tag in LEFT_OUT, tag in ("article", "main"), []
+def name_says(name: str) -> tuple[int, bool]:
+    """(CLEAN, SUSPECT or NOISY, whether it promises text) of one class or id."""
+    p = parts(name)
+    if p and p[0] in ABOUT_LAYOUT:  # has-sidebar, no-comments
+        return CLEAN, False
+    for k, word in enumerate(p):
+        if word in ("with", "has", "no", "without", "free"):  # article-with-sidebar, ad-free
+            p = p[:k] if word != "free" else p[: max(0, k - 1)]
+            break
+    words = set(p)
+    good = not GOOD.isdisjoint(words)
+    if NOISE.isdisjoint(words) or not words <= NOISE | BESIDE | GOOD:  # widget in elementor-widget-container says nothing
+        return CLEAN, good
+    return (SUSPECT, False) if STRONG.isdisjoint(words) else (NOISY, False)
+
+
+def look(tag: str, attributes: str) -> tuple[int, bool, str]:
+    """(CLEAN, SUSPECT or NOISY, promising, generalised name) of an element."""
+    state = NOISY if tag in LEFT_OUT else SUSPECT if tag == "form" else CLEAN
+    said, good, names = CLEAN, tag in ("article", "main"), []
     if "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
-            kind, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
+            kind = m[1].lower()
+            if kind not in ("class", "id", "role"):
+                continue
+            value = m[2] or m[3] or m[4] or ""
+            value = unescape(value) if "&" in value else value
             if kind == "role":
-                noise = noise or value.lower() in ROLES
+                if value.lower() in ROLES:
+                    state = max(state, NOISY if tag not in NEVER_NOISE else CLEAN)
                 good = good or value.lower() in ("main", "article")
                 continue
             for name in value.split():
-                p = parts(name)
-                if p and p[0] not in ABOUT_LAYOUT and tag not in NEVER_NOISE:
-                    noise = noise or not (NOISE_ARTICLE if tag == "article" else NOISE).isdisjoint(p)
-                good = good or not GOOD.isdisjoint(p)
+                noise, promise = name_says(name)
+                said, good = max(said, noise), good or promise
                 if kind == "class":
                     names.append(re.sub(r"\d+", "", name.lower()))
-    return noise, good, tag + "".join(f".{n}" for n in sorted(set(names)))
+    if tag not in NEVER_NOISE and not (said == SUSPECT and good):  # of content and sidebar-right, content counts
+        state = max(state, said)
+    name = tag + "".join(f".{n}" for n in sorted(set(names)))
+    return state, good, name if len(name) <= LONG_NAME else f"{tag}.#{xxhash.xxh64_hexdigest(name.encode('utf-8', 'replace'))}"
 
 
 class Page:
-    """Containers and text blocks of a page, boilerplate left out."""
+    """Containers and text blocks of a page, boilerplate left out. Memory is linear in the page."""
 
     def __init__(self, html: str):
         self.paths: list[str] = ["html"]
         self.parents: list[int] = [-1]
         self.good: list[bool] = [False]
         self.blocks: list[tuple[str, int, int]] = []  # text, characters of links, container
-        self._scan(html)
-
-    def _scan(self, html: str) -> None:
-        # an open element: tag, whether boilerplate, innermost container
-        stack: list[tuple[str, bool, int]] = [("", False, 0)]
+        self.region: list[int] = [-1]  # of each container: the innermost suspect element around it
+        suspects, within = self._scan(html)
+        self._settle(suspects, within)
+
+    def _path(self, container: int, name: str) -> str:
+        above = self.paths[container]
+        if len(above) > LONG_PATH:
+            above = f"#{xxhash.xxh64_hexdigest(above.encode('utf-8', 'replace'))}"
+        return f"{above}>{name}"
+
+    def _scan(self, html: str) -> tuple[list[int], list[int]]:
+        """(the suspect element around each suspect element, the one around each block), -1 for none."""
+        # an open element: tag, whether left out, innermost container, innermost suspect, open tags of its scope by place
+        stack: list[tuple[str, bool, int, int, dict]] = [("", False, 0, -1, {})]
+        opened: dict[str, int] = defaultdict(int)
         text: list[str] = []
+        suspects: list[int] = []
+        within: list[int] = []
         links, in_link, at = 0, 0, 0
 
         def flush() -> None:
@@ -86,6 +132,7 @@ class Page:
                 text.clear()
                 if block:
                     self.blocks.append((block, links, stack[-1][2]))
+                    within.append(stack[-1][3])
             links = 0
 
         def take(piece: str) -> None:
@@ -97,9 +144,13 @@ class Page:
 
         def close(depth: int) -> None:
             nonlocal in_link
-            if any(t in BLOCK for t, _, _ in stack[depth:]):
+            if any(x[0] in BLOCK for x in stack[depth:]):
                 flush()
-            in_link -= sum(t == "a" for t, _, _ in stack[depth:])
+            for d in range(len(stack) - 1, depth - 1, -1):
+                tag = stack[d][0]
+                opened[tag] -= 1
+                in_link -= tag == "a"
+                stack[d - 1][4][tag].pop()
             del stack[depth:]
 
         while True:
@@ -114,9 +165,8 @@ class Page:
                 continue
             tag = tag.lower()
             if ending:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-                if depth:
-                    close(depth)
+                if opened.get(tag):  # so the search stops at what it closes
+                    close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
                 elif tag in BLOCK:
                     flush()
                 continue
@@ -127,32 +177,57 @@ class Page:
                     flush()
                 continue
             if tag in BLOCK:
-                for d in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, an item the item before it
-                    if stack[d][0] == "p" or stack[d][0] == tag and tag in CLOSES_ITSELF:
-                        close(d)
-                        break
-                    if stack[d][0] in CONTAINER or stack[d][0] in ("ul", "ol", "dl", "table"):
-                        break
+                # a block ends a paragraph that is open in its scope, an item the item before it
+                here = stack[-1][4]
+                depth = max([places[-1] for t in {"p", tag if tag in CLOSES_ITSELF else "p"} if (places := here.get(t))], default=0)
+                if depth:
+                    close(depth)
                 flush()
             elif tag != "a" and "=" not in attributes and tag not in RAW:
                 continue
-            noise, good, name = look(tag, attributes)
-            if tag not in BLOCK and tag != "a" and not noise and tag not in RAW:
+            state, good, name = look(tag, attributes)
+            if tag not in BLOCK and tag != "a" and state == CLEAN and tag not in RAW:
                 continue
-            _, skipped, container = stack[-1]
-            skipped = skipped or noise
+            _, skipped, container, suspect, scope = stack[-1]
+            if state == SUSPECT and not skipped:
+                flush()
+                suspects.append(suspect)
+                suspect = len(suspects) - 1
+            skipped = skipped or state == NOISY
             if tag in CONTAINER and not skipped:
-                self.paths.append(f"{self.paths[container]}>{name}")
+                self.paths.append(self._path(container, name))
                 self.parents.append(container)
                 self.good.append(good)
+                self.region.append(suspect)
                 container = len(self.paths) - 1
             if tag in RAW:  # its content isn't markup
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
                 at = end.start() if end else len(html)
                 skipped = True
-            stack.append((tag, skipped, container))
+            scope.setdefault(tag, []).append(len(stack))
+            stack.append((tag, skipped, container, suspect, {} if tag in SCOPES else scope))
+            opened[tag] += 1
             in_link += tag == "a"
         flush()
+        return suspects, within
+
+    def _settle(self, suspects: list[int], within: list[int]) -> None:
+        """Drop the blocks and containers of suspect elements but those that hold most of the page's text."""
+        if not suspects:
+            return
+        held, total = [0.0] * len(suspects), 0.0
+        for (block, links, _), r in zip(self.blocks, within, strict=True):
+            size = max(0, len(block) - links)
+            total += size
+            if r >= 0:
+                held[r] += size
+        for r in range(len(suspects) - 1, -1, -1):  # an inner one comes after those around it
+            if suspects[r] >= 0:
+                held[suspects[r]] += held[r]
+        kept = [False] * len(suspects)
+        for r, outer in enumerate(suspects):
+            kept[r] = held[r] > 0 and held[r] >= WRAPPER * total and (outer < 0 or kept[outer])
+        self.blocks = [b for b, r in zip(self.blocks, within, strict=True) if r < 0 or kept[r]]
 
     def scores(self) -> list[float]:
         """Text of each container outside links; what lies in an inner container counts less."""
@@ -163,22 +238,26 @@ class Page:
             own[self.parents[c]] += 0.6 * own[c]
         return [s * (1.5 if g else 1.0) for s, g in zip(own, self.good, strict=True)]
 
-    def votes(self, most: int = 3) -> list[tuple[str, int]]:
-        """The page's thousand votes over the paths of its best containers."""
+    def votes(self) -> list[tuple[str, int]]:
+        """The page's thousand votes over the paths of its containers, by squared score; under half a vote is none."""
         by_path: dict[str, float] = defaultdict(float)
         for p, s in zip(self.paths, self.scores(), strict=True):
             by_path[p] = max(by_path[p], s)
-        best = sorted(((s, p) for p, s in by_path.items() if s > 0), reverse=True)[:most]
-        total = sum(s * s for s, _ in best)
-        return [(p, round(1000 * s * s / total)) for s, p in best]
+        total = sum(s * s for s in by_path.values()) or 1.0
+        return [(p, n) for p, s in by_path.items() if (n := round(1000 * s * s / total))]
 
     def text(self, path: str | None) -> str:
-        """Blocks inside the containers on `path`, or inside the page's best container if there are none."""
-        inside = [p == path for p in self.paths]
+        """Blocks inside the containers on `path`, or inside the page's best container if there is no text in them."""
+        out = self._inside([p == path for p in self.paths]) if path is not None else ""
+        if out:
+            return out
+        s = self.scores()
+        best = max(range(len(s)), key=s.__getitem__)
+        return self._inside([i == best for i in range(len(s))]) if s[best] > 0 else ""
+
+    def _inside(self, inside: list[bool]) -> str:
         if not any(inside):
-            s = self.scores()
-            best = max(range(len(s)), key=s.__getitem__)
-            inside = [i == best and s[best] > 0 for i in range(len(s))]
+            return ""
         for c in range(1, len(inside)):
             inside[c] = inside[c] or inside[self.parents[c]]
         return "\n".join(block for block, _, c in self.blocks if inside[c])
@@ -189,7 +268,10 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, votes): the winning path of each host. Ties go to the path that sorts last."""
+    """(host, path, votes): the winning path of each host. Ties go to the path that sorts last; pages without a host have no vote.
+
+    Names and paths of over LONG_NAME and LONG_PATH characters are named by their hash in it.
+    """
     def run(batches):
         for b in bounded(batches, 1):
             count: dict[tuple[str, str], int] = defaultdict(int)
@@ -199,7 +281,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             rows = list(count.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], pa.string()) for i in (0, 1)] + [pa.array([n for _, n in rows], pa.int64())], names=["host", "path", "votes"])
 
-    source = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    source = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).where("host <> ''")
     votes = source.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best")).select("host", "best.path", "best.votes")
 
@@ -207,11 +289,12 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
-    Null, empty and text-free html give an empty text. Rows with a null url share one host. Truncated pages are
+    Null, empty and text-free html give an empty text. Rows whose url has no host are extracted from their own best container. Truncated pages are
     read to their end; a tag cut off there is dropped. A quote that never closes ends with its tag. Repeated rows get a row each. An empty table gives an
     empty result. Other columns of pages are not looked at.
     """
-    winners = broadcast_if_small(stored(host_paths(pages, url_col, html_col).select("host", "path"), "host-paths"))
+    winners = stored(host_paths(pages, url_col, html_col).select("host", "path"), "host-paths")
+    winners = broadcast_if_small(winners, size=F.length("host") + F.length("path"))
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
 
     def run(batches):

@@ -61,6 +61,57 @@ def test_hosts_agree_on_a_path(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "<div class='content sidebar-right'>",
+        "<div class='elementor-widget-container'>",
+        "<div class='post share-post'>",
+        "<div class='article-with-sidebar'>",
+        "<div class='ad-free'>",
+        "<div id='search-engines'>",
+        "<div data-role='navigation' data-id='menu'>",
+        "<div title='class=sidebar'>",
+        "<div id=widget>",
+        "<form id=form1>",
+        "<div class=sidebar><div class=text>",
+    ],
+)
+def test_names_that_only_look_like_boilerplate(opening):
+    html = f"<html><body><nav>Home</nav><div class='sidebar'>Other things</div>{opening}{ARTICLE}<div class='post-comments'><p>a reader says a lot of things here, more than the text itself does</p></div></div><div class='cookie-notice'>We use cookies</div>"
+    assert Page(html).text(None) == WANT
+
+
+def test_suspects_with_little_text_go():
+    html = f"<body><div class=widget><p>Latest of all</div><div class='page content'>{ARTICLE * 4}</div><div class=share><p>Tell others</div><form><p>Your name</form>"
+    assert Page(html).text(None) == "\n".join([WANT] * 4)
+
+
+def test_empty_winner_falls_back_on_the_page(spark):
+    usual = "<div class=a><p>" + "long text of the usual kind " * 20 + "</div>"
+    rows = [(i, f"http://x.org/{i}", usual) for i in range(4)] + [(8, "http://x.org/8", "<div class=a></div><section><p>the text of another template</section>"), (9, None, usual), (10, "no host", "<p>own text")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[8] == "the text of another template"
+    assert got[9] == got[0]
+    assert got[10] == "own text"
+
+
+@pytest.mark.parametrize("piece", ["<div class='c1'>", "<div class=x><span id=menu>", "<h1>", "<li>", "<p><a href=x>", "</x></div>", "<a title='", "<div class='" + "n " * 50 + "'>"])
+def test_deep_nesting_is_linear(piece):
+    import time
+    import tracemalloc
+
+    n = 40_000
+    html = "<article><p>the text</p></article>" + piece * n
+    tracemalloc.start()
+    begin = time.perf_counter()
+    assert Page(html[: 30 * n]).text(None).startswith("the text")
+    took, peak = time.perf_counter() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert took < 60
+
+
 def test_long_page_is_read_whole():
     html = "<article>" + "".join(f"<p>block {i}</p>" for i in range(50_000))
     assert Page(html).text(None).count("\n") == 49_999
