@@ -1,14 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 An item is contained in a document if at least `threshold` of the item's distinct word shingles occur there.
-Items are partitioned by size (powers of two of their shingle count). An item's sketch is its bottom-k under
-a random order of shingles, the order of their 64-bit hashes, with k = floor((1 - threshold) * u) + 1 for the
-largest size u of its partition: whichever shingles a document lacks, it shares one of the sketch if it
-contains the item, so the search misses nothing. (Signatures of a fixed length for whole documents, banded for
-the Jaccard similarity that a partition's sizes allow, can't do this: a 30-shingle item inside 20,000 shingles
-has a similarity of 0.0015.) A document's side of the search is every shingle hash, so its length doesn't
-matter; partitions that are too large for a document are not searched. Candidates are verified by counting the
-shared shingles themselves.
+Items are partitioned by size (powers of two of their shingle count). An item's sketch is its least shingles under
+one order of all shingles: those that few items share first, by hash among equals (a min-wise sketch of what is rare).
+It has k = 3 * floor((1 - threshold) * u) + 1 of them for the largest size u of its partition. A document that contains
+the item lacks n - ceil(threshold * n) shingles at most, so it shares at least k less that number: the search demands
+so many, at least two thirds of the sketch, and misses nothing; an opening that many items share makes no candidates.
+(Signatures of a fixed length for whole documents, banded for the Jaccard similarity that a partition's sizes allow,
+can't do this: a 30-shingle item inside 20,000 shingles has a similarity of 0.0015.) A document's side of the
+search is every shingle hash, so its length doesn't matter; items that are too large for a document are not
+searched. Candidates are verified by counting the shared shingles themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, join_split, stored
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -50,6 +51,33 @@ def item_shingles(items: DataFrame, width: int, item_col: str, text_col: str) ->
     return s.withColumn("n_item", F.count(F.lit(1)).over(Window.partitionBy("item_id")).cast("int"))
 
 
+def sketches(grams: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, hash, width, need, hits): the sketch of each item, the shingles a document needs and those of the sketch among them."""
+    need = F.ceil(F.col("n_item") * threshold - 1e-9).cast("int")
+    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item"))))
+    k = F.least("n_item", (3 * F.floor(upper * (1 - threshold) + 1e-9) + 1).cast("int"))
+    shared = grams.groupBy("hash").agg(F.countDistinct("item_id").alias("items"))
+    order = Window.partitionBy("item_id").orderBy("items", "hash", "shingle")
+    ranked = join_split(grams, shared, "hash").withColumn("k", k).withColumn("nth", F.row_number().over(order)).where("nth <= k")
+    return ranked.select("item_id", "hash", "width", need.alias("need"), (F.col("k") - F.col("n_item") + need).alias("hits"))
+
+
+def candidate_pairs(docs: DataFrame, grams: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id) of documents that hold as much of an item's sketch as any that contains it must."""
+    sketch = broadcast_if_small(sketches(grams, threshold))
+    widths = sorted(r[0] for r in grams.select("width").distinct().collect())  # as many as a shingle has words, at most
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("h"))
+    found = None
+    for n in widths:
+        at = hashed.withColumn("n", F.size("h") - n + 1).where("n >= 1").select("doc_id", "h", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+        keys = at.select("doc_id", F.size("h").alias("n"), gram_hash(F.col("h"), F.col("i"), n).alias("hash"))
+        hits = keys.join(sketch.where(F.col("width") == n), "hash").where(F.col("n") * len(widths) >= F.col("need")).select("doc_id", "item_id", "hash", "hits")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    return found.groupBy("doc_id", "item_id", "hits").agg(F.countDistinct("hash").alias("n")).where("n >= hits").select("doc_id", "item_id")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) for every document that contains an item.
 
@@ -59,26 +87,12 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
     their own. Empty tables give an empty result. Other columns are not looked at.
     """
     grams = stored(item_shingles(items, width, item_col, text_col), "item-shingles")
-    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item"))))
-    k = F.floor(upper * (1 - threshold) + 1e-9) + 1
-    order = Window.partitionBy("item_id").orderBy("hash", "shingle")
-    sketch = grams.withColumn("k", k).withColumn("nth", F.row_number().over(order)).where("nth <= k")
-    sketch = broadcast_if_small(sketch.select("item_id", "hash", "width", F.ceil(F.col("n_item") * threshold - 1e-9).cast("int").alias("need")))
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("h"))
-    found = None
-    for (n,) in sorted(grams.select("width").distinct().collect()):  # as many as a shingle has words, at most
-        at = hashed.withColumn("n", F.size("h") - n + 1).where("n >= 1").select("doc_id", "h", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-        keys = at.select("doc_id", "n", gram_hash(F.col("h"), F.col("i"), n).alias("hash"))
-        hits = keys.join(sketch.where(F.col("width") == n), "hash").where("n >= need").select("doc_id", "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item int, n_shared int, containment double")
-    candidates = stored(found.distinct(), "candidates")
+    candidates = stored(candidate_pairs(docs, grams, threshold, id_col, text_col), "candidates")
     ids = broadcast_if_small(candidates.select(F.col("doc_id").alias("__doc")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(ids, texts.doc_id.eqNullSafe(ids["__doc"]), "left_semi").distinct().select("doc_id", words(F.col("text")).alias("w"))
     whole = grams.groupBy("item_id", "width", "n_item").agg(F.collect_list("shingle").alias("shingles"))
-    whole = broadcast_if_small(whole, 20_000)
+    whole = broadcast_if_small(whole, 20_000, F.length(F.array_join("shingles", " ")))
     pairs = candidates.alias("c").join(whole.alias("i"), F.expr("c.item_id <=> i.item_id")).select("c.doc_id", "c.item_id", "width", "n_item", "shingles")
     both = texts.alias("t").join(pairs.alias("p"), F.expr("t.doc_id <=> p.doc_id")).select("p.*", "w")
     shared = F.size(F.array_intersect(shingle_texts(F.col("w"), F.col("width")), F.col("shingles")))
@@ -97,8 +111,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id")
 ORACLE_SQL = r"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') w from documents),
 i as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') w from benchmark),
-ds as (select distinct doc_id, array_to_string(w[k:k + 4], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 3)) k from d)),
-its as (select distinct item_id, array_to_string(w[k:k + 4], ' ') s from (select item_id, w, unnest(range(1, len(w) - 3)) k from i)),
+iw as (select *, least(len(w), 5) width from i where len(w) > 0),
+its as (select distinct item_id, width, array_to_string(w[k:k + width - 1], ' ') s from (select item_id, width, w, unnest(range(1, len(w) - width + 2)) k from iw)),
+ds as (select distinct doc_id, width, array_to_string(w[k:k + width - 1], ' ') s from (select doc_id, width, w, unnest(range(1, len(w) - width + 2)) k from d, (select distinct width from its))),
 q as (select item_id, count(*) n from its group by item_id),
-m as (select doc_id, item_id, count(*) c from ds join its using (s) group by doc_id, item_id)
-select doc_id, item_id, n::int n_item, c::int n_shared, round(c / n, 6) containment from m join q using (item_id) where c >= 0.8 * n - 1e-9"""
+m as (select doc_id, item_id, count(*) c from ds join its using (width, s) group by doc_id, item_id)
+select doc_id, m.item_id, n::int n_item, c::int n_shared, round(c / n, 6) containment from m join q on m.item_id is not distinct from q.item_id where c >= 0.8 * n - 1e-9"""

@@ -62,3 +62,25 @@ def test_edge_rows(spark):
     left = decontam.drop_contaminated(d, i)
     assert left.columns == d.columns
     assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+
+
+def test_a_shared_opening_makes_no_candidates(spark):
+    rng = random.Random(8)
+    opening = "the question is as follows read the text and choose one answer from the list below"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(i, opening + " " + " ".join(word() for _ in range(40))) for i in range(60)]
+    docs = [(d, opening + " " + " ".join(word() for _ in range(100))) for d in range(90)] + [(100 + k, "x " + items[k][1]) for k in range(9)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert found(decontam.contained_items(d, i)) == brute(docs, items)
+    grams = decontam.item_shingles(i, 5, "item_id", "text")
+    assert decontam.candidate_pairs(d, grams, 0.8).count() <= 10 * 9
+
+
+def test_ties_and_mixed_items(spark):
+    items = [(1, "a b c"), (1, "d e f g h i j k l m"), (2, "a b c"), (3, "a b c a b c a b c a b c")]
+    docs = [(1, "a b c"), (2, "a b c x d e f g h i j k l m"), (3, "a b c a b c a b c a b c"), (4, "z a b c d e f g h i j k")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = found(decontam.contained_items(d, i))
+    assert (2, 1, 7, 7) in got
+    assert {(x, 2, 1, 1) for x in (1, 2, 3, 4)} <= got
+    assert (3, 3, 3, 3) in got
