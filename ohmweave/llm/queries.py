@@ -31,7 +31,7 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets_by_ledger(table(spark, sf_dir, "documents"), secrets.Ledger(spark))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

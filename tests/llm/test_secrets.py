@@ -77,3 +77,29 @@ def test_ledger_scans_only_what_is_new(spark):
     # a ledger's word is taken: nothing is scanned where it has the pair
     assert secrets.scan(first, ledger=ledger)[0].count() == 0
     assert secrets.find_secrets(first.withColumnRenamed("version", "doc_id"), ledger=ledger).count() == 3
+
+
+def test_a_stored_ledger_is_scanned_once(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").unionByName(table(spark, sf_dir, "documents").limit(20))
+    ledger = secrets.Ledger(spark)
+    first = found(secrets.find_secrets_by_ledger(docs, ledger))
+    assert first == found(secrets.find_secrets(docs))
+    blobs, scanned = docs.select("text").distinct().count(), ledger.read().count()
+    assert scanned == blobs * len(KINDS)
+    assert ledger.update(docs, id_col="doc_id").count() == 0
+    assert found(secrets.find_secrets_by_ledger(docs, ledger)) == first
+    assert ledger.read().count() == scanned
+    # the base rules came first: their pairs are not scanned with the added ones
+    other = secrets.Ledger(spark)
+    assert {r.rule for r in other.update(docs, secrets.BASE, id_col="doc_id").select("rule").distinct().collect()} == {r.key for r in secrets.BASE}
+    assert {r.rule for r in other.update(docs, id_col="doc_id").select("rule").distinct().collect()} == {r.key for r in secrets.EXTRA}
+
+
+def test_many_matches_ties_and_copies(spark):
+    many = "g ".join(f"{i:024x}" for i in range(64_000))
+    tie = "secret=" + "ab" * 16  # assign, with a hex run inside
+    rows = [(1, many), (2, tie), (2, tie), (3, tie), (None, tie), *((i, "token=abcdefg") for i in range(10, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = found(secrets.find_secrets(df))
+    assert got == sorted(((i is not None, i), brute(t)) for i, t in rows)
+    assert got[-1][1] != got[1][1]
