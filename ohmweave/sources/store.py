@@ -59,13 +59,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 200_000, size: Column | N
     return F.broadcast(df) if n <= most_rows and held <= most_bytes else df
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 1000, least: int = 100, total: int | None = None) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 1000, least: int = 100, total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """left joined on `key` to right, which has one row a key; no task gets all the rows of a frequent key.
 
     Keys with over a `parts`-th of left's rows (and over `least`) are fewer than `parts`, so right's rows for
     them are broadcast; the other keys shuffle. left is read several times: it should be a stored table.
+    counts: (key, count) of left's rows, where that is known.
     """
-    counted = left.groupBy(key).count()
+    counted = left.groupBy(key).count() if counts is None else counts
     bar = max(least, (left.count() if total is None else total) // parts)
     hot = [r[0] for r in counted.where((F.col("count") > bar) & F.col(key).isNotNull()).select(key).collect()]  # fewer than `parts`
     if not hot:
