@@ -4,14 +4,21 @@ Candidates come from a prefix filter, which loses none: put the shingles of all
 similarity t share a shingle among the first n - ceil(t * n) + 1 of each. The order is by hash, with shingles that
 are common in a bounded sample last, so that a much repeated line makes no large bucket; any order is lossless.
 
-Pairs are compared by their true similarity. In a first round each bucket compares its members with one head, drawn
-by hash, so that a large group of near copies grows together at a linear cost; in a second round the buckets compare
-what lies in different components then, all with all. So links span the components of all true pairs.
+All links are decided by the true similarity. No bucket is compared all with all while its members are many:
+
+1. Pairs that another search proposes (SimHash balls), and each member of a bucket with heads of it: members of least
+   hash, one in a bucket of up to SMALL members, three in a larger one. The links found give components.
+2. Members of large buckets are told apart by what they have and the head lacks, or the other way about. If x is not
+   linked to head h but is to y, the sets x ^ h and y ^ h overlap, so the same filter finds the pair by a prefix of
+   these differences (at most n * (1 - t) / t + 1 shingles, those that the head lacks first). These buckets of
+   differences meet heads of their own, as before.
+3. Small buckets and those of differences compare what still lies in different components.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, stored
+from .common import bounded, broadcast_if_small, connected_components, forget, join_split, stored
 
 WIDTH = 5
+SMALL = 32  # members of a bucket that are compared all with all
+PARTNERS = 256  # of a head in one part of a task
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -62,17 +71,18 @@ def prefix(grams: np.ndarray, common: np.ndarray, t: float) -> np.ndarray:
     return np.r_[grams[~late], grams[late]][:keep]
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, node): the set's name for each row."""
+def set_rows(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """(doc_id, text_hash, node, fp): the set's name and the fingerprint of its hashes for each row."""
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
-        for b in batches:
-            node = pa.array([set_id(shingle_set(x)) for x in b.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node], names=["doc_id", "text_hash", "node"])
+        for b in bounded(batches, 2):
+            sets = [shingle_set(x) for x in b.column(2).to_pylist()]
+            fps = np.array([fingerprint(x) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_id, sets), pa.int64()), pa.array(fps)], names=["doc_id", "text_hash", "node", "fp"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long, node long")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, fp long")
 
 
 def common_shingles(texts: DataFrame, most_docs: int = 2000, most: int = 100_000, least: int = 3) -> np.ndarray:
@@ -84,31 +94,46 @@ def common_shingles(texts: DataFrame, most_docs: int = 2000, most: int = 100_000
     return np.sort(np.array([g for g, n in seen.most_common(most) if n >= least], dtype=np.uint64))
 
 
-def buckets(texts: DataFrame, t: float) -> DataFrame:
-    """(key, node, n) for each shingle of each text's prefix, of the keys that several nodes have."""
-    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+BUCKET = "key long, node long, n int"
+
+
+def buckets(texts: DataFrame, t: float, common) -> DataFrame:
+    """BUCKET rows for each shingle of each text's prefix, of the keys that several nodes have. common: broadcast."""
 
     def run(batches):
-        for b in batches:
-            keys, nodes, sizes = [], [], []
-            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                grams = shingle_set(text)
-                first = prefix(grams, held.value, t)
-                keys.append(first.view(np.int64))
-                nodes.append(np.full(len(first), node, np.int64))
-                sizes.append(np.full(len(first), len(grams), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
+        for b in bounded(batches, 1):
+            yield bucket_rows([(node, len(g), prefix(g, common.value, t)) for node, g in zip(b.column(0).to_pylist(), map(shingle_set, b.column(1).to_pylist()), strict=True)])
+
+    return several(texts.mapInArrow(run, BUCKET))
+
+
+def bucket_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    keys = [k for _, _, k in rows]
+    sizes = [len(k) for k in keys]
+    node = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), sizes)
+    n = np.repeat(np.array([r[1] for r in rows], dtype=np.int32), sizes)
+    key = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n)], names=["key", "node", "n"])
+
 
-    rows = texts.mapInArrow(run, "key long, node long, n int")
+def several(rows: DataFrame) -> DataFrame:
+    """The BUCKET rows whose key is not alone, a batch and a row at a time whatever a key's number of rows."""
 
-    def shared(batches):
-        for cols, starts, sizes in runs(batches, 3):
-            keep = np.repeat(sizes > 1, sizes)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["key", "node", "n"])
+    def run(batches):
+        held, before = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)], None
+        for b in batches:
+            cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, b.columns, strict=True)]
+            if not len(cols[0]):
+                continue
+            alike = cols[0][:-1] == cols[0][1:]
+            keep = alike | np.r_[before is not None and before == cols[0][0], alike][: len(alike)]
+            before = cols[0][-2] if len(alike) else before
+            held = [c[-1:] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols], names=["key", "node", "n"])
+        if len(held[0]) and before is not None and before == held[0][0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["key", "node", "n"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long, n int")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, BUCKET)
 
 
 def runs(batches, width: int, rows: int = 1 << 17):
@@ -144,20 +169,25 @@ def sizes_fit(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.minimum(n, m) >= t * np.maximum(n, m) - 1e-9
 
 
-def head_pairs(shared: DataFrame, t: float) -> DataFrame:
-    """(a, b): each member of a bucket with one of its members, drawn by hash."""
+def heads_of(rows: DataFrame) -> DataFrame:
+    """(key, members, h0, h1, h2): for each bucket its size and three of its members (node, n), those of least hash.
 
-    def run(batches):
-        for (key, node, n), starts, sizes in runs(batches, 3):
-            draw = mixed(key.view(np.uint64) ^ mixed(node.view(np.uint64)))
-            at = np.repeat(np.arange(len(starts)), sizes)
-            head = np.lexsort((draw, at))[starts][at]
-            fit = (node != node[head]) & sizes_fit(n, n[head], t)
-            if fit.any():
-                yield pair_batch(node[fit], node[head[fit]])
+    A node's hash is the same in all buckets, so that the buckets of one group of copies have few heads.
+    """
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("hash"), "node", "n")) for seed in range(3)]
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *(x.alias(f"h{i}") for i, x in enumerate(least)))
 
-    # a bucket never spans partitions of `shared`, but files may be cut anywhere
-    return shared.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+def sizes_of(heads: DataFrame) -> DataFrame:
+    return heads.select("key", F.col("members").alias("count"))
+
+
+def head_pairs(rows: DataFrame, heads: DataFrame, t: float) -> DataFrame:
+    """(a, b): each member of a bucket with its first head, or its three if it is large, whose size fits."""
+    head = F.explode(F.when(F.col("members") > SMALL, F.array("h0", "h1", "h2")).otherwise(F.array("h0"))).alias("h")
+    met = join_split(rows, heads, "key", counts=sizes_of(heads)).select("node", "n", head).where("node <> h.node")
+    met = met.where(F.least("n", "h.n") >= F.lit(t) * F.greatest("n", "h.n") - 1e-9)
+    return met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
 
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, t: float) -> DataFrame:
@@ -187,12 +217,11 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, t: float) -> DataFrame:
     return rooted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def known_sets(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, grams): the whole sets, sorted, of the nodes that meet another in a bucket."""
-    nodes = stored(shared.select("node").distinct(), "nodes")
+def known_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, grams): the whole sets, sorted, of these nodes."""
 
     def sets(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["node", "grams"])
 
     return stored(texts.join(broadcast_if_small(nodes), "node", "left_semi").mapInArrow(sets, "node long, grams binary"), "sets")
@@ -219,47 +248,106 @@ def plausible(pairs: DataFrame, slices: DataFrame, t: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def beside_heads(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, part, b, grams) in order: a's set (b null) right before those of its partners b, of PARTNERS partners or so a part."""
+    many = pairs.groupBy("a").count().where(F.col("count") > PARTNERS).select("a", F.ceil(F.col("count") / PARTNERS).alias("parts"))
+    dealt = pairs.join(broadcast_if_small(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    heads = dealt.select("a", "part").distinct().join(known.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "grams")
+    partners = dealt.join(known.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "grams")
+    return heads.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+
+def partners_of(batches):
+    """(list of (a, its set, b, its set)) for each batch of beside_heads."""
+    head, mine = None, np.empty(0, np.uint64)
+    for batch in bounded(batches, 3):
+        out = []
+        for i, (a, part, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            grams = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
+            if b is None:
+                head, mine = (a, part), grams.copy()
+            elif (a, part) != head:
+                raise RuntimeError("a partner without its head")
+            else:
+                out.append((a, mine, b, grams))
+        yield out
+
+
 def verified(pairs: DataFrame, known: DataFrame, t: float) -> DataFrame:
     """The pairs whose sets have a similarity of t or more."""
-    # a head's set comes once, before those of its partners
-    heads = known.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    partners = pairs.join(known.withColumnRenamed("node", "b"), "b").select("a", "b", "grams")
 
     def run(batches):
-        head, mine = None, np.empty(0, np.uint64)
-        for batch in batches:
-            out = []
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                grams = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint64)
-                if b is None:
-                    head, mine = a, grams.copy()
-                    continue
-                if a != head:
-                    raise RuntimeError("a partner without its head")
-                both = len(np.intersect1d(mine, grams, assume_unique=True))
-                if both >= least_overlap(len(mine), len(grams), t):
-                    out.append((a, b))
+        for met in partners_of(batches):
+            out = [(a, b) for a, x, b, y in met if len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x), len(y), t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    both = heads.unionByName(partners).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long")
+    return beside_heads(pairs, known).mapInArrow(run, "a long, b long")
+
 
+def differences(head: np.ndarray, grams: np.ndarray, common: np.ndarray, t: float) -> np.ndarray:
+    """The first shingles of the set's difference from a head's: what the head lacks (common ones last), then what it has."""
+    more, less = np.setdiff1d(grams, head, assume_unique=True), np.setdiff1d(head, grams, assume_unique=True)
+    late = np.isin(more, common, assume_unique=True)
+    return np.r_[more[~late], more[late], less][: int(len(grams) * (1 - t) / t + 1e-9) + 1]
 
-def similar_links(texts: DataFrame, t: float = 0.8) -> DataFrame:
+
+def difference_buckets(rows: DataFrame, heads: DataFrame, known: DataFrame, common, t: float) -> DataFrame:
+    """BUCKET rows by (first head, shingle of the difference from it) of the members of large buckets."""
+    met = stored(join_split(rows, heads, "key", counts=sizes_of(heads)).select(F.col("h0.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "members")
+
+    def run(batches):
+        for members in partners_of(batches):
+            seed = {a: mixed(np.array([a], np.int64).view(np.uint64)) for a, _, _, _ in members}
+            yield bucket_rows([(b, len(y), mixed(differences(x, y, common.value, t) ^ seed[a])) for a, x, b, y in members])
+
+    return several(beside_heads(met, known).mapInArrow(run, BUCKET))
+
+
+def similar_links(texts: DataFrame, proposed: DataFrame, t: float = 0.8) -> DataFrame:
     """(a, b): pairs of similarity t or more that connect all that such pairs connect.
 
-    texts: node, text, a row for each distinct shingle set (see set_id).
+    texts: node, text, a row for each distinct shingle set (see set_id); proposed: (a, b), pairs to try first.
     """
-    shared = stored(buckets(texts, t), "buckets")
-    tried = stored(head_pairs(shared, t), "pairs")
-    known = known_sets(texts, shared)
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    rows = stored(buckets(texts, t, common), "buckets")
+    heads = stored(heads_of(rows), "heads")
+    large = stored(heads.where(F.col("members") > SMALL), "large")
+    ends = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = stored(head_pairs(rows, heads, t).unionByName(ends).distinct(), "pairs")
+    nodes = stored(rows.select("node").unionByName(ends.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "nodes")
+    known = known_sets(texts, nodes)
 
     def cut(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             sets = [np.frombuffer(x, dtype=np.uint64) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([slice_of(x).tobytes() for x in sets], pa.binary())], names=["node", "n", "slice"])
 
     slices = stored(known.mapInArrow(cut, "node long, n int, slice binary"), "slices")
-    first = stored(verified(stored(plausible(tried, slices, t), "pairs"), known, t), "links")
-    left = cross_pairs(shared, connected_components(first), t).join(tried, ["a", "b"], "left_anti")
-    return stored(verified(stored(plausible(left, slices, t), "pairs"), known, t), "links").unionByName(first)
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        may = stored(plausible(pairs, slices, t), "pairs")
+        out = stored(verified(may, known, t), "links")
+        forget(may)
+        return out
+
+    links = decided(tried)
+    roots = connected_components(links)
+    big = broadcast_if_small(large.select("key"))
+    small_rows = rows.join(big, "key", "left_anti")
+    if large.limit(1).count():
+        apart = stored(difference_buckets(rows.join(big, "key", "left_semi"), large, known, common, t), "differences")
+        again = stored(across(head_pairs(apart, stored(heads_of(apart), "heads"), t), roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(decided(again))
+        roots = connected_components(links)
+        left = cross_pairs(small_rows, roots, t).unionByName(cross_pairs(apart, roots, t)).distinct()
+        left = left.join(again, ["a", "b"], "left_anti")
+    else:
+        left = cross_pairs(small_rows, roots, t)
+    return links.unionByName(decided(stored(left.join(tried, ["a", "b"], "left_anti"), "pairs")))
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.where("root_a <> root_b").select("a", "b")

@@ -37,7 +37,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 def simhash(features: Iterator[bytes], seed: int = 42) -> int:
     """Bit i is 1 if set in over half the features' XXH64; 0 without features."""
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), features), dtype="<u8")
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), features), dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is 1 if set in over half of these 64-bit hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 15):
         bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -202,27 +206,40 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """docs with one document left of each group of near copies: the one with the least id.
+    """docs with one document left of each group of near copies: the row with the least id.
 
     Texts are linked if the Jaccard similarity of their five-word shingle sets is `similarity` or more, and by
-    nothing else; groups are the components of these links (see jaccard).
-    Rows with a null id are kept: nothing names them. A doc_id's repeated rows count as one document,
-    of which one row stays. Null and blank texts are copies of each other. Extra columns are carried along.
+    nothing else; groups are the components of these links. Ball hashing of the sets' fingerprints proposes pairs,
+    a prefix filter adds every other pair that may be similar enough, whole sets decide (see jaccard).
+    A document is an id and a text: rows of one id with different texts are judged each by its own text, and of rows
+    alike in both one stays, the first by its JSON. In a group the least id stays, of two texts under it the one of
+    lesser hash. Rows with a null id are kept: nothing names them. Null and blank texts are copies of each other.
+    Extra columns are carried along. An empty table gives an empty result.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    rows = stored(jaccard.set_rows(named, id_col, text_col), "rows")
+    named = docs.where(F.col(quoted(id_col)).isNotNull())
+    rows = stored(jaccard.set_rows(named, quoted(id_col), quoted(text_col), majority), "rows")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    heads = stored(rows.groupBy("node").agg(first), "representatives")
-    keyed = named.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    heads = stored(rows.groupBy("node").agg(first, F.first("fp").alias("fp")), "representatives")
+    keyed = named.select(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("text_hash"), F.struct("*").alias("row"))
     of_head = heads.where("node <> 0").select("node", "first.doc_id", "first.text_hash")
-    one = keyed.join(broadcast_if_small(of_head), ["doc_id", "text_hash"])
-    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        one = one.dropDuplicates(["doc_id", "text_hash"])
-    texts = stored(one.select("node", "text"), "texts")
-    roots = connected_components(jaccard.similar_links(texts, similarity))
-    rooted = heads.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    one = keyed.withColumn("text", F.col(f"row.{quoted(text_col)}").cast("string")).drop("row").join(broadcast_if_small(of_head), ["doc_id", "text_hash"])
+    repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated")
+    some = repeated.limit(1).count() > 0
+    texts = stored((one.dropDuplicates(["node"]) if some else one).select("node", "text"), "texts")
+    points = heads.where("node <> 0").select("node", "fp")
+    roots = connected_components(jaccard.similar_links(texts, ball_links(points), similarity))
+    rooted = stored(heads.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
     stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    gone = rows.join(rooted.join(stays, "root").select("node", "stays"), "node").where("doc_id <> stays.doc_id")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    left = named.join(gone, named[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
-    return left.unionByName(docs.where(F.col(id_col).isNull()))
+    of_node = stored(join_split(rooted, stays, "root").select("node", "stays"), "stays")
+    gone = join_split(rows, of_node, "node").where("not (doc_id = stays.doc_id and text_hash = stays.text_hash)").select("doc_id", "text_hash").distinct()
+    left = keyed.join(broadcast_if_small(stored(gone, "gone")), ["doc_id", "text_hash"], "left_anti")
+    if some:
+        again = broadcast_if_small(repeated)
+        firsts = left.join(again, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        left = left.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(firsts)
+    return left.select("row.*").unionByName(docs.where(F.col(quoted(id_col)).isNull()))
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions, dots and all."""
+    return "`" + name.replace("`", "``") + "`"

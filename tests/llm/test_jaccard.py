@@ -72,6 +72,52 @@ def test_documents_match_brute_force(spark, sf_dir):
     assert kept(spark, rows) == brute_kept(rows)
 
 
+def test_heavily_edited_copies_make_few_pairs(spark):
+    """Copies of one text with up to half of its words edited: few of their pairs are similar enough."""
+    rng, rows = random.Random(3), []
+    w = zipf(rng, 150)
+    for k in range(400):
+        x = list(w)
+        for _ in range(rng.randint(0, 25)):
+            x[rng.randrange(150)] = f"e{rng.random()}"
+        rows.append((k, " ".join(x)))
+    for k in range(60):  # copies of an edited copy
+        x = rows[399][1].split()
+        x[rng.randrange(150)] = f"e{rng.random()}"
+        rows.append((1000 + k, " ".join(x)))
+    want = brute_kept(rows)
+    assert 50 < len(want) < 400
+    assert kept(spark, rows) == want
+
+
+def test_rows_of_one_id_repeated_rows_nulls_and_names(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, "a b c d e f", "x"), (3, "k l m n o p", "x"), (5, "a b c d e f", "y"), (5, "a text of its own", "y"), (5, "a text of its own", "x"), (6, None, "x"), (7, "", "x"), (None, "a b c d e f", "x"), (None, None, "z"), (8, long, "x"), (9, long + " more", "x"), (9, long, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").withColumnRenamed("node", "a.b").selectExpr("*", "1 fp", "`a.b` key")
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    left = sorted(((r.doc_id is None, r.doc_id), (r.text or "")[:20], r["a.b"]) for r in out.collect())
+    none = (True, None)
+    assert left == sorted([((False, 1), "a b c d e f", "x"), ((False, 3), "k l m n o p", "x"), ((False, 5), "a text of its own", "x"), ((False, 6), "", "x"), ((False, 8), long[:20], "x"), (none, "a b c d e f", "x"), (none, "", "z")])
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_planted_near_copies_are_caught(spark):
+    """Recall by ids over copies with words changed, added and cut at 0.8 or more: all of them go."""
+    rng, rows, planted = random.Random(6), [], 0
+    for g in range(150):
+        w = zipf(rng, rng.choice([30, 120, 500]))
+        x = list(w)
+        for _ in range(max(1, len(w) // 60)):
+            x[rng.randrange(len(x))] = f"e{rng.random()}"
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(x))]
+        a, b = grams(rows[-2][1]), grams(rows[-1][1])
+        planted += len(a & b) >= 0.8 * len(a | b)
+    left = set(kept(spark, rows))
+    assert planted > 100
+    assert sum(10 * g + 1 not in left for g in range(150)) == planted
+
+
 def test_texts_below_the_similarity_stay(spark):
     rng, rows = random.Random(4), []
     vocabulary = [f"v{i}" for i in range(600)]
