@@ -136,9 +136,9 @@ def links_by_key(points: DataFrame, masks: list[tuple[int, int]], radii: tuple[i
     """
     values = ["fp", "check"][: len(radii)]
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip")) for k, f in masks]))
-    # dealt out before each row becomes one for each mask; a given number of partitions is not coalesced
+    # dealt out before each row becomes one for each mask; by no key, since a join's partitions by node would be kept, few as they are
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = points.select("node", "grp", *values).where(F.col("fp").isNotNull()).repartition(tasks, "node").select("node", "grp", *values, each.alias("m"))
+    v = points.select("node", "grp", *values).where(F.col("fp").isNotNull()).repartition(tasks).select("node", "grp", *values, each.alias("m"))
     v = v.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), "node", "grp", *values)
 
     def run(batches):
