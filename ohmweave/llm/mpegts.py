@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -85,7 +86,7 @@ def padded(raw: bytes) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload of whole units."""
-    out, counter, each = [TABLES], 0, UNIT * UNITS_PER_PACKET
+    out, counter, each = bytearray(TABLES), 0, UNIT * UNITS_PER_PACKET
     for k, at in enumerate(range(0, len(payload), each)):
         data = payload[at : at + each]
         pts = k * UNITS_PER_PACKET * TICKS & (1 << 33) - 1
@@ -101,11 +102,11 @@ def mux(payload: bytes) -> bytes:
             if len(chunk) < PAYLOAD:
                 size = PAYLOAD - len(chunk) - 1
                 extra = (field_ or (b"\0" if size else b"")).ljust(size, b"\xff")
-                out += (header(ES_PID, start, 3, counter), bytes([size]), extra, chunk)
+                out += header(ES_PID, start, 3, counter) + bytes([size]) + extra + chunk
             else:
-                out += (header(ES_PID, start, 1, counter), chunk)
+                out += header(ES_PID, start, 1, counter) + chunk
             counter, start, field_ = counter + 1 & 15, False, b""
-    return b"".join(out)
+    return bytes(out)
 
 
 @dataclass
@@ -116,70 +117,147 @@ class Stream:
     streams: dict[int, int] = field(default_factory=dict)  # elementary pid -> kind
     packets: int = 0
     lost: int = 0  # continuity counters that don't follow
-    broken: int = 0  # packets without sync, sections with a wrong CRC
-    payload: bytes = b""
-    times: list[tuple[int, int, bool]] = field(default_factory=list)  # timestamp, byte offset in the stream, random access
+    repeated: int = 0  # packets sent twice, as the format allows
+    broken: int = 0  # packets without sync or with impossible lengths, sections with a wrong CRC
+    torn: int = 0  # elementary packets that aren't whole
+    payloads: dict[int, bytes] = field(default_factory=dict)  # elementary pid -> its packets' data end to end
+    stamps: list[tuple[int, int, bool, int]] = field(default_factory=list)  # timestamp, byte offset in the stream, random access, pid
+
+    @property
+    def times(self) -> list[tuple[int, int, bool]]:
+        return [x[:3] for x in self.stamps]
+
+    @property
+    def payload(self) -> bytes:
+        """That of the elementary stream of least pid."""
+        return self.payloads[min(self.payloads)] if self.payloads else b""
+
+
+class Elementary:
+    """The elementary stream of one pid: the packet that is being put together, and the data so far."""
+
+    def __init__(self):
+        self.data, self.open, self.at, self.point = bytearray(), None, 0, False
+
+    def begin(self, at: int, point: bool) -> None:
+        self.open, self.at, self.point = bytearray(), at, point
+
+    def finish(self) -> tuple[tuple[int, int, bool] | None, bool]:
+        """((timestamp, offset, random access) or None, whether the packet was whole); its data joins the rest."""
+        if self.open is None:
+            return None, True
+        whole, self.open = self.open, None
+        if len(whole) < 9 or whole[:3] != b"\0\0\1" or len(whole) < 9 + whole[8]:
+            return None, False
+        size = int.from_bytes(whole[4:6], "big")
+        self.data += whole[9 + whole[8] : 6 + size if size else len(whole)]
+        time = (unstamp(whole[9:14]), self.at, self.point) if whole[7] & 0x80 and whole[8] >= 5 else None
+        return time, not size or len(whole) >= 6 + size
+
+
+class Sections:
+    """The table sections of one pid, over as many packets as they take."""
+
+    def __init__(self):
+        self.held: bytearray | None = None  # None until a section begins
+
+    def feed(self, data: bytes, start: bool) -> Iterator[bytes]:
+        if start:
+            pointer = data[0] if data else 0
+            yield from self.whole(data[1 : 1 + pointer])
+            self.held = bytearray()
+            yield from self.whole(data[1 + pointer :])
+        else:
+            yield from self.whole(data)
+
+    def whole(self, data: bytes) -> Iterator[bytes]:
+        if self.held is None:
+            return
+        self.held += data
+        while len(self.held) >= 3 and self.held[0] != 0xFF:  # stuffing follows the last
+            size = 3 + (int.from_bytes(self.held[1:3], "big") & 0xFFF)
+            if len(self.held) < size:
+                return
+            yield bytes(self.held[:size])
+            del self.held[:size]
 
 
 def demux(ts: bytes) -> Stream:
-    s, parts, last = Stream(), [], {}
-    pes: list[bytes] = []
-
-    def flush() -> None:
-        whole = b"".join(pes)
-        pes.clear()
-        if whole[:3] == b"\0\0\x01" and len(whole) >= 9:
-            size = int.from_bytes(whole[4:6], "big")
-            parts.append(whole[9 + whole[8] : 6 + size if size else None])
-
-    for at in range(0, len(ts) - PACKET + 1, PACKET):
+    """Read a stream of any number of programs and elementary streams; faults are counted, never raised."""
+    s = Stream()
+    last: dict[int, tuple[int, bytes]] = {}  # pid -> counter and payload of its last packet
+    sections: dict[int, Sections] = {}
+    flows: dict[int, Elementary] = {}
+
+    def finish(pid: int) -> None:
+        time, good = flows[pid].finish()
+        s.torn += not good
+        if time:
+            s.stamps.append((*time, pid))
+
+    for at in range(0, len(ts), PACKET):
         s.packets += 1
-        if ts[at] != 0x47:
+        if ts[at] != 0x47 or at + PACKET > len(ts) or ts[at + 1] & 0x80:
             s.broken += 1
             continue
-        b1, control = ts[at + 1], ts[at + 3]
-        pid, start = (b1 & 0x1F) << 8 | ts[at + 2], b1 & 0x40
-        pos, end, point = at + 4, at + PACKET, False
+        control = ts[at + 3]
+        pid, start = (ts[at + 1] & 0x1F) << 8 | ts[at + 2], bool(ts[at + 1] & 0x40)
+        pos, flags = at + 4, 0
         if control & 0x20:
-            point = ts[pos] > 0 and bool(ts[pos + 1] & 0x40)
-            pos += 1 + ts[pos]
-        if not control & 0x10:
+            size = ts[pos]
+            if size > (182 if control & 0x10 else 183):
+                s.broken += 1
+                continue
+            flags = ts[pos + 1] if size else 0
+            pos += 1 + size
+        if not control & 0x10 or pid == 0x1FFF:
             continue
-        if pid in last and last[pid] + 1 & 15 != control & 15:
-            s.lost += 1
-        last[pid] = control & 15
+        data, counter = ts[pos : at + PACKET], control & 15
+        if pid in last and not flags & 0x80:  # a flagged discontinuity is none that was lost
+            if last[pid] == (counter, data):
+                s.repeated += 1
+                continue
+            s.lost += last[pid][0] + 1 & 15 != counter
+        last[pid] = counter, data
         if pid in s.streams:
+            flow = flows.setdefault(pid, Elementary())
             if start:
-                flush()
-                if ts[pos + 7] & 0x80:
-                    s.times.append((unstamp(ts[pos + 9 : pos + 14]), at, point))
-            pes.append(ts[pos:end])
-        elif start and (pid == 0 or pid in s.programs.values()):
-            pos += 1 + ts[pos]
-            size = 3 + (int.from_bytes(ts[pos + 1 : pos + 3], "big") & 0xFFF)
-            data = ts[pos : pos + size]
-            if section_crc(data):
-                s.broken += 1
-            elif pid == 0:
-                for k in range(8, size - 4, 4):
-                    s.programs[int.from_bytes(data[k : k + 2], "big")] = int.from_bytes(data[k + 2 : k + 4], "big") & 0x1FFF
-            else:
-                k = 12 + (int.from_bytes(data[10:12], "big") & 0xFFF)
-                while k < size - 4:
-                    s.streams[int.from_bytes(data[k + 1 : k + 3], "big") & 0x1FFF] = data[k]
-                    k += 5 + (int.from_bytes(data[k + 3 : k + 5], "big") & 0xFFF)
-    flush()
-    s.payload = b"".join(parts)
+                finish(pid)
+                flow.begin(at, bool(flags & 0x40))
+            if flow.open is not None:
+                flow.open += data
+        elif pid == 0 or pid in s.programs.values():
+            for section_ in sections.setdefault(pid, Sections()).feed(data, start):
+                read_section(s, pid, section_)
+    for pid in flows:
+        finish(pid)
+    s.payloads = {pid: bytes(f.data) for pid, f in flows.items()}
+    s.stamps.sort(key=lambda x: x[1])
     return s
 
 
+def read_section(s: Stream, pid: int, data: bytes) -> None:
+    """Take the programs of an association table, or the streams of a program's map."""
+    if len(data) < 12 or section_crc(data):
+        s.broken += 1
+    elif pid == 0 and data[0] == 0:
+        for k in range(8, len(data) - 7, 4):
+            if program := int.from_bytes(data[k : k + 2], "big"):  # 0 names the network
+                s.programs[program] = int.from_bytes(data[k + 2 : k + 4], "big") & 0x1FFF
+    elif data[0] == 2:
+        k = 12 + (int.from_bytes(data[10:12], "big") & 0xFFF)
+        while k + 5 <= len(data) - 4:
+            s.streams[int.from_bytes(data[k + 1 : k + 3], "big") & 0x1FFF] = data[k]
+            k += 5 + (int.from_bytes(data[k + 3 : k + 5], "big") & 0xFFF)
+
+
 def describe(s: Stream) -> str:
     """Tables, packet counts, faults, span of timestamps, and the timestamps of the random-access points."""
     kinds = ",".join(f"{pid}:{kind}" for pid, kind in sorted(s.streams.items()))
     maps = ",".join(f"{p}:{pid}" for p, pid in sorted(s.programs.items()))
     points = ",".join(str(t) for t, _, p in s.times if p)
     span = f"{s.times[0][0]}-{s.times[-1][0]}" if s.times else ""
-    return f"programs={maps};streams={kinds};packets={s.packets};pes={len(s.times)};lost={s.lost};broken={s.broken};pts={span};points={points}"
+    return f"programs={maps};streams={kinds};packets={s.packets};pes={len(s.times)};lost={s.lost};repeated={s.repeated};broken={s.broken};torn={s.torn};pts={span};points={points}"
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,36 +273,40 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def access_points(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, seconds, byte_offset, random_access): a row for each elementary packet of each stream."""
+    """(doc_id, pid, seconds, byte_offset, random_access): a row for each elementary packet with a timestamp of each stream."""
     def run(batches):
         for b in bounded(batches, 1):
-            rows = [(i, t / 90_000, at, p) for i, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t, at, p in demux(ts or b"").times]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "seconds", "byte_offset", "random_access"])
+            rows = [(i, pid, t / 90_000, at, p) for i, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t, at, p, pid in demux(ts or b"").stamps]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "pid", "seconds", "byte_offset", "random_access"])
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, seconds double, byte_offset long, random_access boolean")
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, pid int, seconds double, byte_offset long, random_access boolean")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TIMES = "timestamps array<struct<pts:bigint,byte_offset:bigint,random_access:boolean>>"
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """What the stored streams hold: payload read back, its digests, and the features of the stream."""
+    """What the stored streams hold: payload read back, its digests, the features of the stream, and its timestamps (READ, TIMES)."""
+
     def run(batches):
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in READ.split(", ")]
+        times = pa.list_(pa.struct([("pts", pa.int64()), ("byte_offset", pa.int64()), ("random_access", pa.bool_())]))
         for b in bounded(batches, 2):
             rows = []
             for i, n, ts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 s = demux(ts)
-                rows.append((i, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(ts), hashlib.sha256(ts).hexdigest(), describe(s)))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in READ.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+                stamps = [{"pts": t, "byte_offset": at, "random_access": p} for t, at, p in s.times]
+                rows.append((i, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(ts), hashlib.sha256(ts).hexdigest(), describe(s), stamps))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*kinds, times], strict=True)], names=[*(x.split()[0] for x in READ.split(", ")), "timestamps"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{READ}, {TIMES}")
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as a stream, read the stored table back and describe it: the columns of READ.
+    """Store every text as a stream, read the stored table back and describe it: the columns of READ and TIMES.
 
     A row for each row of docs, repeated rows and null ids included; equal texts have equal values. An empty
     table gives an empty result. Other columns of docs are not looked at.

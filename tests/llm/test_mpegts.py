@@ -48,6 +48,58 @@ def test_faults_are_seen():
     assert mpegts.demux(b"").packets == 0
 
 
+def two_streams(a, b):
+    """Both payloads interleaved packet by packet under one program, the second as pid 0x102; the map spans two packets."""
+    first, second = (mpegts.mux(mpegts.padded(x)) for x in (a, b))
+    cut = lambda ts: [ts[k : k + 188] for k in range(376, len(ts), 188)]
+    moved = [bytes([0x47, p[1] & 0xE0 | 1, 2]) + p[3:] for p in cut(second)]
+    entry = lambda pid: bytes([6]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\0"
+    pad = bytes([6]) + (0xE000 | 0x900).to_bytes(2, "big") + b"\xf0\xc8" + b"d" * 200
+    pmt = mpegts.section(2, 1, b"\xe1\x01\xf0\0" + entry(0x101) + pad + entry(0x102))
+    tables = first[:188] + mpegts.header(0x1000, True, 1, 0) + b"\0" + pmt[:183] + (mpegts.header(0x1000, False, 1, 1) + pmt[183:]).ljust(188, b"\xff")
+    out = [tables]
+    one, two = cut(first), moved
+    for k in range(max(len(one), len(two))):
+        out += one[k : k + 1] + two[k : k + 1]
+    return b"".join(out)
+
+
+def test_interleaved_streams_are_put_together_apart():
+    rng = random.Random(5)
+    a, b = rng.randbytes(20_160), rng.randbytes(20_160)
+    s = mpegts.demux(two_streams(a, b))
+    assert (s.payloads, s.lost, s.broken, s.torn) == ({0x101: a, 0x102: b}, 0, 0, 0)
+    assert s.streams == {0x101: 6, 0x900: 6, 0x102: 6}
+    assert {p for _, _, _, p in s.stamps} == {0x101, 0x102}
+
+
+def test_repeats_and_flagged_discontinuities_are_no_losses():
+    ts = mpegts.mux(mpegts.padded(b"x" * 5000))
+    k = 188 * 5
+    s = mpegts.demux(ts[: k + 188] + ts[k:])
+    assert (s.repeated, s.lost, s.torn, s.payload) == (1, 0, 0, mpegts.padded(b"x" * 5000))
+    flagged = mpegts.header(mpegts.ES_PID, False, 3, 9) + b"\x01\x80" + b"y" * 182
+    assert mpegts.demux(ts[:k] + flagged).lost == 0
+    assert mpegts.demux(ts[:k] + mpegts.header(mpegts.ES_PID, False, 1, 15) + b"y" * 184).lost == 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(min_size=1, max_size=6), st.integers(0, 188 * 30))
+def test_damage_is_counted_not_raised(noise, at):
+    ts = mpegts.mux(mpegts.padded(b"x" * 5000))
+    s = mpegts.demux(ts[:at] + noise + ts[at + len(noise) :])
+    assert s.packets
+    short = mpegts.demux(ts[: at % len(ts)])
+    assert short.payload in (b"", mpegts.padded(b"x" * 5000)[: len(short.payload)])
+
+
+def test_impossible_lengths_are_broken():
+    ts = mpegts.mux(mpegts.padded(b"x" * 5000))
+    bad = bytes([0x47, 1, 1, 0x30, 250]) + b"\xff" * 183
+    s = mpegts.demux(ts + bad)
+    assert (s.broken, s.payload) == (1, mpegts.padded(b"x" * 5000))
+
+
 @pytest.mark.parametrize("pts", [0, 1, 90_000, (1 << 33) - 1, 0x155555555])
 def test_timestamps(pts):
     b = mpegts.stamp(pts)
@@ -70,6 +122,7 @@ def test_edge_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(mpegts.mux(p)), hashlib.sha256(mpegts.mux(p)).hexdigest())
     assert by[1].feature == by[2].feature
+    assert [(t.pts, t.random_access) for t in by[3].timestamps] == [(0, True)]
     assert mpegts.media_digest(df.limit(0)).count() == 0
     points = mpegts.access_points(mpegts.to_media(df)).where("doc_id is null").collect()
     assert len(points) == 32
