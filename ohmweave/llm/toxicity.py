@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, crc32_of_id
+from .common import crc32_of_id, forget, stored
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -66,16 +66,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
+def risk_slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the non-negative risk by each positive's and each unlabelled row's g; those back where the bracket is negative."""
+    bracket = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    like = -prior * sigmoid(-gp) / len(gp)  # slope of p E_P[l(g)]
+    less, more = -prior * sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)  # slopes of the bracket
+    return (like + less, more) if bracket >= 0 else (-less, -more)
+
+
 def descend(pos: Rows, unl: Rows, prior: float, l2: float = 1e-5, rounds: int = 400, rate: float = 0.1) -> tuple[float, np.ndarray]:
     """Adam on the non-negative risk."""
     w, b = np.zeros(pos.width), 0.0
     m, v = np.zeros(pos.width + 1), np.zeros(pos.width + 1)
     for t in range(1, rounds + 1):
-        gp, gu = pos.times(w) + b, unl.times(w) + b
-        bracket = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        like = -prior * sigmoid(-gp) / pos.n  # slope of p E_P[l(g)]
-        less, more = -prior * sigmoid(gp) / pos.n, sigmoid(gu) / unl.n  # slopes of the bracket
-        dp, du = (like + less, more) if bracket >= 0 else (-less, -more)
+        dp, du = risk_slopes(pos.times(w) + b, unl.times(w) + b, prior)
         grad = np.r_[pos.sums(dp) + unl.sums(du) + l2 * w, dp.sum() + du.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -83,43 +87,26 @@ def descend(pos: Rows, unl: Rows, prior: float, l2: float = 1e-5, rounds: int =
     return b, w
 
 
-def without_copies(texts: list[set[str]]) -> list[set[str]]:
-    """One text of each group of near copies: those that share 3 of their 5 words of least hash with one kept before."""
+def without_copies(texts: list[set[str]], alike: float = 0.6) -> list[set[str]]:
+    """One text of each group of near copies: candidates share one of their 5 words of least hash with a text kept
+    before, copies the share `alike` of all their words."""
     owners, out = defaultdict(list), []
     for t in texts:
-        least = sorted(crc32(w.encode()) for w in t)[:5]
-        if max(Counter(k for h in least for k in owners[h]).values(), default=0) < min(3, len(least) or 1):
-            for h in least:
-                owners[h].append(len(out))
-            out.append(t)
+        least = sorted(crc32(w.encode("utf-8", "replace")) for w in t)[:5]
+        if any(len(t & out[k]) >= alike * len(t | out[k]) for k in {k for h in least for k in owners[h]}):
+            continue
+        for h in least:
+            owners[h].append(len(out))
+        out.append(t)
     return out
 
 
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
-
-
-def calibrated(model: Model, g_pos: list[float], g_unl: list[float], prior: float, threshold: float = 0.7) -> Model:
-    """The model with g mapped linearly so that its scores are chances of toxicity at two points.
-
-    A text without a mark has the chance that the prior leaves for such. The turning point has the threshold:
-    as many unlabelled texts lie above it as the prior and the marked share of the positives let expect, but
-    it is not below three quarters of a typical mark's weight.
-    """
-    marked = min(0.999, float(np.mean(np.array(g_pos) > model.bias + 0.05)))
-    typical = float(np.median([w for w in model.weight.values() if w > 0] or [1.0]))
-    at = max(0.75 * typical, float(np.quantile(g_unl, 1 - prior * marked)) - model.bias)
-    none = logit(max(1e-4, prior * (1 - marked) / (1 - prior * marked)))
-    slope = (logit(threshold) - none) / at
-    return Model(none + 1e-9, {w: v * slope for w, v in model.weight.items()})
-
-
 def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 4, share: float = 0.006, lift: float = 4.0) -> Model:
     """Weights of the words that mark the positives: at least `share` of them (and `least` texts) have the word,
     `lift` times the share of the unlabelled texts that do, and more often than the commonest of as many words
     would by chance (a Poisson tail).
-    Copies count once, so that a text that is repeated can't make its words marks. Without positives every
-    score is the prior's.
+    Copies count once, so that a text that is repeated can't make its words marks. Weights and bias are those of the
+    risk, nothing is adjusted after. Without positives every score is the prior's.
     """
     pos, unl = (without_copies([words_of(t) for t in sorted(set(x))]) for x in (positive, unlabelled))
     prior = min(max(prior, 1e-3), 0.9)
@@ -135,29 +122,36 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, least: int = 4
         return Model(bias, {})
     number = {x: i for i, x in enumerate(marks)}
     b, w = descend(Rows(pos, number), Rows(unl, number), prior)
-    model = Model(float(b), dict(zip(marks, w.tolist(), strict=True)))
-    return calibrated(model, [model.g(t) for t in pos], [model.g(t) for t in unl], prior)
+    return Model(float(b), dict(zip(marks, w.tolist(), strict=True)))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1200, most_unlabelled: int = 4000, most_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit to rows whose crc32 of the id isn't 1 mod 3. A doc_id with several labels is positive if one is 1.
 
-    The sample is what the driver holds: most_positive and most_unlabelled rows at most, less those of over most_chars.
+    The sample is what the driver holds: of the texts of at most most_chars, at most most_positive confirmed ones and
+    most_unlabelled of all, those of least hash. A row that is repeated counts once.
     """
     told = labels.where(F.col(label_col).isNotNull() & (crc32_of_id(id_col) % 3 != 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    told = told.persist()
+    told = stored(told, "labels")
     n, positive = told.agg(F.count(F.lit(1)), F.sum(F.when(F.col("label") == 1, 1).otherwise(0))).first()
-    by_hash = (F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id")
-    ids = docs.where(F.col(text_col).isNotNull() & (crc32_of_id(id_col) % 3 != 1)).select(F.col(id_col).alias("id"))
-    pos = told.where("label = 1").select("id").join(ids, "id", "left_semi").orderBy(*by_hash).limit(most_positive)
+    text = F.col(text_col).cast("string")
+    may = docs.where(text.isNotNull() & (F.length(text) <= most_chars) & (crc32_of_id(id_col) % 3 != 1))
+    named = may.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), text).alias("hash"), text.alias("text"))
+    rows = stored(named.select("id", "hash").distinct(), "hashes")
+    pos = least_hashes(rows.join(told.where("label = 1").select("id"), "id", "left_semi"), most_positive)
     # the unlabelled texts are a sample of all, the confirmed ones among them, so that the prior is theirs
-    unl = ids.orderBy(*by_hash).limit(most_unlabelled)
-    chosen = broadcast_if_small(pos.withColumn("kind", F.lit(1)).unionByName(unl.withColumn("kind", F.lit(0))).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= most_chars)
-    rows = texts.join(chosen, "id").orderBy(*by_hash, "text").collect()
-    told.unpersist()
-    out = fit([r.text for r in rows if r.kind == 1][:most_positive], [r.text for r in rows if r.kind == 0][:most_unlabelled], (positive or 0) / n if n else 0.0)
-    return out
+    unl = least_hashes(rows, most_unlabelled)
+    chosen = F.broadcast(pos.withColumn("kind", F.lit(1)).unionByName(unl.withColumn("kind", F.lit(0))))  # no more than the two limits
+    sample = named.join(chosen, ["id", "hash"]).dropDuplicates(["id", "hash", "kind"]).select("kind", "text").collect()
+    forget(told, rows)
+    return fit([r.text for r in sample if r.kind == 1], [r.text for r in sample if r.kind == 0], (positive or 0) / n if n else 0.0)
+
+
+def least_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """The `most` rows of least hash. A bar that leaves about twice as many comes first, so that tasks send few rows each."""
+    bar = min(1.0, 2 * (most + 100) / max(1, rows.count()))
+    some = rows.where(F.col("hash") <= F.lit(int(-(1 << 63) + bar * ((1 << 64) - 2048))))
+    return (some if bar < 1 and some.count() >= most else rows).orderBy("hash", "id").limit(most)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
