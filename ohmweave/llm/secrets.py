@@ -92,26 +92,33 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, ledger: Da
     versions: any rows with a text; null counts as empty. Of rows with equal texts one is scanned: the one of the
     least id (id_col), so that no text moves, or any one after a shuffle if there are no ids.
     """
-    keys = [r.key for r in rules]
     named = versions.select(blob_of(text_col).alias("blob"), text_of(text_col).alias("text"), (F.col(id_col) if id_col else F.lit(None)).alias("id"))
     at_hand = stored(named.groupBy("blob").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep")), "blobs")
+    have, total = {}, at_hand.count()
+    if ledger is not None:
+        wanted = ledger.where(F.col("rule").isin([r.key for r in rules])).join(at_hand.select("blob"), "blob", "left_semi").select("blob", "rule", "spans")
+        have = dict(wanted.groupBy("rule").agg(F.countDistinct("blob")).collect())  # a row for each rule
+    due = [r for r in rules if have.get(r.key, 0) < total]
+    if not due:
+        new = versions.sparkSession.createDataFrame([], LEDGER)
+        return new, new if ledger is None else wanted
     if id_col:
-        repeated = broadcast_if_small(at_hand.where("n > 1").select("blob", "keep", F.lit(True).alias("again")), size=F.lit(80))
+        repeated = broadcast_if_small(at_hand.where("n > 1").select("blob", "keep", F.lit(True).alias("again")), 400_000, F.lit(80))
         once = named.join(repeated, "blob", "left").where("again is null or id <=> keep").select("blob", "text")
     else:
         once = named.select("blob", "text").dropDuplicates(["blob"])
     seen = F.expr("cast(array() as array<string>)")
-    if ledger is not None:
-        wanted = ledger.where(F.col("rule").isin(keys)).join(at_hand.select("blob"), "blob", "left_semi").select("blob", "rule", "spans")
-        told = wanted.groupBy("blob").agg(F.collect_set("rule").alias("told"))
+    partly = [r.key for r in due if have.get(r.key, 0)]
+    if partly:  # rules that all or none of the blobs have met need no look-up
+        told = wanted.where(F.col("rule").isin(partly)).groupBy("blob").agg(F.collect_set("rule").alias("told"))
         once = once.join(broadcast_if_small(told, size=F.lit(80) + 16 * F.size("told")), "blob", "left")
         seen = F.coalesce("told", seen)
-        once = once.where(F.size(seen) < len(set(keys)))
-    found = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.when(~F.array_contains(seen, r.key), steps(F.col("text"), r)).alias("steps")) for r in rules])
+        once = once.where(F.size(seen) < len(due))
+    found = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.when(~F.array_contains(seen, r.key), steps(F.col("text"), r)).alias("steps")) for r in due])
     raw = once.select("blob", found.alias("found")).dropDuplicates(["blob"])  # rows of one id and text were both scanned
     raw = stored(raw.select("blob", F.inline("found")).where(F.col("steps").isNotNull()), "matches")
-    new = stored(placed(raw, rules), "scanned")
-    forget(raw, at_hand) if ledger is None else forget(raw)
+    new = stored(placed(raw, tuple(due)), "scanned")
+    forget(raw)
     return new, new if ledger is None else wanted.unionByName(new)
 
 
