@@ -17,13 +17,15 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, crc32_of_id
+from .common import bounded, crc32_of_id
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
@@ -107,11 +109,12 @@ class Model:
         return np.add.reduceat(self.weight[buckets], first, axis=0)
 
 
-def forward_backward(score: np.ndarray, move: np.ndarray, fresh: np.ndarray, pairs: bool = False):
+def forward_backward(score: np.ndarray, move: np.ndarray, fresh: np.ndarray, pairs: bool = False, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """Label probabilities of every word of a chain; `fresh` marks words that start a text.
 
-    With pairs also the expected number of each (label, next label) within texts. Arrays are laid out label
-    by label, so that each operation runs along all blocks.
+    With pairs also the expected number of each (label, next label) within texts. enter and leave are the messages
+    from the chain before and after, if this is a piece of one. Arrays are laid out label by label, so that each
+    operation runs along all blocks.
     """
     n, k = score.shape
     blocks = -(-n // BLOCK)
@@ -133,13 +136,14 @@ def forward_backward(score: np.ndarray, move: np.ndarray, fresh: np.ndarray, pai
         product = y * psi[t][:, None, :]
         if t % 4 == 3:
             product /= product.sum(axis=(0, 1))
+    first, last = enter, leave
     enter, leave = np.empty((k, blocks), dtype=score.dtype), np.empty((k, blocks), dtype=score.dtype)
-    v = np.full(k, 1 / k)
+    v = np.full(k, 1 / k) if first is None else first
     for b in range(blocks):
         enter[:, b] = v
         v = product[:, :, b] @ v
         v /= v.sum()
-    v = np.ones(k)
+    v = np.ones(k) if last is None else last
     for b in range(blocks - 1, -1, -1):
         leave[:, b] = v
         v = v @ product[:, :, b]
@@ -233,54 +237,176 @@ def fit(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5, seed:
     return model
 
 
-def label_words(model: Model, texts: list[str | None], cache: dict[str, int], table: list[np.ndarray]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """(words of each text, label probabilities of all words, end of each text among them)."""
-    cut = [WORD.findall((t or "").lower()) for t in texts]
-    ends = np.cumsum(np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)))
-    flat = [w for ws in cut for w in ws]
-    if len(cache) > 400_000:  # bounds a worker's memory
-        cache.clear()
-        table[0] = table[0][:0]
-    new = [w for w in dict.fromkeys(flat) if w not in cache]
-    cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
-    for at in range(0, len(new), 50_000):
-        table[0] = np.concatenate([table[0], model.emissions(new[at : at + 50_000])])
-    if not flat or not model.labels:
-        return cut, np.empty((len(flat), len(model.labels))), ends
-    score = table[0][np.fromiter(map(cache.__getitem__, flat), dtype=np.int64, count=len(flat))]
-    fresh = np.zeros(len(flat), dtype=bool)
-    starts = np.r_[0, ends[:-1]]
-    fresh[starts[np.diff(np.r_[starts, len(flat)]) > 0]] = True
-    return cut, forward_backward(score, model.move, fresh), ends
-
-
-def judge(model: Model, texts: list[str | None], cache: dict, table: list) -> tuple[list[str], np.ndarray]:
+def transfer(score: np.ndarray, move: np.ndarray, fresh: bool) -> np.ndarray:
+    """What a piece of one text does to the message that enters it: label at its end by label before it, scaled."""
+    n, k = score.shape
+    onward, out, at_once = np.exp(move - move.max()).T, np.eye(k), max(2, (1 << 20) // (k * k))
+    for at in range(0, n, at_once):
+        part = score[at : at + at_once]
+        psi = np.exp(part - part.max(axis=1, keepdims=True)).astype(np.float64)
+        step = psi[:, :, None] * onward[None]  # word, its label, label before
+        if fresh and not at:
+            step[0] = psi[0][:, None] / k
+        while len(step) > 1:  # products of neighbours, until one is left
+            if len(step) % 2:
+                step = np.concatenate([step, np.eye(k)[None]])
+            step = step[1::2] @ step[::2]
+            step /= step.sum(axis=(1, 2), keepdims=True)
+        out = step[0] @ out
+        out /= out.sum()
+    return out
+
+
+class Labeller:
+    """Labels the words of texts; keeps the scores of words that it has met, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model, self.number = model, {}
+        self.table = np.empty((0, len(model.labels)), np.float32)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > 400_000:
+            self.number.clear()
+            self.table = self.table[:0]
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.table = np.concatenate([self.table, *(self.model.emissions(new[at : at + 50_000]) for at in range(0, len(new), 50_000))])
+        return self.table[np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))]
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray]]:
+        """(number of a text, words, their label probabilities), texts of up to LONG characters together, a longer one in
+        pieces of PIECE words whose messages carry over, so that the probabilities are those of the whole chain."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            text = plain(text)
+            if len(text) > LONG:
+                yield from self._long(i, text)
+                continue
+            if held and size + len(text) > LONG:
+                yield from self._short(held)
+                held, size = [], 0
+            held.append((i, text))
+            size += len(text)
+        yield from self._short(held)
+
+    def _short(self, texts: list[tuple[int, str]]) -> Iterator[tuple[int, list[str], np.ndarray]]:
+        cut = [WORD.findall(t) for _, t in texts]
+        flat = [w for ws in cut for w in ws]
+        ends = np.cumsum([0, *map(len, cut)])
+        prob = np.empty((0, len(self.model.labels)))
+        if flat and self.model.labels:
+            fresh = np.zeros(len(flat), dtype=bool)
+            fresh[ends[:-1][np.diff(ends) > 0]] = True
+            prob = forward_backward(self.scores(flat), self.model.move, fresh)
+        for (i, _), ws, a, b in zip(texts, cut, ends[:-1], ends[1:], strict=True):
+            yield i, ws, prob[a:b]
+
+    def _long(self, i: int, text: str) -> Iterator[tuple[int, list[str], np.ndarray]]:
+        """Two walks along the text: the first finds what each piece does to a message, the second labels it."""
+        k = len(self.model.labels)
+        if not k:
+            yield i, WORD.findall(text), np.empty((0, 0))
+            return
+        through = [transfer(self.scores(ws), self.model.move, at == 0) for at, ws in enumerate(in_pieces(text))]
+        leaves, v = [], np.ones(k)
+        for t in reversed(through):
+            leaves.append(v)
+            v = v @ t
+            v = v / v.sum()
+        enter = np.full(k, 1 / k)
+        for at, (ws, t, leave) in enumerate(zip(in_pieces(text), through, reversed(leaves), strict=True)):
+            fresh = np.zeros(len(ws), dtype=bool)
+            fresh[0] = at == 0
+            yield i, ws, forward_backward(self.scores(ws), self.model.move, fresh, enter=enter, leave=leave)
+            enter = t @ enter
+            enter = enter / enter.sum()
+
+
+LONG = 1 << 20  # characters
+PIECE = 256 * BLOCK  # words; whole blocks, so that messages pass between them
+
+
+def plain(text: str | None) -> str:
+    """Lower case of the same length: the one letter whose lower case is two characters loses its dot first."""
+    return (text or "").replace("\u0130", "I").lower()
+
+
+def in_pieces(text: str) -> Iterator[list[str]]:
+    words = (m[0] for m in WORD.finditer(text))
+    while piece := list(islice(words, PIECE)):
+        yield piece
+
+
+def judge(labeller: Labeller, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """(label, its mean probability) of each text; und and 0 where no word has a letter."""
-    cut, prob, ends = label_words(model, texts, cache, table)
-    sums = np.diff(np.vstack([np.zeros((1, len(model.labels))), np.cumsum(prob, axis=0, dtype=np.float64)])[np.r_[0, ends]], axis=0)
-    mean = sums / np.maximum(1, np.diff(np.r_[0, ends]))[:, None]
-    best = mean.argmax(axis=1) if len(model.labels) else np.zeros(len(texts), int)
-    known = [bool(ws) and bool(model.labels) and has_letter(ws) for ws in cut]
-    names = [model.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
-    score = mean[np.arange(len(best)), best] if len(model.labels) else np.zeros(len(texts))
-    return names, np.clip(np.where(known, score, 0.0), 0, 1)
-
-
-def train(docs: DataFrame, per_lang: int = 120, most_langs: int = 200, most_chars: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit to at most `per_lang` documents of each of at most `most_langs` languages, from rows whose crc32 of the id isn't 0 mod 5.
-
-    Those chosen that are longer than `most_chars` are left out: the driver holds the sample.
+    labels = labeller.model.labels
+    sums, count, known = np.zeros((len(texts), len(labels))), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
+    for i, words, prob in labeller.texts(texts):
+        sums[i] += prob.sum(axis=0, dtype=np.float64) if len(prob) else 0
+        count[i] += len(words)
+        known[i] = known[i] or has_letter(words)
+    if not labels:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    mean = sums / np.maximum(1, count)[:, None]
+    best = mean.argmax(axis=1)
+    names = [labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
+    return names, np.clip(np.where(known, mean[np.arange(len(best)), best], 0.0), 0, 1)
+
+
+def segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, segment, start, end, lang, score): the runs of words of one most likely label, in every text.
+
+    start and end are code points of the text, end exclusive; score is the run's mean probability. A text without words, or
+    null, has no row. Repeated rows have theirs each. Runs are those of whole texts, however long.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        labeller = Labeller(held.value)
+        names = ["doc_id", "segment", "start", "end", "lang", "score"]
+        for b in bounded(batches, 1, LONG):
+            texts, ids = b.column(1).to_pylist(), b.column(0)
+            spots = {}  # where the words of each text are, as far as they were labelled
+            found: dict[int, list] = {}
+            for i, words, prob in labeller.texts(texts):
+                if i not in spots:
+                    spots[i], found[i] = WORD.finditer(plain(texts[i])), []
+                best = prob.argmax(axis=1) if len(prob) else ()
+                for m, label, p in zip(islice(spots[i], len(words)), best, prob, strict=False):
+                    last = found[i][-1] if found[i] else None
+                    if last and last[2] == label:
+                        last[1], last[3], last[4] = m.end(), last[3] + float(p[label]), last[4] + 1
+                    else:
+                        found[i].append([m.start(), m.end(), int(label), float(p[label]), 1])
+            rows = [(i, k, *r) for i, rs in found.items() for k, r in enumerate(rs)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
+            lang = pa.array([held.value.labels[r[4]] for r in rows], pa.string())
+            score = pa.array([min(1.0, r[5] / r[6]) for r in rows], pa.float64())
+            yield pa.RecordBatch.from_arrays([ids.take(at), *cols, lang, score], names=names)
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, segment long, start long, end long, lang string, score double")
+
+
+def train(docs: DataFrame, per_lang: int = 120, most_docs: int = 24_000, most_chars: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit to at most `per_lang` documents of each language, from rows whose crc32 of the id isn't 0 mod 5.
+
+    The driver holds the sample: with over most_docs / per_lang languages each has fewer documents, one at least, and
+    texts of over `most_chars` are left out. A language that has longer ones alone is learned from its shortest text.
     """
-    may = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc32_of_id(id_col) % 5 != 0))
-    rows = may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
+    text = F.col(text_col).cast("string")
+    may = docs.where(F.col(lang_col).isNotNull() & text.isNotNull() & (crc32_of_id(id_col) % 5 != 0))
+    may = may.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    rows = may.select("id", "lang", "hash", F.when(F.length("text") > most_chars, F.length("text")).otherwise(0).alias("over"))
+    langs = rows.select("lang").distinct().count()
     if not langs:
         return fit([])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id")
-    chosen = rows.where(F.col("lang").isin(langs)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("id").distinct()
-    ids = broadcast_if_small(chosen)
-    sample = may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") <= most_chars).join(ids, "id", "left_semi").distinct()
-    return fit([(r.lang, r.text) for r in sample.orderBy("id", "lang", "text").collect()])
+    each = max(1, min(per_lang, most_docs // langs))
+    order = Window.partitionBy("lang").orderBy("over", F.xxhash64("id", F.lit("sample")), "id", "hash")
+    chosen = rows.withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= each) & ((F.col("over") == 0) | (F.col("nth") == 1)))
+    sample = may.join(F.broadcast(chosen.select("id", "lang", "hash").distinct()), ["id", "lang", "hash"]).dropDuplicates(["id", "lang", "hash"])
+    return fit([(r.lang, r.text) for r in sample.orderBy("id", "lang", "hash").select("lang", "text").collect()])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -293,10 +419,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, cache = held.value, {}
-        table = [np.empty((0, len(m.labels)), np.float32)]
+        labeller = Labeller(held.value)
         for texts in parts:
-            names, score = judge(m, texts.tolist(), cache, table)
+            names, score = judge(labeller, texts.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": score})
 
     out = docs.withColumn("__lang", judged(F.col(text_col).cast("string")))
@@ -316,5 +441,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """docs whose language is found, with a mean probability of `least` or more; columns as they were."""
-    judged = predict(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text")), train(docs), "__text")
+    judged = predict(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), train(docs, text_col=text_col), "__text")
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")

@@ -53,10 +53,43 @@ def test_held_out_accuracy(spark, model):
 def test_code_switched_text_has_both_labels(spark, model):
     docs = {r.lang: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").where("length(text) between 1500 and 2500 and lang in ('de', 'fr')").orderBy("doc_id").collect()}
     a, b = (langid.WORD.findall(docs[x].lower())[:80] for x in ("de", "fr"))
-    _, prob, _ = langid.label_words(model, [" ".join(a + b)], {}, [np.empty((0, len(model.labels)), np.float32)])
+    [(_, _, prob)] = langid.Labeller(model).texts([" ".join(a + b)])
     got = [model.labels[i] for i in prob.argmax(axis=1)]
     assert np.mean([x == "de" for x in got[:80]]) > 0.9
     assert np.mean([x == "fr" for x in got[80:]]) > 0.9
+    text = " ".join(a) + ", " + " ".join(b)
+    df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, "123", 0), (5, text, 0)], "doc_id long, text string, start int")
+    rows = langid.segments(df, model).orderBy("doc_id", "segment").collect()
+    assert {r.doc_id for r in rows} == {1, 5}
+    mine = [r for r in rows if r.doc_id == 1]
+    assert [r.segment for r in mine] == list(range(len(mine)))
+    assert sum(r.end - r.start for r in mine if r.lang == "de" and r.start < len(" ".join(a))) > 0.9 * len(" ".join(a))
+    assert sum(r.end - r.start for r in mine if r.lang == "fr" and r.start > len(" ".join(a))) > 0.9 * len(" ".join(b))
+    assert all(0 < r.score <= 1 for r in rows)
+
+
+def test_a_long_text_in_pieces_is_labelled_as_one_chain(monkeypatch, model):
+    monkeypatch.setattr(langid, "BLOCK", 4)
+    text = " ".join(["der hund und le chat est the dog was in \u0130zmir el perro"] * 40)
+    [(_, words, whole)] = langid.Labeller(model).texts([text])
+    monkeypatch.setattr(langid, "LONG", 100)
+    monkeypatch.setattr(langid, "PIECE", 64)
+    got = list(langid.Labeller(model).texts(["short", text, None]))
+    parts = [(w, p) for i, w, p in got if i == 1]
+    assert len(parts) > 5
+    assert [x for w, _ in parts for x in w] == words
+    assert np.allclose(np.concatenate([p for _, p in parts]), whole, atol=1e-4)
+    names, score = langid.judge(langid.Labeller(model), ["short", text, None])
+    assert names[2] == "und"
+    assert abs(score[1] - whole.mean(axis=0).max()) < 1e-3
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(i, "alpha beta gamma " * 5, "aa") for i in range(30)] + [(100 + i, "krok vlum zisk " * (50 + i), "bb") for i in range(30)] + [(5, "alpha beta", "aa")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("lang", "lang")
+    model = langid.train(df, most_chars=200)
+    assert model.labels == ["aa", "bb"]
+    assert langid.judge(langid.Labeller(model), ["krok zisk vlum"])[0] == ["bb"]
 
 
 def test_edge_rows(spark, model):
