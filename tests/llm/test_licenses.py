@@ -1,5 +1,6 @@
 """Licence paragraphs: templates, near misses and the lines of the given documents."""
 
+import random
 import re
 import textwrap
 
@@ -64,3 +65,60 @@ def test_notices_on_neighbouring_lines_stay_apart(model):
     texts = [licenses.TEMPLATES[f][0] for f in ("MIT", "GPL", "CC-BY", "BSD")]
     assert [j[0] for j in model.scan("\n".join(texts), 0.8, 0.6)] == ["MIT", "GPL", "CC-BY", "BSD"]
     assert model.scan("the general public is invited\nto the work of the house\n\nand license of\nthe source", 0.8, 0.6) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("This work is not licensed under the MIT License.", None),
+        ("This software is no longer released under the MIT License.", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL"),
+        ("SPDX-License-Identifier: Foo-1.0", None),
+        ("Released under the Foo License.", None),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", None),
+        ("All rights reserved. No part of this work may be copied without written permission of the author.", None),
+    ],
+)
+def test_denials_versions_and_kindred_families(model, text, family):
+    good = [j for j in model.scan(text, 0.8, 0.6) if j[2] >= 0.6]
+    assert [j[0] for j in good] == ([family] if family else [])
+
+
+def test_precision_and_recall_on_varied_notices(model):
+    """Wrapped notices with some words lost, names put in, and prose around; beside as many that no template names."""
+    rng = random.Random(12)
+    hit = wrong = total = 0
+    for family, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            if "SPDX" in t:
+                continue
+            for _ in range(4):
+                w = [x for x in t.split() if rng.random() > 0.03 or x.lower() in ("not", "lesser", "affero")]
+                w.insert(rng.randrange(len(w)), "ACME")
+                text = "Some words before.\n\n" + textwrap.fill(" ".join(w), rng.choice((60, 72, 80)), initial_indent="// ", subsequent_indent="// ") + "\n\nMore words."
+                got = {j[0] for j in model.scan(text, 0.8, 0.6) if j[2] >= 0.6}
+                total += 1
+                hit += family in got
+                wrong += bool(got - {family})
+    assert hit / total > 0.85
+    assert wrong / total < 0.03
+
+
+def brute_share(template, paragraph):
+    a, b = (re.findall(r"[^\W_]+", x.lower()) for x in (template, paragraph))
+    two = lambda w: {" ".join(w[i : i + 2]) for i in range(len(w) - 1)}
+    return len(two(a) & two(b)) / len(two(a))
+
+
+def test_template_shares_match_brute_force(model):
+    paragraph = "Permission is hereby granted, free of charge, to any person who holds a copy of this software and the files"
+    want = max(brute_share(t, paragraph) for t in licenses.TEMPLATES["MIT"] if "SPDX" not in t)
+    words = licenses.words_of(paragraph)
+    assert abs(model.share("MIT", words, licenses.pairs(words)) - want) < 1e-12
