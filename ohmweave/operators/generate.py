@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.uniform import uniform
+
 ENDS = ("DD", "DN", "ND", "NN", "P")
 
 
@@ -26,14 +28,15 @@ def number_of() -> Column:
     return (F.col("i") + F.col("nx") * (F.col("j") + F.col("ny") * F.col("k"))).cast("long")
 
 
-def laplacian(grids: DataFrame, by: Sequence[str], ends: str = "DD") -> DataFrame:
+def laplacian(grids: DataFrame, by: Sequence[str], ends: str | Sequence[str] = "DD") -> DataFrame:
     """(by, row, col, value) of the negative Laplacian's matrix on each grid: 2 on the diagonal for each dimension of
-    more than one point, -1 to each neighbour. ends: D (fixed) or N (free) at either side, or P (periodic), for all axes.
+    more than one point, -1 to each neighbour. ends: D (fixed) or N (free) at either side, or P (periodic), for all axes or one for each of the three.
     """
-    if ends not in ENDS:
-        raise ValueError(f"ends must be one of {ENDS}")
+    each = [ends] * 3 if isinstance(ends, str) else list(ends)
+    if len(each) != 3 or not set(each) <= set(ENDS):
+        raise ValueError(f"ends must be one of {ENDS}, or three of them")
     cells = []
-    for axis, n, stride in (("i", "nx", F.lit(1)), ("j", "ny", F.col("nx")), ("k", "nz", F.col("nx") * F.col("ny"))):
+    for ends, axis, n, stride in zip(each, ("i", "j", "k"), ("nx", "ny", "nz"), (F.lit(1), F.col("nx"), F.col("nx") * F.col("ny")), strict=True):
         x, last, live = F.col(axis), F.col(n) - 1, F.col(n) > 1
         if ends == "P":
             lo, hi, here = F.when(x > 0, -stride).otherwise(stride * last), F.when(x < last, stride).otherwise(-stride * last), F.lit(2.0)
@@ -46,15 +49,17 @@ def laplacian(grids: DataFrame, by: Sequence[str], ends: str = "DD") -> DataFram
     return at.where("c.value is not null").select(*by, "row", (F.col("row") + F.col("c.to")).alias("col"), F.col("c.value").alias("value")).groupBy(*by, "row", "col").agg(F.sum("value").alias("value"))
 
 
-def eigenvalue_1d(n: Column, m: Column) -> Column:
-    """The m-th (from 0) of n points fixed at both ends: 4 sin^2(pi (m + 1) / (2 (n + 1)))."""
-    return F.when(n > 1, 4 * F.pow(F.sin(F.lit(math.pi) * (m + 1) / (2.0 * (n + 1))), 2)).otherwise(0.0)
+def eigenvalue_1d(n: Column, m: Column, ends: str = "DD") -> Column:
+    """The m-th (from 0) of n points: 4 sin^2 of half an angle that the ends set, such as pi (m + 1) / (n + 1) if both are fixed."""
+    half = {"DD": (m + 1) / (2.0 * (n + 1)), "NN": m / (2.0 * n), "P": F.floor((m + 1) / 2) / n.cast("double")}.get(ends, (m + 0.5) / (2.0 * n + 1))
+    return F.when(n > 1, 4 * F.pow(F.sin(F.lit(math.pi) * half), 2)).otherwise(0.0)
 
 
-def eigenvalues(grids: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, i, j, k, value): all eigenvalues of each grid's Laplacian, fixed ends; an array sort takes the least."""
-    p = points(grids, by)
-    return p.select(*by, "i", "j", "k", (eigenvalue_1d(F.col("nx"), F.col("i")) + eigenvalue_1d(F.col("ny"), F.col("j")) + eigenvalue_1d(F.col("nz"), F.col("k"))).alias("value"))
+def eigenvalues(grids: DataFrame, by: Sequence[str], ends: str | Sequence[str] = "DD") -> DataFrame:
+    """(by, i, j, k, value): all eigenvalues of each grid's Laplacian, ends as in laplacian; an array sort takes the least."""
+    p, each = points(grids, by), [ends] * 3 if isinstance(ends, str) else ends
+    axes = [eigenvalue_1d(F.col(n), F.col(m), e) for n, m, e in zip(("nx", "ny", "nz"), ("i", "j", "k"), each, strict=True)]
+    return p.select(*by, "i", "j", "k", (axes[0] + axes[1] + axes[2]).alias("value"))
 
 
 def eigenvector_1d(n: Column, m: Column, x: Column) -> Column:
@@ -93,3 +98,38 @@ def line_netlist(lines: DataFrame) -> DataFrame:
         part((i % F.col("every")) == 0, "i", label("i"), node(i), ground, F.col("v1"), shape),
     )
     return p.select("circuit", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("circuit", "p.*")
+
+
+def power_grid(grids: DataFrame) -> DataFrame:
+    """Components of layered power grids: a row (circuit, nx, ny, layers, share) each.
+
+    Every layer has resistors of 0.25 between neighbours and a capacitor at each node; layer 1 is fed with 1.8 V through
+    0.025 along y = 1 and pulsed on its diagonal from the second place on; vias are 0-volt sources to the next layer at
+    about `share` of the places off the first row and column, drawn by a hash of circuit, layer and place.
+    """
+    kind = "struct<v1:double,v2:double,td:double,tr:double,tf:double,pw:double,per:double>"
+    pulse = F.struct(*[F.lit(v).alias(k) for k, v in zip(("v1", "v2", "td", "tr", "tf", "pw", "per"), (2.5099e-05, 0.0627475, 1e-9, 1e-19, 1e-10, 1e-19, 3e-09), strict=True)]).cast(kind)
+    p = grids
+    for axis, n in (("l", "layers"), ("x", "nx"), ("y", "ny")):
+        p = p.withColumn(axis, F.explode(F.sequence(F.lit(1), F.col(n))))
+    at = lambda l, x, y: F.format_string("l%dp%d_%d", l, x, y)
+    node = lambda l, x, y: F.concat(F.lit("n"), at(l, x, y))
+    l, x, y, ground = F.col("l").cast("int"), F.col("x").cast("int"), F.col("y").cast("int"), F.lit("0")
+    here, name = node(l, x, y), at(l, x, y)
+
+    def part(when, letter, tag, a, b, value, shape=None):
+        shape = F.lit(None).cast(kind) if shape is None else shape
+        return F.when(when, F.struct(F.lit(letter).alias("kind"), F.concat(F.lit(tag), name).alias("name"), a.alias("node1"), b.alias("node2"), F.lit(value).alias("value"), shape.alias("pulse")))
+
+    fed = (l == 1) & (y == 1)
+    drawn = uniform(F.col("circuit"), l.cast("string"), x.cast("string"), y.cast("string")) < F.col("share")
+    found = F.array(
+        part(F.lit(True), "c", "c", here, ground, 5.37096111111111e-11),
+        part(y < F.col("ny"), "r", "ry", here, node(l, x, y + 1), 0.25),
+        part(x < F.col("nx"), "r", "rx", here, node(l, x + 1, y), 0.25),
+        part((l < F.col("layers")) & (x > 1) & (y > 1) & drawn, "v", "via", here, node(l + 1, x, y), 0.0),
+        part(fed, "v", "vdd", F.concat(F.lit("s"), name), ground, 1.8),
+        part(fed, "r", "rdd", F.concat(F.lit("s"), name), here, 0.025),
+        part((l == 1) & (x == y) & (x > 1), "i", "i", here, ground, 2.5099e-05, pulse),
+    )
+    return p.select("circuit", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("p")).select("circuit", "p.*")

@@ -40,6 +40,18 @@ def entry(entries: DataFrame, row: int, col: int) -> DataFrame:
     return found.select(F.when(F.col("value").isNull(), F.raise_error(F.lit(f"no entry at ({row}, {col})")).cast("double")).otherwise(F.col("value")).alias("value"))
 
 
+def entries_at(entries: DataFrame, wanted: DataFrame, by: Keys = ()) -> DataFrame:
+    """wanted (by, row, col and whatever else) with its value; a missing entry fails the job."""
+    got = wanted.join(summed(entries, by), [*by, "row", "col"], "left")
+    missing = F.raise_error(F.format_string("no entry at (%s, %s)", F.col("row").cast("string"), F.col("col").cast("string"))).cast("double")
+    return got.withColumn("value", F.when(F.col("value").isNull(), missing).otherwise(F.col("value")))
+
+
+def off_diagonals(entries: DataFrame, by: Keys = ()) -> DataFrame:
+    """The summed entries off the diagonal; rows stay whole, so a row's are one group of (by, row)."""
+    return summed(entries, by).where("row <> col")
+
+
 def diagonal(entries: DataFrame, by: Keys = ()) -> DataFrame:
     return entries.where("row = col").select(*by, "row", "value")
 

@@ -52,6 +52,22 @@ def error_metrics(pairs: DataFrame, by: list[str], got: str = "got", want: str =
     )
 
 
+def group_means(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """(by, n, mean) over the rows that have a value."""
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
+def largest(rows: DataFrame, by: list[str], value: str = "value", at: str = "t") -> DataFrame:
+    """(by, value, at): the largest value and where it is; of several the largest place."""
+    return rows.groupBy(*by).agg(F.max(value).alias(value), F.max_by(at, F.struct(value, at)).alias(at))
+
+
+def speedups(rows: DataFrame, by: list[str], p: str = "p", t: str = "t") -> DataFrame:
+    """rows with speedup: the time at the least p of the group over the row's own."""
+    first = rows.groupBy(*by).agg(F.min_by(t, p).alias("_first"))
+    return rows.join(first, by).withColumn("speedup", F.col("_first") / F.col(t)).drop("_first")
+
+
 def linear_fit(x: Column, y: Column) -> list[Column]:
     return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2")]
 

@@ -166,6 +166,17 @@ def node_numbers(parts: DataFrame) -> DataFrame:
     return numbered.unionByName(parts.select("circuit").distinct().select("circuit", F.lit(GROUND).alias("node"), F.lit(0).cast("long").alias("idx")))
 
 
+def node_indices(names: DataFrame, numbers: DataFrame, node_col: str = "node") -> DataFrame:
+    """names (circuit, node and whatever else) with idx, its row in a matrix: -1 for ground, whichever way it is spelled.
+
+    numbers: of node_numbers. An unknown name fails the job.
+    """
+    alias = F.when(F.lower(F.col(node_col)).isin("0", "gnd"), GROUND).otherwise(F.col(node_col))
+    found = names.withColumn("_node", alias).join(numbers.select("circuit", F.col("node").alias("_node"), "idx"), ["circuit", "_node"], "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown node: "), F.col("_node"))).cast("long")
+    return found.withColumn("idx", F.when(F.col("idx").isNull(), unknown).otherwise(F.col("idx") - 1)).drop("_node")
+
+
 def reduced(parts: DataFrame, fill: bool = True) -> DataFrame:
     """All rewrites in their order: parallel parts, shorts, series capacitors, sources, missing capacitors.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import uniform as rnd
 from ..functions import waveform as wf
 from ..operators import assemble, generate, matrix, metrics, netlist, stepper, walk
-from ..sources import netlist_text, results
-from ..sources.store import table
-from . import commands
+from ..sources import matrix_text, netlist_text, results
+from ..sources.store import forget, shared_dir, stored, table
+from . import commands, sweeps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,13 +263,13 @@ def q20_plain_errors(spark, sf_dir):
 
 @registered("select user_id, max(value) as value, arg_max(event_id, {'v': value, 'e': event_id}) event_id from events group by user_id")
 def q21_largest(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("value"), F.max_by("event_id", F.struct("value", "event_id")).alias("event_id"))
+    return metrics.largest(table(spark, sf_dir, "events"), ["user_id"], at="event_id")
 
 
 @registered("select event_type, user_id, count(*) n, round(avg(value), 6) mean from events where value <> 0 and event_type <> 'view' group by all order by mean, user_id")
 def q22_group_means(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value <> 0 and event_type <> 'view'")
-    return e.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("mean")).orderBy("mean", "user_id")
+    return metrics.group_means(e, ["event_type", "user_id"]).withColumn("mean", r("mean")).orderBy("mean", "user_id")
 
 
 @registered("select user_id, round(exp(regr_intercept(ln(value), ln(event_id))), 4) k, round(regr_slope(ln(value), ln(event_id)), 6) alpha, round(regr_r2(ln(value), ln(event_id)), 6) r2 from events where value > 0 and event_id > 0 group by user_id")
@@ -541,6 +542,157 @@ def q43_large_system(spark, sf_dir):
     return x.crossJoin(F.broadcast(first)).select((F.col("idx") - F.col("first") + 1).alias("idx"), r("value", 4).alias("value"))
 
 
+ITEMS = "e as (select l_suppkey as row, l_partkey col, sum(l_quantity) v from lineitem group by all)"
+
+
+def supplier_matrix(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
+
+
+@registered(f"with {ITEMS} select l_orderkey, l_linenumber, round(v, 6) as value from lineitem join e on l_suppkey = row and l_partkey = col")
+def q44_entries(spark, sf_dir):
+    wanted = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"))
+    return matrix.entries_at(supplier_matrix(spark, sf_dir), wanted).select("l_orderkey", "l_linenumber", r("value").alias("value"))
+
+
+@registered(f"with {ITEMS} select row, round(sum(v) filter (row = col), 6) diagonal, count(*) filter (row <> col) others, round(coalesce(sum(v) filter (row <> col), 0), 6) rest from e group by row")
+def q45_diagonal_and_rest(spark, sf_dir):
+    e = matrix.summed(supplier_matrix(spark, sf_dir))
+    rest = matrix.off_diagonals(e).groupBy("row").agg(F.count(F.lit(1)).alias("others"), F.sum("value").alias("rest"))
+    both = e.select("row").distinct().join(matrix.diagonal(e), "row", "left").join(rest, "row", "left")
+    return both.select("row", r("value").alias("diagonal"), F.coalesce("others", F.lit(0).cast("long")).alias("others"), r(F.coalesce("rest", F.lit(0.0))).alias("rest"))
+
+
+@registered("select 'r' kind, l_returnflag circuit, count(*) n, round(sum(l_quantity), 2) total from lineitem group by all union all select 'i', l_returnflag, count(*), round(sum(l_extendedprice), 2) from lineitem group by all")
+def q46_no_sources_left(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    parts = line_parts(spark, sf_dir, "r", flag, F.col("l_quantity")).unionByName(line_parts(spark, sf_dir, "i", flag, F.col("l_extendedprice")))
+    return assemble.refuse_sources(parts).groupBy("kind", "circuit").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+@registered("""with n as (select l_returnflag c, 'p' || l_partkey node from lineitem union select l_returnflag, 's' || l_suppkey from lineitem), i as (select c, node, row_number() over (partition by c order by node) - 1 idx from n)
+select l_orderkey, l_linenumber, case when l_linenumber <= 3 then -1 else idx end idx from lineitem join i on c = l_returnflag and node = 'p' || l_partkey""")
+def q47_node_indices(spark, sf_dir):
+    parts = line_parts(spark, sf_dir, "r", F.col("l_returnflag"), F.col("l_quantity"))
+    k = F.col("l_linenumber")
+    spelled = F.when(k == 1, "0").when(k == 2, "gnd").when(k == 3, "GND").otherwise(text("p", "l_partkey"))
+    names = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("circuit"), spelled.alias("node"), "l_orderkey", "l_linenumber")
+    return netlist.node_indices(names, netlist.node_numbers(parts)).select("l_orderkey", "l_linenumber", "idx")
+
+
+@registered("select event_id, 'pulse(' || concat_ws(', ', user_id::double, (user_id + 2)::double, 0.5::double, 10.0::double, 20.0::double, length(event_type)::double, 1000.0::double) || ')' as text from events")
+def q48_pulse_text(spark, sf_dir):
+    p = wf.pulse(v1=F.col("user_id"), v2=F.col("user_id") + 2, td=0.5, tr=10, tf=20, pw=F.length("event_type"), per=1000)
+    return table(spark, sf_dir, "events").select("event_id", wf.pulse_text(p).alias("text"))
+
+
+@registered("""with n as (select user_id, value, row_number() over (partition by user_id order by event_id) - 1 n, count(*) over (partition by user_id) c from events), e as (select *, c - 1 - (c - 1) % 2 l from n)
+select user_id, round(sum(value * case when n in (0, l) then 1 when n % 2 = 1 then 4 else 2 end) / 3, 4) area from e where n <= l group by user_id""")
+def q49_simpson(spark, sf_dir):
+    user = Window.partitionBy("user_id")
+    n = table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(user.orderBy("event_id")) - 1).alias("n"), F.count(F.lit(1)).over(user).alias("c"))
+    e = n.withColumn("last", F.col("c") - 1 - (F.col("c") - 1) % 2).where("n <= last")
+    return e.groupBy("user_id").agg(r(F.sum(F.col("value") * wf.simpson_weight(F.col("n"), F.col("last"))) / 3, 4).alias("area"))
+
+
+@registered("""with l as (select user_id, value v, lag(value) over (partition by user_id order by event_id) b from events), e as (select user_id, abs(v - b) / (abs(b) + 1e-10) r from l where b is not null)
+select user_id, round(max(r), 5) max_rel, round(avg(r), 5) avg_rel, round(sqrt(avg(r * r)), 5) rms_rel from e group by user_id""")
+def q50_relative_errors(spark, sf_dir):
+    k = table(spark, sf_dir, "events").withColumn("want", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))).where("want is not null")
+    return metrics.error_metrics(k, ["user_id"], "value", "want").select("user_id", *(r(c, 5).alias(c) for c in ("max_rel", "avg_rel", "rms_rel")))
+
+
+@registered("""with x as (select c_custkey, c_acctbal b, floor(log10(abs(c_acctbal))) e from customer), m as (select *, round(b / 10 ** e, 1) m from x)
+select c_custkey, case when b = 0 then '0' when abs(m) >= 10 then printf('%.1f', m / 10) || '×10^' || (e + 1)::bigint else printf('%.1f', m) || '×10^' || e::bigint end as text from m""")
+def q51_scientific(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", rnd.scientific(F.col("c_acctbal")).alias("text"))
+
+
+@registered("""with e as (select user_id, avg(value) exact, avg(value) filter (event_type <> 'view') m from events group by 1)
+select user_id, round(abs(m - exact) / abs(exact) * 100, 5) error_percent from e where m is not null and exact <> 0""")
+def q52_sample_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    exact = e.groupBy("user_id").agg(F.avg("value").alias("exact")).where("exact <> 0")
+    some = e.where("event_type <> 'view'").groupBy("user_id").agg(F.avg("value").alias("mean"))
+    return sweeps.sample_errors(some, exact, ["user_id"]).select("user_id", r("error_percent", 5).alias("error_percent"))
+
+
+@registered(f"with {ITEMS}, n as (select max(row) + 1 rows, max(col) + 1 cols from e) select rows, cols, row, col, v as value from e, n")
+def q53_coo_files(spark, sf_dir):
+    e = stored(matrix.summed(supplier_matrix(spark, sf_dir)), "entries")
+    size = e.agg(F.max("row"), F.max("col")).first()
+    path = f"{shared_dir(spark)}/ohmweave-coo-{uuid.uuid4().hex}"
+    matrix_text.write_coo(e, (size[0] or 0) + 1, (size[1] or 0) + 1, path)
+    forget(e)
+    return matrix_text.read_coo(spark, path).select("rows", "cols", "row", "col", "value")
+
+
+@registered("""with f as (select label, min_by(embedding, vec_id) e from embeddings group by 1), c as (select label, unnest(range(64)) k, unnest(e)::double x from f)
+select 'vector' kind, label, null::bigint as row, k idx, round(x, 6) as value from c union all select 'dense', label, k // 8, k % 8, round(x, 6) from c where x <> 0 or k // 8 = k % 8""")
+def q54_dense_and_vector_files(spark, sf_dir):
+    first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).select("label", F.transform("e", lambda x: x.cast("double").cast("string")).alias("e"))
+    path = f"{shared_dir(spark)}/ohmweave-text-{uuid.uuid4().hex}"
+    row = lambda i: F.array_join(F.slice("e", i * 8 + 1, 8), ",")
+    dense = F.concat(F.lit("8\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), row), "\n"))
+    for kind, body in (("vector", F.concat(F.lit("64\n"), F.array_join("e", ","))), ("dense", dense)):
+        first.select("label", body.alias("body")).repartition("label").write.partitionBy("label").text(f"{path}/{kind}")
+    label = F.regexp_extract("file", "label=([^/]*)", 1).cast("int").alias("label")
+    vector = matrix_text.read_vector(spark, f"{path}/vector/*").select(F.lit("vector").alias("kind"), label, F.lit(None).cast("long").alias("row"), "idx", r("value").alias("value"))
+    cells = matrix_text.read_dense(spark, f"{path}/dense/*").select(F.lit("dense").alias("kind"), label, "row", F.col("col").alias("idx"), r("value").alias("value"))
+    return vector.unionByName(cells)
+
+
+@registered("select user_id, event_id::double as time, round(value, 2) as value from events")
+def q55_indexed_printout(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kinds = F.array(F.format_string("%d\t%d  %.2f", F.col("user_id"), F.col("event_id"), F.col("value")), F.lit("Index   time  v(out)"), F.format_string("%d 1", F.col("event_id")))
+    return results.indexed_rows(e.select("user_id", F.explode(kinds).alias("line")), ["user_id"])
+
+
+@registered("select user_id, count(*) n, round(avg(value), 6) mean from events group by 1")
+def q56_result_files(spark, sf_dir):
+    path = f"{shared_dir(spark)}/ohmweave-csv-{uuid.uuid4().hex}"
+    results.write_csv(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), path)
+    got = results.read_csv(spark, path, "user_id long, value double")
+    return metrics.group_means(got, ["user_id"]).select("user_id", "n", r("mean").alias("mean"))
+
+
+@registered("select event_type, count(*) n, 1::bigint made from events group by 1")
+def q57_cached_results(spark, sf_dir):
+    made, folder = [], f"{shared_dir(spark)}/ohmweave-cache-{uuid.uuid4().hex}"
+
+    def make():
+        made.append(1)
+        return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+    for _ in range(2):
+        out = results.cached(spark, folder, {"table": "events", "seed": 7}, make)
+    return out.withColumn("made", F.lit(len(made)).cast("long"))
+
+
+@registered(f"""with {GRIDS}, a as (select *, (nx > 1)::int x, (ny > 1)::int y, (nz > 1)::int z from g)
+select c_custkey, (2 * nx * ny * nz * (x + y + z) - y * nx * nz - 2 * z * nx * ny)::double trace, (y * nx * nz)::double total from a""")
+def q58_ends_by_axis(spark, sf_dir):
+    m = generate.laplacian(customer_grids(spark, sf_dir), ["c_custkey"], ("P", "DN", "NN"))
+    return m.groupBy("c_custkey").agg(F.sum(F.when(F.col("row") == F.col("col"), F.col("value")).otherwise(0.0)).alias("trace"), F.sum("value").alias("total"))
+
+
+@registered("""with b as (select n_name circuit, 2 + n_nationkey % 3 nx, 2 + n_nationkey % 4 ny, 2 layers from nation)
+select circuit, 'c' kind, layers * nx * ny n from b union all select circuit, 'r', layers * (nx * (ny - 1) + (nx - 1) * ny) + nx from b union all select circuit, 'v', (nx - 1) * (ny - 1) + nx from b union all select circuit, 'i', least(nx, ny) - 1 from b""")
+def q59_power_grids(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    g = n.select(F.col("n_name").alias("circuit"), (2 + F.col("n_nationkey") % 3).alias("nx"), (2 + F.col("n_nationkey") % 4).alias("ny"), F.lit(2).alias("layers"), F.lit(1.0).alias("share"))
+    return generate.power_grid(g).groupBy("circuit", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered("""with t as (select user_id, event_type, count(*)::double t, length(event_type) p from events group by all), f as (select user_id, min_by(t, {'p': p, 'e': event_type}) t1 from t group by 1)
+select user_id, event_type, round(t1 / t, 6) speedup from t join f using (user_id)""")
+def q60_speedup_by_group(spark, sf_dir):
+    t = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("t"))
+    t = t.withColumn("p", F.struct(F.length("event_type").alias("n"), "event_type"))
+    return metrics.speedups(t, ["user_id"]).select("user_id", "event_type", r("speedup").alias("speedup"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

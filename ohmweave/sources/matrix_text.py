@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BLOCK = 1_000_000
+
+
 def _number(text: Column, what: str) -> Column:
     got = F.trim(text).try_cast("double")
     return F.when(got.isNull(), F.raise_error(F.concat(F.lit(f"bad {what}: "), F.coalesce(text, F.lit("nothing")))).cast("double")).otherwise(got)
@@ -51,12 +54,17 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     return ok.select("file", F.posexplode("xs").alias("idx", "text")).select("file", F.col("idx").cast("long").alias("idx"), _number(F.col("text"), "number").alias("value"))
 
 
-def coo_lines(entries: DataFrame, rows: int, cols: int) -> DataFrame:
-    """(line) of a COO file, header first when sorted by `at`; one file's worth, written by write.text after a sort."""
-    head = entries.agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("at2"), F.format_string(f"{rows},{cols},%d", "n").alias("line"))
-    body = entries.select(F.col("row").cast("long").alias("at"), F.col("col").cast("long").alias("at2"), F.concat_ws(",", F.col("row") + 1, F.col("col") + 1, F.col("value")).alias("line"))
+def coo_lines(entries: DataFrame, rows: int, cols: int, blocks: int = 1) -> DataFrame:
+    """(block, at, at2, line): the lines of `blocks` COO files, each with its own header, which sorts first by `at`."""
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
+    body = entries.select(block, F.col("row").cast("long").alias("at"), F.col("col").cast("long").alias("at2"), F.concat_ws(",", F.col("row") + 1, F.col("col") + 1, F.col("value")).alias("line"))
+    whole = body.groupBy("block").agg(F.count(F.lit(1)).alias("n")) if blocks > 1 else body.agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.lit(0).cast("long"))
+    head = whole.select("block", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("at2"), F.format_string(f"{rows},{cols},%d", "n").alias("line"))
     return head.unionByName(body)
 
 
 def write_coo(entries: DataFrame, rows: int, cols: int, path: str) -> None:
-    coo_lines(entries, rows, cols).coalesce(1).sortWithinPartitions("at", "at2").select("line").write.text(path)
+    """Write a folder of COO files of about BLOCK entries each; rows of one index share a file, and read_coo reads them all."""
+    blocks = max(1, -(-entries.count() // BLOCK))
+    lines = coo_lines(entries, rows, cols, blocks).repartition("block").sortWithinPartitions("block", "at", "at2")
+    lines.select("block", "line").write.partitionBy("block").text(path)

@@ -30,6 +30,18 @@ def indexed_rows(lines: DataFrame, by: list[str]) -> DataFrame:
     return lines.where(F.col("line").rlike(m)).select(*by, *(F.regexp_extract("line", m, i + 1).cast("double").alias(k) for i, k in enumerate(("time", "value"))))
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A sweep's results as CSV files with a header each."""
+    rows.write.csv(path, header=True)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Results of such files, columns found by their names; a value that isn't of its type fails the job."""
+    kinds = [x.split() for x in schema.split(", ")]
+    raw = spark.read.csv(path, header=True)
+    return raw.select(*(F.col(n).cast(k).alias(n) for n, k in kinds))
+
+
 def cached(spark: SparkSession, folder: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
     """make()'s result under its parameters, as Parquet; made once. A key with seed -1 is never reused: it asks for chance."""
     path = f"{folder}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()}"
