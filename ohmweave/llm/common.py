@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..sources.store import broadcast_if_small, forget, join_split, shared_dir, stored, table
+from ..sources.store import broadcast_if_small, forget, join_split, shared_dir, stored, table, tidy
 
-__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "shared_dir", "stored", "table"]
+__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "shared_dir", "smaller_batches", "stored", "table", "tidy"]
 
 BATCH_BYTES = 8 << 20
 
@@ -33,6 +35,18 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BY
             at = end
 
 
+@contextmanager
+def smaller_batches(spark: SparkSession, most: int = BATCH_BYTES):
+    """Arrow batches of about `most` bytes at most for what runs inside; the session's own setting is back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc32_of_id(id_col: str = "doc_id"):
     """crc32 of the id's decimal text; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

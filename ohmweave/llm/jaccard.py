@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, broadcast_if_small, connected_components, forget, join_split, stored
+from .common import bounded, broadcast_if_small, connected_components, forget, join_split, stored, tidy
 
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
@@ -85,11 +85,10 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, fp long")
 
 
-def common_shingles(texts: DataFrame, most_docs: int = 2000, most: int = 100_000, least: int = 3) -> np.ndarray:
-    """Shingles in `least` or more of a bounded sample of texts, by hash order; they only bear on the order."""
-    nodes = texts.where(F.length("text") < 20_000).select("node").orderBy(F.xxhash64("node")).limit(most_docs)
+def common_shingles(sample: DataFrame, most: int = 100_000, least: int = 3) -> np.ndarray:
+    """Shingles in `least` or more of a bounded sample of texts (column text); they only bear on the order."""
     seen: Counter = Counter()
-    for r in texts.join(F.broadcast(nodes), "node").select("text").toLocalIterator():
+    for r in sample.where(F.length("text") < 20_000).select("text").toLocalIterator():
         seen.update(shingle_set(r.text).tolist())
     return np.sort(np.array([g for g, n in seen.most_common(most) if n >= least], dtype=np.uint64))
 
@@ -98,11 +97,11 @@ BUCKET = "key long, node long, n int"
 
 
 def buckets(texts: DataFrame, t: float, common) -> DataFrame:
-    """BUCKET rows for each shingle of each text's prefix, of the keys that several nodes have. common: broadcast."""
+    """BUCKET rows for each shingle of each text's prefix, of the keys that several rows have. texts: text; common: broadcast."""
 
     def run(batches):
-        for b in bounded(batches, 1):
-            yield bucket_rows([(node, len(g), prefix(g, common.value, t)) for node, g in zip(b.column(0).to_pylist(), map(shingle_set, b.column(1).to_pylist()), strict=True)])
+        for b in bounded(batches, 0):
+            yield bucket_rows([(set_id(g), len(g), prefix(g, common.value, t)) for g in map(shingle_set, b.column(0).to_pylist())])
 
     return several(texts.mapInArrow(run, BUCKET))
 
@@ -217,14 +216,14 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, t: float) -> DataFrame:
     return rooted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def known_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, grams): the whole sets, sorted, of these nodes."""
+def known_sets(texts: DataFrame) -> DataFrame:
+    """(node, grams): the whole sets, sorted. texts: node, text."""
 
     def sets(batches):
         for b in bounded(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["node", "grams"])
 
-    return stored(texts.join(broadcast_if_small(nodes), "node", "left_semi").mapInArrow(sets, "node long, grams binary"), "sets")
+    return stored(texts.mapInArrow(sets, "node long, grams binary"), "sets")
 
 
 def slice_of(grams: np.ndarray) -> np.ndarray:
@@ -303,19 +302,23 @@ def difference_buckets(rows: DataFrame, heads: DataFrame, known: DataFrame, comm
     return several(beside_heads(met, known).mapInArrow(run, BUCKET))
 
 
-def similar_links(texts: DataFrame, proposed: DataFrame, t: float = 0.8) -> DataFrame:
+def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], sample: DataFrame, proposed: DataFrame, t: float = 0.8) -> DataFrame:
     """(a, b): pairs of similarity t or more that connect all that such pairs connect.
 
-    texts: node, text, a row for each distinct shingle set (see set_id); proposed: (a, b), pairs to try first.
+    texts: text, a row for each distinct shingle set (see set_id); pick gives (node, text) of a table of nodes; sample:
+    nodes, a bounded number; proposed: (a, b), pairs to try first.
     """
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    spark = texts.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(pick(sample)))
     rows = stored(buckets(texts, t, common), "buckets")
+    tidy(spark)
     heads = stored(heads_of(rows), "heads")
     large = stored(heads.where(F.col("members") > SMALL), "large")
     ends = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = stored(head_pairs(rows, heads, t).unionByName(ends).distinct(), "pairs")
     nodes = stored(rows.select("node").unionByName(ends.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "nodes")
-    known = known_sets(texts, nodes)
+    known = known_sets(pick(nodes))
+    tidy(spark)
 
     def cut(batches):
         for b in bounded(batches, 1):
@@ -328,6 +331,7 @@ def similar_links(texts: DataFrame, proposed: DataFrame, t: float = 0.8) -> Data
         may = stored(plausible(pairs, slices, t), "pairs")
         out = stored(verified(may, known, t), "links")
         forget(may)
+        tidy(spark)
         return out
 
     links = decided(tried)
@@ -336,6 +340,7 @@ def similar_links(texts: DataFrame, proposed: DataFrame, t: float = 0.8) -> Data
     small_rows = rows.join(big, "key", "left_anti")
     if large.limit(1).count():
         apart = stored(difference_buckets(rows.join(big, "key", "left_semi"), large, known, common, t), "differences")
+        tidy(spark)
         again = stored(across(head_pairs(apart, stored(heads_of(apart), "heads"), t), roots).join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(decided(again))
         roots = connected_components(links)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import bounded, broadcast_if_small, connected_components, join_split, stored
+from .common import bounded, broadcast_if_small, connected_components, join_split, smaller_batches, stored, tidy
 
 FULL = (1 << 64) - 1
 
@@ -216,18 +216,33 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lesser hash. Rows with a null id are kept: nothing names them. Null and blank texts are copies of each other.
     Extra columns are carried along. An empty table gives an empty result.
     """
+    with smaller_batches(docs.sparkSession):  # all that runs in Python is stored before this returns
+        return _left(docs, id_col, text_col, similarity)
+
+
+def _left(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     named = docs.where(F.col(quoted(id_col)).isNotNull())
     rows = stored(jaccard.set_rows(named, quoted(id_col), quoted(text_col), majority), "rows")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    heads = stored(rows.groupBy("node").agg(first, F.first("fp").alias("fp")), "representatives")
+    heads = stored(rows.groupBy("node").agg(first, F.first("fp").alias("fp")), "representatives").where("node <> 0")
     keyed = named.select(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("text_hash"), F.struct("*").alias("row"))
-    of_head = heads.where("node <> 0").select("node", "first.doc_id", "first.text_hash")
-    one = keyed.withColumn("text", F.col(f"row.{quoted(text_col)}").cast("string")).drop("row").join(broadcast_if_small(of_head), ["doc_id", "text_hash"])
+    each = keyed.select("doc_id", "text_hash", F.col(f"row.{quoted(text_col)}").cast("string").alias("text"))
     repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated")
     some = repeated.limit(1).count() > 0
-    texts = stored((one.dropDuplicates(["node"]) if some else one).select("node", "text"), "texts")
-    points = heads.where("node <> 0").select("node", "fp")
-    roots = connected_components(jaccard.similar_links(texts, ball_links(points), similarity))
+    of_head = heads.select("node", "first.doc_id", "first.text_hash")
+    # copies are few beside the rest: leaving them out moves no text
+    spare = stored(rows.select("doc_id", "text_hash").distinct().join(of_head, ["doc_id", "text_hash"], "left_anti"), "spare")
+    texts = each.join(broadcast_if_small(spare), ["doc_id", "text_hash"], "left_anti").select("text")
+
+    def pick(nodes: DataFrame) -> DataFrame:
+        found = each.join(broadcast_if_small(of_head.join(nodes, "node", "left_semi")), ["doc_id", "text_hash"]).select("node", "text")
+        return found.dropDuplicates(["node"]) if some else found
+
+    sample = heads.select("node").orderBy(F.xxhash64("node")).limit(2000)
+    proposed = ball_links(heads.select("node", "fp"))
+    tidy(docs.sparkSession)
+    roots = connected_components(jaccard.similar_links(texts, pick, sample, proposed, similarity))
+    heads = rows.groupBy("node").agg(first)
     rooted = stored(heads.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
     stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
     of_node = stored(join_split(rooted, stays, "root").select("node", "stays"), "stays")
