@@ -104,7 +104,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without those that contain an item; a row with a null id goes if any such row does."""
-    bad = contained_items(docs, items, id_col=id_col).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = broadcast_if_small(stored(contained_items(docs, items, id_col=id_col).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated"))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
 
 
