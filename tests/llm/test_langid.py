@@ -106,3 +106,37 @@ def test_without_training_rows(spark):
     assert {r.lang_pred for r in langid.identify(df).collect()} == {"und"}
     assert langid.identify(df.limit(0)).count() == 0
     assert langid.keep_identified(df).columns == df.columns
+
+
+def brute(model, text):
+    """Word by word in plain Python: (language, mean probability of its label)."""
+    words = langid.WORD.findall((text or "").replace("\u0130", "I").lower())
+    if not langid.has_letter(words):
+        return "und", 0.0
+    k, known = len(model.labels), {}
+    for w in set(words):
+        buckets, _ = langid.features([w], model.lexicon)
+        known[w] = [float(sum(float(model.weight[b, c]) for b in buckets)) for c in range(k)]
+    move = np.exp(model.move)
+    norm = lambda v: [x / sum(v) for x in v]
+    psi = [[np.exp(x - max(known[w])) for x in known[w]] for w in words]
+    ahead = [norm(psi[0])]
+    for p in psi[1:]:
+        ahead.append(norm([p[j] * sum(ahead[-1][i] * move[i, j] for i in range(k)) for j in range(k)]))
+    back = [[1.0] * k]
+    for p in reversed(psi[1:]):
+        back.append(norm([sum(move[i, j] * p[j] * back[-1][j] for j in range(k)) for i in range(k)]))
+    each = [norm([a * b for a, b in zip(x, y, strict=True)]) for x, y in zip(ahead, reversed(back), strict=True)]
+    mean = [sum(e[c] for e in each) / len(words) for c in range(k)]
+    best = max(range(k), key=mean.__getitem__)
+    return model.labels[best], mean[best]
+
+
+def test_the_query_matches_plain_python(spark, sf_dir, model):
+    docs = table(spark, sf_dir, "documents").where("length(text) < 3000")
+    got = langid.predict(docs.select("doc_id", "text"), model).collect()
+    assert len(got) > 100
+    for r in got:
+        lang, score = brute(model, r.text)
+        assert abs(r.score - score) < 2e-3, r.doc_id
+        assert r.lang_pred == lang or score < 0.5

@@ -60,3 +60,19 @@ def test_edge_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert toxicity.toxicity(docs, labels.limit(0)).count() == 5
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_the_query_matches_plain_python(spark, sf_dir):
+    import math
+    import re
+    import zlib
+
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for d in docs.select("doc_id", "text").collect():
+        words = {w for w in re.split(r"[\W_]+", (d.text or "").lower()) if w}
+        want = 1 / (1 + math.exp(-(model.bias + sum(v for w, v in model.weight.items() if w in words))))
+        r = rows[d.doc_id]
+        assert abs(r.score - want) < 1e-9
+        assert (r.predicted, r.held_out) == (int(want >= 0.7), zlib.crc32(str(d.doc_id).encode()) % 3 == 1)
