@@ -36,7 +36,7 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BY
 
 
 @contextmanager
-def smaller_batches(spark: SparkSession, most: int = BATCH_BYTES):
+def smaller_batches(spark: SparkSession, most: int = BATCH_BYTES // 2):
     """Arrow batches of about `most` bytes at most for what runs inside; the session's own setting is back after it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, crc32_of_id
+from .common import bounded, crc32_of_id, smaller_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
@@ -440,6 +440,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """docs whose language is found, with a mean probability of `least` or more; columns as they were."""
+    """docs whose language is found, with a mean probability of `least` or more; columns as they were.
+
+    The result is stored, so that its rows pass through Python in small batches.
+    """
     judged = predict(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), train(docs, text_col=text_col), "__text")
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    with smaller_batches(docs.sparkSession):
+        return stored(kept, "language")
