@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        left = stage(spark, docs, sf_dir)
+        docs = left if hasattr(left, "stored_at") else stored(left, name)
     return STAGES[-1][1](spark, docs, sf_dir)
