@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, crc32_of_id, smaller_batches, stored
+from .common import bounded, broadcast_if_small, crc32_of_id, smaller_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
@@ -442,9 +442,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """docs whose language is found, with a mean probability of `least` or more; columns as they were.
 
-    The result is stored, so that its rows pass through Python in small batches.
+    Only texts pass through Python, and two 64-bit hashes of those that go come back; null texts go too.
     """
-    judged = predict(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), train(docs, text_col=text_col), "__text")
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    text = F.col(text_col).cast("string")
+    hashes = [F.xxhash64(text, F.lit(k)).alias(f"__h{k}") for k in (1, 2)]
+    some = docs.where(text.isNotNull())
+    judged = predict(some.select(*hashes, text.alias("__text")), train(docs, text_col=text_col), "__text")
     with smaller_batches(docs.sparkSession):
-        return stored(kept, "language")
+        gone = stored(judged.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("__h1", "__h2").distinct(), "rejected")
+    rows = some.select(F.struct("*").alias("__row"), *hashes)
+    return rows.join(broadcast_if_small(gone), ["__h1", "__h2"], "left_anti").select("__row.*")
