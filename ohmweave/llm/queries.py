@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, langid, licenses, mpegts, packing, secrets, simhash, toxicity, warc
+from . import decontam, html_extract, langid, licenses, mpegts, packing, secrets, simhash, toxicity, turn_trie, vector_codes, vector_dedup, warc
 from .common import table
 
 
@@ -50,9 +50,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_mpegts, op3_decontamination, op4_toxicity, op5_html, op6_secrets, op7_licenses, op8_simhash, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_langid, op2_mpegts, op3_decontamination, op4_toxicity, op5_html, op6_secrets, op7_licenses, op8_simhash, op9_packing, op10_warc, op11_prefix_trie, op12_vector_codes, op13_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE_SQL, "op6_secrets": secrets.oracle_sql(), "op10_warc": warc.ORACLE_SQL}
+    return {
+        "op3_decontamination": decontam.ORACLE_SQL,
+        "op6_secrets": secrets.oracle_sql(),
+        "op10_warc": warc.ORACLE_SQL,
+        "op11_prefix_trie": turn_trie.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.oracle_sql(),
+        "op13_vector_dedup": vector_dedup.ORACLE_SQL,
+    }
