@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 TINY = 1e-10  # keeps relative errors of a zero finite
 
 
-def interpolated(wanted: DataFrame, known: DataFrame, by: list[str], t: str = "t", v: str = "value") -> DataFrame:
+def interpolated(wanted: DataFrame, known: DataFrame, by: list[str], t: str = "t", v: str = "value", most: int = ranks.MOST) -> DataFrame:
     """known's values at wanted's times, on straight lines between neighbours, flat beyond the ends.
 
-    One union and two ignore-null windows over (by, t), one in each direction, whose frames only grow: the as-of
-    value on either side. Of several known rows at
-    a time the largest value counts.
+    One union along (by, t), each row with the known points on either side; of several known rows at a time the largest
+    value counts. A key of over `most` rows is cut into ranges of time whose border values carry over.
     """
     k = known.groupBy(*by, t).agg(F.max(v).alias("kv"))
     both = wanted.select(*by, t, F.lit(None).cast("double").alias("kv"), F.lit(True).alias("asked")).unionByName(k.select(*by, t, F.col("kv").cast("double"), F.lit(False).alias("asked")))
     point = F.when(F.col("kv").isNotNull(), F.struct(F.col(t).alias("t"), F.col("kv").alias("v")))
-    frame = lambda order: Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = lambda order: F.last(point, ignorenulls=True).over(frame(order))
-    seen = both.select(*by, t, "asked", near(F.col(t).asc()).alias("p"), near(F.col(t).desc()).alias("n"))
+    seen = ranks.carried(both, by, [t, "asked"], {"p": point}, {"n": point}, most)  # a known row comes before a wanted one of its time
     line = F.col("p.v") + (F.col("n.v") - F.col("p.v")) * (F.col(t) - F.col("p.t")) / (F.col("n.t") - F.col("p.t"))
-    value = F.when(F.col("p").isNull(), F.col("n.v")).when(F.col("n").isNull() | (F.col("n.t") == F.col("p.t")), F.col("p.v")).otherwise(line)
+    value = F.when(F.col("p").isNull(), F.col("n.v")).when(F.col("n").isNull() | (F.col("p.t") == F.col(t)), F.col("p.v")).otherwise(line)
     return seen.where("asked").select(*by, t, value.alias(v))
 
 
-def time_weights(series: DataFrame, by: list[str], t: str = "t") -> DataFrame:
+def time_weights(series: DataFrame, by: list[str], t: str = "t", most: int = ranks.MOST) -> DataFrame:
     """series with w: half the gaps to both neighbours over the whole span; a single point has 1."""
-    order = Window.partitionBy(*by).orderBy(t)
-    gap = (F.coalesce(F.lead(t).over(order), F.col(t)) - F.coalesce(F.lag(t).over(order), F.col(t))) / 2
-    raw = series.withColumn("w", gap)
-    total = F.sum("w").over(Window.partitionBy(*by))
-    return raw.withColumn("w", F.when(total > 0, F.col("w") / total).otherwise(1.0 / F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    cut = ranks.crowded(series, by, most)
+    near = ranks.carried(series, by, [t], {"_b": F.col(t)}, {"_a": F.col(t)}, cut=cut)
+    raw = near.withColumn("w", (F.coalesce("_a", t) - F.coalesce("_b", t)) / 2).drop("_a", "_b")
+    whole = ranks.with_totals(raw, by, {"_total": F.sum("w"), "_n": F.count(F.lit(1))}, cut)
+    return whole.withColumn("w", F.when(F.col("_total") > 0, F.col("w") / F.col("_total")).otherwise(1.0 / F.col("_n"))).drop("_total", "_n")
+
+
+def with_previous(series: DataFrame, by: list[str], order: str, name: str = "want", value: str = "value", most: int = ranks.MOST) -> DataFrame:
+    """series with the value of the row before, null for a key's first row."""
+    return ranks.carried(series, by, [order], {name: F.struct(F.col(value).alias("v"))}, {}, most).withColumn(name, F.col(f"{name}.v"))
 
 
 def error_metrics(pairs: DataFrame, by: list[str], got: str = "got", want: str = "want", weight: Column | None = None) -> DataFrame:

@@ -42,11 +42,11 @@ def no_pulse() -> Column:
     return F.lit(None).cast(wf.PULSE)
 
 
-def line_parts(spark, sf_dir, kind: str, circuit: Column, value: Column) -> DataFrame:
+def line_parts(spark, sf_dir, kind: str, circuit: Column, value: Column, *more: Column) -> DataFrame:
     """Every line item as a component between its part and its supplier."""
     li = table(spark, sf_dir, "lineitem")
     name = F.concat(F.lit(kind), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
-    return li.select(circuit.alias("circuit"), F.lit(kind).alias("kind"), name.alias("name"), text("p", "l_partkey").alias("node1"), text("s", "l_suppkey").alias("node2"), value.cast("double").alias("value"), no_pulse().alias("pulse"))
+    return li.select(circuit.alias("circuit"), F.lit(kind).alias("kind"), name.alias("name"), text("p", "l_partkey").alias("node1"), text("s", "l_suppkey").alias("node2"), value.cast("double").alias("value"), no_pulse().alias("pulse"), *more)
 
 
 def seconds(ts: str = "ts") -> Column:
@@ -155,17 +155,28 @@ def q10_norton(spark, sf_dir):
     return out.where("kind = 'i'").select("name", "node1", "node2", r("value", 9).alias("value"))
 
 
-@registered("""with o as (select l_orderkey, bool_and(l_returnflag = 'N') free from lineitem group by 1)
-select 'c' || l_orderkey as name, case when free then 'a' else 'b' end node1, '0' node2 from o
-union all select 'b' || l_orderkey, 'b', case when free then '0' else 'a' end from o
-union all select 'r' || l_orderkey || '_' || l_linenumber, 'a', case when l_returnflag <> 'N' then 'x' when free then 'b' else '0' end from lineitem join o using (l_orderkey)""")
+@registered("""with o as (select l_orderkey k, bool_and(l_returnflag = 'N') free, l_orderkey % 2 = 0 e from lineitem group by 1),
+n as (select k, e, case when free and not e then 1 when free then 2 when not e then 3 else 4 end w from o)
+select 'r' || k || '_' || l_linenumber as name, 'a' node1, case when l_returnflag <> 'N' then 'x' when w = 1 then 'b' when w = 2 then 'z' else '0' end node2 from lineitem join n on k = l_orderkey
+union all select 'b' || k, 'b', case w when 1 then 'g' else 'a' end from n
+union all select 'e' || k, 'd', 'a' from n
+union all select 'h' || k, 'g', case w when 1 then '0' else 'b' end from n
+union all select 'y' || k, 'z', case w when 4 then 'a' else '0' end from n where e
+union all select 'a' || k, case w when 2 then 'a' else 'z' end, '0' from n where e
+union all select 'c' || k, case w when 1 then 'a' else 'b' end, '0' from n
+union all select 'd' || k, 'd', '0' from n
+union all select 'f' || k, case w when 1 then 'b' else 'g' end, '0' from n""")
 def q11_series_capacitors(spark, sf_dir):
+    """Every order is a circuit whose capacitors a, c, d and f want the nodes a, b, d, g and z, some of them the same, in this order."""
     li = table(spark, sf_dir, "lineitem")
     circuit = F.col("l_orderkey").cast("string").alias("circuit")
-    make = lambda df, kind, name, a, b: df.select(circuit, F.lit(kind).alias("kind"), name.alias("name"), a.alias("node1"), b.alias("node2"), F.lit(1.0).alias("value"), no_pulse().alias("pulse"))
-    orders = li.select("l_orderkey").distinct()
-    res = make(li, "r", F.concat(text("r", "l_orderkey"), F.lit("_"), F.col("l_linenumber").cast("string")), F.lit("a"), F.when(F.col("l_returnflag") == "N", "0").otherwise("x"))
-    parts = res.unionByName(make(orders, "r", text("b", "l_orderkey"), F.lit("b"), F.lit("0"))).unionByName(make(orders, "c", text("c", "l_orderkey"), F.lit("a"), F.lit("b")))
+    part = lambda kind, name, a, b: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.lit(a).alias("node1"), b.alias("node2"))
+    fixed = [part("r", text(k, "l_orderkey"), a, F.lit("0")) for k, a in (("b", "b"), ("e", "d"), ("h", "g"))] + [part("c", text(k, "l_orderkey"), a, F.lit(b)) for k, a, b in (("c", "a", "b"), ("d", "a", "d"), ("f", "b", "g"))]
+    even = [part("r", text("y", "l_orderkey"), "z", F.lit("0")), part("c", text("a", "l_orderkey"), "a", F.lit("z"))]
+    item = part("r", F.concat(text("r", "l_orderkey"), F.lit("_"), F.col("l_linenumber").cast("string")), "a", F.when(F.col("l_returnflag") == "N", "0").otherwise("x"))
+    orders = li.select("l_orderkey").distinct().select(circuit, F.explode(F.when(F.col("l_orderkey") % 2 == 0, F.array(*fixed, *even)).otherwise(F.array(*fixed))).alias("p"))
+    made = li.select(circuit, item.alias("p")).unionByName(orders).select("circuit", "p.*", F.lit(1.0).alias("value"), no_pulse().alias("pulse"))
+    parts = stored(made, "parts")
     return netlist.ground_capacitors(parts).select("name", "node1", "node2")
 
 
@@ -248,7 +259,7 @@ e as (select user_id, w, abs(v - b) e, abs(v - b) / (abs(b) + 1e-10) r from l wh
 select user_id, round(max(e), 6) max_abs, round(max(r), 6) max_rel, round(sum(w * e) / sum(w), 6) avg_abs, round(sum(w * r) / sum(w), 6) avg_rel, round(sqrt(sum(w * e * e) / sum(w)), 6) rms_abs, round(sqrt(sum(w * r * r) / sum(w)), 6) rms_rel from e group by user_id""")
 def q19_error_metrics(spark, sf_dir):
     k = table(spark, sf_dir, "events").select("user_id", seconds().alias("t"), "value")
-    pairs = metrics.time_weights(k, ["user_id"]).withColumn("want", F.lag("value").over(Window.partitionBy("user_id").orderBy("t"))).where("want is not null")
+    pairs = metrics.with_previous(metrics.time_weights(k, ["user_id"]), ["user_id"], "t").where("want is not null")
     out = metrics.error_metrics(pairs, ["user_id"], "value", "want", F.col("w"))
     return out.select("user_id", *(r(c).alias(c) for c in out.columns[1:]))
 
@@ -256,7 +267,7 @@ def q19_error_metrics(spark, sf_dir):
 @registered("""with l as (select event_type, value v, lag(value) over (partition by event_type order by event_id) b from events), e as (select event_type, abs(v - b) e from l where b is not null)
 select event_type, round(avg(e), 6) mae, round(avg(e * e), 4) mse, round(sqrt(avg(e * e)), 6) rmse from e group by event_type""")
 def q20_plain_errors(spark, sf_dir):
-    k = table(spark, sf_dir, "events").withColumn("want", F.lag("value").over(Window.partitionBy("event_type").orderBy("event_id"))).where("want is not null")
+    k = metrics.with_previous(table(spark, sf_dir, "events"), ["event_type"], "event_id").where("want is not null")
     m = metrics.error_metrics(k, ["event_type"], "value", "want")
     return m.select("event_type", r("avg_abs").alias("mae"), r(F.col("rms_abs") * F.col("rms_abs"), 4).alias("mse"), r("rms_abs").alias("rmse"))
 
@@ -570,11 +581,13 @@ def q46_no_sources_left(spark, sf_dir):
     return assemble.refuse_sources(parts).groupBy("kind", "circuit").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
 
 
-@registered("""with n as (select l_returnflag c, 'p' || l_partkey node from lineitem union select l_returnflag, 's' || l_suppkey from lineitem), i as (select c, node, row_number() over (partition by c order by node) - 1 idx from n)
+@registered("""with n as (select l_returnflag c, 'p' || l_partkey node, (l_orderkey * 8 + l_linenumber) * 2 "at" from lineitem union all select l_returnflag, 's' || l_suppkey, (l_orderkey * 8 + l_linenumber) * 2 + 1 from lineitem),
+f as (select c, node, min("at") "at" from n group by all), i as (select c, node, row_number() over (partition by c order by "at", node) - 1 idx from f)
 select l_orderkey, l_linenumber, case when l_linenumber <= 3 then -1 else idx end idx from lineitem join i on c = l_returnflag and node = 'p' || l_partkey""")
 def q47_node_indices(spark, sf_dir):
-    parts = line_parts(spark, sf_dir, "r", F.col("l_returnflag"), F.col("l_quantity"))
+    """Each return flag's lines are one netlist, in the order of their keys."""
     k = F.col("l_linenumber")
+    parts = line_parts(spark, sf_dir, "r", F.col("l_returnflag"), F.col("l_quantity"), (F.col("l_orderkey") * 8 + k).alias("line_no"))
     spelled = F.when(k == 1, "0").when(k == 2, "gnd").when(k == 3, "GND").otherwise(text("p", "l_partkey"))
     names = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("circuit"), spelled.alias("node"), "l_orderkey", "l_linenumber")
     return netlist.node_indices(names, netlist.node_numbers(parts)).select("l_orderkey", "l_linenumber", "idx")
@@ -598,7 +611,7 @@ def q49_simpson(spark, sf_dir):
 @registered("""with l as (select user_id, value v, lag(value) over (partition by user_id order by event_id) b from events), e as (select user_id, abs(v - b) / (abs(b) + 1e-10) r from l where b is not null)
 select user_id, round(max(r), 5) max_rel, round(avg(r), 5) avg_rel, round(sqrt(avg(r * r)), 5) rms_rel from e group by user_id""")
 def q50_relative_errors(spark, sf_dir):
-    k = table(spark, sf_dir, "events").withColumn("want", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))).where("want is not null")
+    k = metrics.with_previous(table(spark, sf_dir, "events"), ["user_id"], "event_id").where("want is not null")
     return metrics.error_metrics(k, ["user_id"], "value", "want").select("user_id", *(r(c, 5).alias(c) for c in ("max_rel", "avg_rel", "rms_rel")))
 
 
@@ -693,6 +706,27 @@ def q60_speedup_by_group(spark, sf_dir):
     return metrics.speedups(t, ["user_id"]).select("user_id", "event_type", r("speedup").alias("speedup"))
 
 
+@registered("""with recursive s as (select s_nationkey n, s_suppkey k, s_acctbal v, row_number() over (partition by s_nationkey order by s_suppkey) i from supplier),
+l(n, k, i, lift) as (select n, k, i, v from s where i = 1 union all select s.n, s.k, s.i, l.lift + s.v from l join s on s.n = l.n and s.i = l.i + 1),
+t as (select n, 's' || k node, lift from l union all select n, 't' || k, lift + 10 + k % 7 from l),
+r as (select l_orderkey o, l_linenumber j, 'p' || l_partkey p, l_suppkey k, l_quantity q from lineitem),
+e as (select 'r' || o || '_' || j as name, p, 's' || k node, q from r union all select 'u' || o || '_' || j, p, 't' || k, q from r where j = 1)
+select n::varchar circuit, 'i_' || name as name, case when lift >= 0 then '0' else p end node1, case when lift >= 0 then p else '0' end node2, round(abs(lift) / q, 8) as value from e join t using (node)
+union all select n::varchar, name, p, '0', round(q, 8) from e join t using (node)""")
+def q61_source_chains(spark, sf_dir):
+    """A nation's suppliers stand on each other's shoulders, the first on ground, and each carries a second source on its terminal."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.lag("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("below"))
+    circuit = F.col("s_nationkey").cast("string").alias("circuit")
+    v = s.select(circuit, F.lit("v").alias("kind"), text("v", "s_suppkey").alias("name"), text("s", "s_suppkey").alias("node1"), F.coalesce(text("s", "below"), F.lit("0")).alias("node2"), F.col("s_acctbal").alias("value"), no_pulse().alias("pulse"))
+    w = s.select(circuit, F.lit("v").alias("kind"), text("w", "s_suppkey").alias("name"), text("t", "s_suppkey").alias("node1"), text("s", "s_suppkey").alias("node2"), (10.0 + F.col("s_suppkey") % 7).alias("value"), no_pulse().alias("pulse"))
+    nation = s.select(F.col("s_suppkey").alias("l_suppkey"), circuit)
+    li = table(spark, sf_dir, "lineitem").join(nation, "l_suppkey")
+    item = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    r = lambda df, kind, end: df.select("circuit", F.lit("r").alias("kind"), F.concat(F.lit(kind), item).alias("name"), text("p", "l_partkey").alias("node1"), text(end, "l_suppkey").alias("node2"), F.col("l_quantity").alias("value"), no_pulse().alias("pulse"))
+    parts = stored(r(li, "r", "s").unionByName(r(li.where("l_linenumber = 1"), "u", "t")).unionByName(v).unionByName(w), "parts")
+    return netlist.norton(parts).select("circuit", F.regexp_replace("name", "^i_[vw][0-9]+_", "i_").alias("name"), "node1", "node2", F.round("value", 8).alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

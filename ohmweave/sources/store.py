@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether Spark deletes the shuffle files of a query as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,21 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Spark is told to delete the shuffle files of the write as it ends: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ohmweave-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def made_of(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads these stored tables: forget deletes them with it."""
+    df.stored_at = [p for t in tables for p in ([t.stored_at] if isinstance(t.stored_at, str) else t.stored_at)]
+    return df
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more: what was made of them is itself stored."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        for at in [t.stored_at] if isinstance(t.stored_at, str) else t.stored_at:
+            path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def tidy(spark: SparkSession) -> None:

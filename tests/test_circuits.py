@@ -1,8 +1,10 @@
+import itertools
 import math
+import random
 
 import pytest
 
-from ohmweave.operators import assemble, generate, netlist, stepper
+from ohmweave.operators import assemble, generate, graph, netlist, stepper
 from ohmweave.plans import commands, sweeps
 from ohmweave.sources import netlist_text
 
@@ -53,12 +55,108 @@ def test_long_merges_keep_short_names(spark):
     assert {(r.node1, r.node2, r.name) for r in netlist.merged_names(p, "r").collect()} == {("a", "b", f"r{i}") for i in range(1, 9)}
 
 
-def test_repeated_names_and_shared_terminals(spark):
-    p = parts_of(spark, "r1 0 a 3", "c1 a b 2", "c1 a b 5", "c1 e 0 7", "r2 b d 1", "c2 d 0 1")
+def test_capacitors_of_one_pair_go_together(spark):
+    p = parts_of(spark, "r1 0 a 3", "c1 a b 2", "c1 b a 5", "c1 e 0 7", "r2 b d 1", "c2 d 0 1")
     got = sorted((r.name, r.node1, r.node2, r.value) for r in netlist.ground_capacitors(p).where("kind = 'c'").collect())
     assert got == [("c1", "a", "0", 2.0), ("c1", "a", "0", 5.0), ("c1", "e", "0", 7.0), ("c2", "d", "0", 1.0)]
-    with pytest.raises(Exception, match="several sources on one terminal"):
+
+
+def one_after_the_other(lines):
+    """Capacitors in the order of their lines, in plain Python; None where one finds no end."""
+    parts = [x.split() for x in lines]
+    res = {p[0]: p[1:3] for p in parts if p[0][0] == "r"}
+    caps = [p for p in parts if p[0][0] == "c"]
+    at = {}
+    for name, ends in res.items():
+        for end in ends:
+            at.setdefault(end, set()).add(name)
+    out = {}
+    for name, a, b, _ in caps:
+        out[name] = (a, b)
+        if "0" in (a, b):
+            continue
+        for hot, other in ((a, b), (b, a)):
+            mine = at.get(hot, set())
+            if all("0" in res[r] for r in mine):
+                for r in mine:
+                    res[r] = [other if x == "0" else x for x in res[r]]
+                    out[name] = (hot, "0")
+                break
+        else:
+            return None
+    return out | {k: tuple(v) for k, v in res.items()}
+
+
+def test_capacitors_that_compete_for_nodes(spark):
+    p = parts_of(spark, "r1 a 0 1", "c1 a b 1", "c2 a d 1", "r3 d e 1", "r4 b 0 1")
+    with pytest.raises(Exception, match="no grounded end for capacitor c2"):
+        netlist.ground_capacitors(p).collect()
+    rng, seen = random.Random(5), 0
+    for k in range(120):
+        nodes = "abcdefgh"[: rng.randint(3, 8)]
+        lines = [f"r{i} {n} 0 1" for i, n in enumerate(nodes) if rng.random() < 0.85]
+        lines += [f"r{10 + i} {rng.choice(nodes)} z{rng.choice('0123')} 1" for i in range(rng.randint(0, 1))]
+        pairs = [p for p in itertools.combinations(nodes, 2) if rng.random() < 2 / len(nodes)]
+        rng.shuffle(pairs)
+        lines += [f"c{i} {a} {b} 1" if rng.random() < 0.5 else f"c{i} {b} {a} 1" for i, (a, b) in enumerate(pairs)]
+        want = one_after_the_other(lines)
+        if want is None or seen >= 12 or k < 100 and len(pairs) < 4:
+            continue
+        seen += 1
+        assert {n: v[:2] for n, v in rows(netlist.ground_capacitors(parts_of(spark, *lines))).items()} == want
+    assert seen >= 8
+
+
+def test_a_late_but_earlier_capacitor_gets_its_turn(spark):
+    lines = ["r1 a 0 1", "r2 b 0 1", "r3 g 0 1", "r4 z 0 1", "c1 a z 1", "c2 a b 1", "c3 b g 1"]
+    got = {n: v[:2] for n, v in rows(netlist.ground_capacitors(parts_of(spark, *lines))).items()}
+    assert got == one_after_the_other(lines)
+    assert got["c1"] == ("a", "0") and got["c2"] == ("b", "0") and got["c3"] == ("g", "0")
+
+
+def test_sources_that_share_terminals_and_form_chains(spark):
+    got = rows(netlist.norton(parts_of(spark, "v1 s 0 6", "v2 s t 4", "v3 u t 1", "r1 s a 2", "r2 t a 2", "r3 u a 1", "r4 s t 5")))
+    assert got == {"r1": ("0", "a", 2.0), "r2": ("0", "a", 2.0), "r3": ("0", "a", 1.0), "i_v1_r1": ("0", "a", 3.0), "i_v2_r2": ("0", "a", 1.0), "i_v3_r3": ("0", "a", 3.0)} or got == {
+        "r1": ("a", "0", 2.0),
+        "r2": ("a", "0", 2.0),
+        "r3": ("a", "0", 1.0),
+        "i_v1_r1": ("0", "a", 3.0),
+        "i_v2_r2": ("0", "a", 1.0),
+        "i_v3_r3": ("0", "a", 3.0),
+    }
+    floating = rows(netlist.norton(parts_of(spark, "v1 a b 6", "v2 b d 4", "r1 a x 2", "r2 b x 2", "r3 d x 1")))
+    assert floating == {"r1": ("d", "x", 2.0), "r2": ("d", "x", 2.0), "r3": ("d", "x", 1.0), "i_v1_r1": ("d", "x", 5.0), "i_v1_r2": ("d", "x", 2.0)}
+    with pytest.raises(Exception, match="contradicting"):
         netlist.norton(parts_of(spark, "v1 s 0 6", "v2 s 0 4", "r1 s a 2")).collect()
+    with pytest.raises(Exception, match="contradicting"):
+        netlist.norton(parts_of(spark, "v1 a b 1", "v2 b d 1", "v3 d a 1", "r1 a x 2")).collect()
+    agreeing = rows(netlist.norton(parts_of(spark, "v1 s 0 6", "v2 0 s -6", "r1 s a 2")))
+    assert agreeing == {"r1": ("0", "a", 2.0), "i_v1_r1": ("0", "a", 3.0)}
+    with pytest.raises(Exception, match="no usable terminal"):
+        netlist.norton(parts_of(spark, "v1 s t 6", "v2 t 0 4", "r1 a b 1")).collect()
+
+
+def test_potentials_of_a_long_chain(spark):
+    edges = [(f"n{k + 1:03d}", f"n{k:03d}", float(k)) for k in range(120)]
+    random.Random(3).shuffle(edges)
+    got = {r.node: (r.component, r.lift) for r in graph.potentials(spark.createDataFrame(edges, "a string, b string, lift double")).collect()}
+    assert got == {f"n{k:03d}": ("n000", float(k * (k - 1) // 2)) for k in range(121)}
+
+
+def test_first_seen_numbers(spark):
+    p = parts_of(spark, "r1 zed 0 1", "v1 zed mid 0", "r2 amp mid 1", "c1 0 bee 1", "r3 bee amp 1")
+    shorts = netlist.short_circuit_map(p)
+    numbers = netlist.node_numbers(netlist.collapse_shorts(p), netlist.first_seen(p, shorts))
+    assert {r.node: r.idx for r in numbers.collect()} == {"0": 0, "mid": 1, "amp": 2, "bee": 3}
+    plain = {r.node: r.idx for r in netlist.node_numbers(p.where("kind <> 'v'")).collect()}
+    assert plain == {"0": 0, "zed": 1, "amp": 2, "mid": 3, "bee": 4}
+    long = parts_of(spark, *(f"r{k} n{(k * 37) % 500} n{(k * 37 + 1) % 500} 1" for k in range(400)))
+    assert {tuple(r) for r in netlist.node_numbers(long, most=50).collect()} == {tuple(r) for r in netlist.node_numbers(long).collect()}
+
+
+def test_a_resistor_of_no_ohms_is_named(spark):
+    with pytest.raises(Exception, match="a resistor of 0 ohms: r2"):
+        netlist.merge_parallel(parts_of(spark, "r1 a b 1", "r2 a b 0"), "r").select("value").collect()
 
 
 def test_missing_capacitors_get_the_mean(spark):
