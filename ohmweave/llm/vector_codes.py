@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import join_split, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-ROWS = 2_048  # assigned at a time
+ROWS = 512  # assigned at a time
 
 
 def padded(width: int) -> int:
@@ -60,27 +60,34 @@ def transformed(parts: np.ndarray) -> np.ndarray:
 def nearest(parts: np.ndarray, book: np.ndarray, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of the nearest entry of book for each row of parts; of several the least index.
 
-    `first` coefficients are summed for all entries; what exceeds the whole sum of the best of them is dropped, and
-    again after every further coefficient.
+    `first` coefficients are summed for all entries; what exceeds the whole sum of the best of them is dropped. While
+    that leaves over an eighth of all, two more are summed for all; then the rest one by one for what is left, which is
+    dropped as soon as it exceeds the bound.
     """
     x, e = transformed(parts), transformed(book)
-    size, first = x.shape[1], min(first, x.shape[1])
-    sums = np.zeros((len(x), len(e)), dtype=np.int64)
-    for k in range(first):
-        d = x[:, k, None] - e[None, :, k]
-        sums += d * d
-    guess = sums.argmin(axis=1)
-    rest = x[:, first:] - e[guess, first:]
-    bound = sums[np.arange(len(x)), guess] + (rest * rest).sum(axis=1)
-    row, entry = np.nonzero(sums <= bound[:, None])
+    size, rows = x.shape[1], np.arange(len(x))
+    sums, k = np.zeros((len(x), len(e)), dtype=np.int64), 0
+    while k < size:
+        for k in range(k, min(size, k + (2 if k else first))):
+            d = np.subtract.outer(x[:, k], e[:, k])
+            d *= d
+            sums += d
+        k += 1
+        guess = sums.argmin(axis=1)
+        rest = x[:, k:] - e[guess, k:]
+        bound = sums[rows, guess] + (rest * rest).sum(axis=1)
+        near = sums <= bound[:, None]
+        if 8 * np.count_nonzero(near) <= near.size:
+            break
+    row, entry = np.nonzero(near)
     left = sums[row, entry]
-    for k in range(first, size):
+    for k in range(k, size):
         d = x[row, k] - e[entry, k]
         left = left + d * d
         keep = left <= bound[row]
         row, entry, left = row[keep], entry[keep], left[keep]
     order = np.lexsort((entry, left, row))  # the best of each row comes first, and every row has one left
-    at = order[np.searchsorted(row[order], np.arange(len(x)))]
+    at = order[np.searchsorted(row[order], rows)]
     return entry[at], left[at] // size
 
 
