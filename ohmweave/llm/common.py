@@ -12,9 +12,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..sources.store import broadcast_if_small, forget, join_split, shared_dir, stored, table, tidy
+from ..sources.store import broadcast_if_small, forget, join_split, made_of, shared_dir, stored, table
 
-__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "shared_dir", "smaller_batches", "stored", "table", "tidy"]
+__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "made_of", "shared_dir", "smaller_batches", "stored", "table"]
 
 BATCH_BYTES = 8 << 20
 

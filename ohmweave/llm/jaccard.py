@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, broadcast_if_small, connected_components, forget, join_split, stored, tidy
+from .common import bounded, broadcast_if_small, connected_components, forget, join_split, made_of, stored
 
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
@@ -299,7 +299,9 @@ def difference_buckets(rows: DataFrame, heads: DataFrame, known: DataFrame, comm
             seed = {a: mixed(np.array([a], np.int64).view(np.uint64)) for a, _, _, _ in members}
             yield bucket_rows([(b, len(y), mixed(differences(x, y, common.value, t) ^ seed[a])) for a, x, b, y in members])
 
-    return several(beside_heads(met, known).mapInArrow(run, BUCKET))
+    out = stored(several(beside_heads(met, known).mapInArrow(run, BUCKET)), "differences")
+    forget(met)
+    return out
 
 
 def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], sample: DataFrame, proposed: DataFrame, t: float = 0.8) -> DataFrame:
@@ -311,14 +313,12 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(pick(sample)))
     rows = stored(buckets(texts, t, common), "buckets")
-    tidy(spark)
     heads = stored(heads_of(rows), "heads")
     large = stored(heads.where(F.col("members") > SMALL), "large")
     ends = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = stored(head_pairs(rows, heads, t).unionByName(ends).distinct(), "pairs")
     nodes = stored(rows.select("node").unionByName(ends.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "nodes")
     known = known_sets(pick(nodes))
-    tidy(spark)
 
     def cut(batches):
         for b in bounded(batches, 1):
@@ -331,24 +331,30 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
         may = stored(plausible(pairs, slices, t), "pairs")
         out = stored(verified(may, known, t), "links")
         forget(may)
-        tidy(spark)
         return out
 
-    links = decided(tried)
+    links, spent = decided(tried), [rows, heads, large, tried, nodes, known, slices]
     roots = connected_components(links)
     big = broadcast_if_small(large.select("key"))
     small_rows = rows.join(big, "key", "left_anti")
     if large.limit(1).count():
-        apart = stored(difference_buckets(rows.join(big, "key", "left_semi"), large, known, common, t), "differences")
-        tidy(spark)
-        again = stored(across(head_pairs(apart, stored(heads_of(apart), "heads"), t), roots).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(decided(again))
+        apart = difference_buckets(rows.join(big, "key", "left_semi"), large, known, common, t)
+        near = stored(heads_of(apart), "heads")
+        again = stored(across(head_pairs(apart, near, t), roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = decided(again)
+        links = made_of(links.unionByName(more), links, more)
+        forget(roots)
         roots = connected_components(links)
         left = cross_pairs(small_rows, roots, t).unionByName(cross_pairs(apart, roots, t)).distinct()
         left = left.join(again, ["a", "b"], "left_anti")
+        spent += [apart, near, again]
     else:
         left = cross_pairs(small_rows, roots, t)
-    return links.unionByName(decided(stored(left.join(tried, ["a", "b"], "left_anti"), "pairs")))
+    rest = stored(left.join(tried, ["a", "b"], "left_anti"), "pairs")
+    last = decided(rest)
+    forget(roots, rest, *spent)  # links alone are read from here on
+    common.unpersist()
+    return made_of(links.unionByName(last), links, last)
 
 
 def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:

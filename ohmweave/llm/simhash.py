@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import bounded, broadcast_if_small, connected_components, join_split, smaller_batches, stored, tidy
+from .common import bounded, broadcast_if_small, connected_components, forget, join_split, made_of, smaller_batches, stored
 
 FULL = (1 << 64) - 1
 
@@ -179,7 +179,9 @@ def ball_links(points: DataFrame, radii: tuple[int, ...] = (3,), parts: int = 4)
     first = stored(links_by_key(points.withColumn("grp", F.col("node")), plain, radii), "links")
     roots = connected_components(first)
     grouped = points.join(roots, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
-    return stored(links_by_key(grouped, masks, radii), "links").unionByName(first)
+    rest = stored(links_by_key(grouped, masks, radii), "links")
+    forget(roots)
+    return made_of(rest.unionByName(first), rest, first)
 
 
 def components_of(fps: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,7 +226,8 @@ def _left(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> Dat
     named = docs.where(F.col(quoted(id_col)).isNotNull())
     rows = stored(jaccard.set_rows(named, quoted(id_col), quoted(text_col), majority), "rows")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    heads = stored(rows.groupBy("node").agg(first, F.first("fp").alias("fp")), "representatives").where("node <> 0")
+    representatives = stored(rows.groupBy("node").agg(first, F.first("fp").alias("fp")), "representatives")
+    heads = representatives.where("node <> 0")
     keyed = named.select(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("text_hash"), F.struct("*").alias("row"))
     each = keyed.select("doc_id", "text_hash", F.col(f"row.{quoted(text_col)}").cast("string").alias("text"))
     repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated")
@@ -240,14 +243,15 @@ def _left(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> Dat
 
     sample = heads.select("node").orderBy(F.xxhash64("node")).limit(2000)
     proposed = ball_links(heads.select("node", "fp"))
-    tidy(docs.sparkSession)
-    roots = connected_components(jaccard.similar_links(texts, pick, sample, proposed, similarity))
-    heads = rows.groupBy("node").agg(first)
-    rooted = stored(heads.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
+    links = jaccard.similar_links(texts, pick, sample, proposed, similarity)
+    roots = connected_components(links)
+    rooted = stored(representatives.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
     stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
     of_node = stored(join_split(rooted, stays, "root").select("node", "stays"), "stays")
     gone = join_split(rows, of_node, "node").where("not (doc_id = stays.doc_id and text_hash = stays.text_hash)").select("doc_id", "text_hash").distinct()
-    left = keyed.join(broadcast_if_small(stored(gone, "gone")), ["doc_id", "text_hash"], "left_anti")
+    gone = stored(gone, "gone")
+    forget(rows, representatives, spare, proposed, links, roots, rooted, of_node)  # what is returned reads gone and repeated
+    left = keyed.join(broadcast_if_small(gone), ["doc_id", "text_hash"], "left_anti")
     if some:
         again = broadcast_if_small(repeated)
         firsts = left.join(again, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
