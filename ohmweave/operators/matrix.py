@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
+#: Entries of a row that one value holds.
+BLOCK = 4_096
 Keys = Sequence[str]
 
 
@@ -27,11 +31,32 @@ def with_diagonal(entries: DataFrame, by: Keys = ()) -> DataFrame:
     return summed(entries.select(*by, "row", "col", "value").unionByName(zeros), by)
 
 
-def rows_of(entries: DataFrame, by: Keys = ()) -> DataFrame:
-    """(row, entries): each row as an array of (col, value), its diagonal first, the others by column."""
-    cell = F.struct((F.col("row") != F.col("col")).alias("off"), "col", "value")
-    packed = with_diagonal(entries, by).groupBy(*by, "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return packed.select(*by, "row", F.transform("cells", lambda c: F.struct(c["col"].alias("col"), c["value"].alias("value"))).alias("entries"))
+def rows_of(entries: DataFrame, by: Keys = (), block: int = BLOCK, most: int = ranks.MOST) -> DataFrame:
+    """(row, block, at, entries): rows as blocks of up to `block` (col, value), from 0; `at` is the place of a block's first entry.
+
+    A row's diagonal comes first, the others by column. No value holds more than a block, however long the row; the places of
+    a row of over `most` entries are found range by range.
+    """
+    cells = with_diagonal(entries, by).withColumn("_off", F.col("row") != F.col("col"))
+    placed = ranks.ranked(cells, [*by, "row"], ["_off", "col"], "_place", most).withColumn("block", F.floor((F.col("_place") - 1) / block))
+    packed = placed.groupBy(*by, "row", "block").agg(F.array_sort(F.collect_list(F.struct("_place", "col", "value"))).alias("cells"))
+    return packed.select(*by, "row", "block", (F.col("block") * block).alias("at"), F.transform("cells", lambda c: F.struct(c["col"].alias("col"), c["value"].alias("value"))).alias("entries"))
+
+
+def entries_of(blocks: DataFrame, by: Keys = ()) -> DataFrame:
+    """(row, col, value) of rows_of's blocks."""
+    return blocks.select(*by, "row", F.inline("entries"))
+
+
+def times_blocks(blocks: DataFrame, x: DataFrame, by: Keys = ()) -> DataFrame:
+    """Matrix times vector as in times, of a matrix in blocks: a hub's blocks are worked on by as many tasks, and their sums add up."""
+    return times(entries_of(blocks, by), x, by)
+
+
+def row_offsets(blocks: DataFrame, by: Keys = ()) -> DataFrame:
+    """(row, at, n): the place of each row's first entry among all of the matrix, rows in order, and its number of entries."""
+    sizes = blocks.groupBy(*by, "row").agg(F.sum(F.size("entries")).alias("n"))
+    return ranks.running(sizes, by, ["row"], "n", "at")
 
 
 def entry(entries: DataFrame, row: int, col: int) -> DataFrame:

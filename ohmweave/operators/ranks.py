@@ -51,6 +51,20 @@ def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     return placed.withColumn(name, F.col("_at") - F.col("_first") + 1 + F.col("_before")).select(*rows.columns, name)
 
 
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, most: int = MOST) -> DataFrame:
+    """rows with the sum of `value` over the rows before them in their key; without `by` all rows are one key."""
+    frame = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    keyed = rows if by else rows.withColumn("_all", F.lit(0))
+    key = [*by] or ["_all"]
+    if not crowded(keyed, key, most):
+        return keyed.withColumn(name, F.coalesce(F.sum(value).over(frame(*key).orderBy(*order)), F.lit(0))).select(*rows.columns, name)
+    parts = in_ranges(keyed, key, order)
+    sums = parts.groupBy(*key, "_part").agg(F.sum(value).alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(frame(*key).orderBy("_part")), F.lit(0))).drop("_n")
+    inside = parts.withColumn("_inside", F.coalesce(F.sum(value).over(frame(*key, "_part").orderBy(*order)), F.lit(0)))
+    return on_borders(inside, before, key).withColumn(name, F.col("_inside") + F.col("_before")).select(*rows.columns, name)
+
+
 def carried(rows: DataFrame, by: Sequence[str], order: Sequence[str], before: dict[str, Column], after: dict[str, Column], most: int = MOST, cut: bool | None = None) -> DataFrame:
     """rows with the nearest earlier (before) and later (after) value that isn't null of each column expression, not counting the row itself.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import uniform as rnd
 from ..functions import waveform as wf
-from ..operators import assemble, generate, matrix, metrics, netlist, stepper, walk
+from ..operators import assemble, generate, matrix, metrics, netlist, ranks, stepper, walk
 from ..sources import matrix_text, netlist_text, results
 from ..sources.store import forget, shared_dir, stored, table
 from . import commands, sweeps
@@ -106,13 +106,15 @@ def q05_matrix_vector(spark, sf_dir):
 
 @registered("""with e as (select l_suppkey as row, l_partkey col, sum(l_quantity) v from lineitem group by all),
 z as (select row, col, v from e union all select distinct row, row, 0 from e),
-s as (select row, col, sum(v) v from z group by all)
-select row, count(*) nnz, round(sum(v) filter (row = col), 6) diagonal, string_agg(col, ',' order by col <> row, col) cols from s group by row""")
+s as (select row, col, sum(v) v from z group by all), p as (select *, (row_number() over (partition by row order by col <> row, col) - 1) // 64 block from s),
+o as (select row, sum(count(*)) over (order by row) - count(*) first from s group by row)
+select row, block::bigint block, count(*) nnz, any_value(first)::bigint first, round(sum(v) filter (row = col), 6) diagonal, string_agg(col, ',' order by col <> row, col) cols from p join o using (row) group by row, block""")
 def q06_compressed_rows(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
-    rows = matrix.rows_of(e)
-    first = F.get("entries", F.lit(0))
-    return rows.select("row", F.size("entries").cast("long").alias("nnz"), r(first["value"]).alias("diagonal"), F.array_join(F.transform("entries", lambda c: c["col"].cast("string")), ",").alias("cols"))
+    blocks = stored(matrix.rows_of(e, block=64), "blocks")
+    head = F.when(F.col("block") == 0, F.get("entries", F.lit(0))["value"])
+    out = blocks.join(matrix.row_offsets(blocks).select("row", F.col("at").alias("first")), "row")
+    return out.select("row", "block", F.size("entries").cast("long").alias("nnz"), "first", r(head).alias("diagonal"), F.array_join(F.transform("entries", lambda c: c["col"].cast("string")), ",").alias("cols"))
 
 
 @registered(f"""with {CELLS}, y as (select vec_id, (pos + 1) % 64 pos, x from c),
@@ -633,26 +635,30 @@ def q52_sample_errors(spark, sf_dir):
 @registered(f"with {ITEMS}, n as (select max(row) + 1 rows, max(col) + 1 cols from e) select rows, cols, row, col, v as value from e, n")
 def q53_coo_files(spark, sf_dir):
     e = stored(matrix.summed(supplier_matrix(spark, sf_dir)), "entries")
-    size = e.agg(F.max("row"), F.max("col")).first()
+    size = e.agg(F.max("row"), F.max("col"), F.count(F.lit(1))).first()
     path = f"{shared_dir(spark)}/ohmweave-coo-{uuid.uuid4().hex}"
-    matrix_text.write_coo(e, (size[0] or 0) + 1, (size[1] or 0) + 1, path)
+    matrix_text.write_coo(e, (size[0] or 0) + 1, (size[1] or 0) + 1, path, size[2])
     forget(e)
     return matrix_text.read_coo(spark, path).select("rows", "cols", "row", "col", "value")
 
 
-@registered("""with f as (select label, min_by(embedding, vec_id) e from embeddings group by 1), c as (select label, unnest(range(64)) k, unnest(e)::double x from f)
-select 'vector' kind, label, null::bigint as row, k idx, round(x, 6) as value from c union all select 'dense', label, k // 8, k % 8, round(x, 6) from c where x <> 0 or k // 8 = k % 8""")
+@registered(f"""with {CELLS}, o as (select vec_id, row_number() over (partition by label order by vec_id) - 1 k from embeddings),
+m as (select a.label, a.pos as row, b.pos col, sum(a.x * b.x) v from c a join c b on a.vec_id = b.vec_id where abs(a.pos - b.pos) <= 3 group by all)
+select 'vector' kind, label, null::bigint as row, k * 64 + pos idx, round(x, 6) as value from c join o using (vec_id) union all select 'dense', label, row, col, round(v, 5) from m""")
 def q54_dense_and_vector_files(spark, sf_dir):
-    first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).select("label", F.transform("e", lambda x: x.cast("double").cast("string")).alias("e"))
+    """A vector file for each label, all its embeddings one after the other, and a dense one, the sums of products of near components."""
+    cells = embedding_cells(spark, sf_dir)
+    order = ranks.ranked(table(spark, sf_dir, "embeddings").select("vec_id", "label"), ["label"], ["vec_id"], "k")
+    values = cells.join(order.select("vec_id", "k"), "vec_id").select(F.col("label").alias("name"), ((F.col("k") - 1) * 64 + F.col("pos")).alias("idx"), "value")
     path = f"{shared_dir(spark)}/ohmweave-text-{uuid.uuid4().hex}"
-    row = lambda i: F.array_join(F.slice("e", i * 8 + 1, 8), ",")
-    dense = F.concat(F.lit("8\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), row), "\n"))
-    for kind, body in (("vector", F.concat(F.lit("64\n"), F.array_join("e", ","))), ("dense", dense)):
-        first.select("label", body.alias("body")).repartition("label").write.partitionBy("label").text(f"{path}/{kind}")
-    label = F.regexp_extract("file", "label=([^/]*)", 1).cast("int").alias("label")
+    matrix_text.write_vectors(values, f"{path}/vector")
+    near = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.transform(F.sequence(F.greatest(i - 3, F.lit(0)), F.least(i + 3, F.lit(63))), lambda j: F.struct(i.alias("row"), j.alias("col"), (F.get("e", i) * F.get("e", j)).alias("value"))))))
+    products = table(spark, sf_dir, "embeddings").select(F.col("label").alias("name"), F.col("embedding").cast("array<double>").alias("e")).select("name", near.alias("p")).groupBy("name", "p.row", "p.col").agg(F.sum("p.value").alias("value"))
+    matrix_text.write_dense(stored(products, "products"), 64, f"{path}/dense")
+    label = F.regexp_extract("file", "name=([^/]*)", 1).cast("int").alias("label")
     vector = matrix_text.read_vector(spark, f"{path}/vector/*").select(F.lit("vector").alias("kind"), label, F.lit(None).cast("long").alias("row"), "idx", r("value").alias("value"))
-    cells = matrix_text.read_dense(spark, f"{path}/dense/*").select(F.lit("dense").alias("kind"), label, "row", F.col("col").alias("idx"), r("value").alias("value"))
-    return vector.unionByName(cells)
+    dense = matrix_text.read_dense(spark, f"{path}/dense/*").select(F.lit("dense").alias("kind"), label, "row", F.col("col").alias("idx"), r("value", 5).alias("value"))
+    return vector.unionByName(dense)
 
 
 @registered("select user_id, event_id::double as time, round(value, 2) as value from events")
@@ -727,6 +733,13 @@ def q61_source_chains(spark, sf_dir):
     return netlist.norton(parts).select("circuit", F.regexp_replace("name", "^i_[vw][0-9]+_", "i_").alias("name"), "node1", "node2", F.round("value", 8).alias("value"))
 
 
+@registered("""with e as (select l_suppkey as row, l_partkey col, sum(l_quantity) v from lineitem group by all) select row idx, round(sum(v / (1 + col % 97)), 5) as value from e group by row""")
+def q62_block_product(spark, sf_dir):
+    blocks = matrix.rows_of(supplier_matrix(spark, sf_dir), block=64)
+    x = table(spark, sf_dir, "lineitem").select("l_partkey").union(table(spark, sf_dir, "lineitem").select("l_suppkey")).distinct().select(F.col("l_partkey").alias("idx"), (1.0 / (1 + F.col("l_partkey") % 97)).alias("value"))
+    return matrix.times_blocks(blocks, x).select("idx", r("value", 5).alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.waveform import FIELDS, PULSE, pulse_text
+from .lines import numbered_lines
 
-COMPONENTS = f"circuit string, line_no int, kind string, name string, node1 string, node2 string, value double, pulse {PULSE}"
+COMPONENTS = f"circuit string, line_no long, kind string, name string, node1 string, node2 string, value double, pulse {PULSE}"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(circuit, line_no, line) of netlist files; the circuit is its file. A file is one row of work."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("circuit"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """(circuit, line_no, line) of netlist files; the circuit is its file. Large files are split among tasks."""
+    return numbered_lines(spark, path).select(F.col("file").alias("circuit"), "line_no", "line")
 
 
 def tokens(line: Column) -> Column:

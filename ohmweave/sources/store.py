@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -69,12 +68,6 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Have Spark's cleaner delete the shuffle files of jobs that nothing refers to any more, long before memory asks for it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def broadcast_if_small(df: DataFrame, most_rows: int = 200_000, size: Column | None = None, most_bytes: int = 32 << 20) -> DataFrame:
     """df marked for broadcast if it has few rows by count; otherwise as it is, for a shuffled join.
 

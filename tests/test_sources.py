@@ -77,3 +77,44 @@ def test_printed_results_and_cache(spark, tmp_path):
     for seed in (1, 1, -1, -1):
         assert results.cached(spark, str(tmp_path / "c"), {"n": 4, "seed": seed}, make).count() == 3
     assert len(made) == 3
+
+
+@pytest.fixture
+def small_splits(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2000b")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path, small_splits):
+    (tmp_path / "a.sp").write_text("\r\n".join(f"line {i} of a" for i in range(900)))
+    (tmp_path / "b.sp").write_text("title\n\n" + "\n".join(f"r{i} a{i} b 1" for i in range(700)) + "\n")
+    lines = netlist_text.read_lines(spark, str(tmp_path / "*.sp"))
+    assert spark.read.text(str(tmp_path / "*.sp")).rdd.getNumPartitions() > 5
+    got = {(r.circuit[-4:], r.line_no): r.line for r in lines.collect()}
+    assert got == {("a.sp", i): f"line {i} of a" for i in range(900)} | {("b.sp", 0): "title", ("b.sp", 1): ""} | {("b.sp", i + 2): f"r{i} a{i} b 1" for i in range(700)}
+    n = 60
+    (tmp_path / "d").write_text(f"{n}\n\n" + "\n".join(",".join(str((i * j) % 7) for j in range(n)) for i in range(n)) + "\n")
+    dense = {(r.row, r.col): r.value for r in matrix_text.read_dense(spark, str(tmp_path / "d")).collect()}
+    assert dense == {(i, j): float((i * j) % 7) for i in range(n) for j in range(n) if (i * j) % 7 or i == j}
+    (tmp_path / "v").write_text("3000\n" + ",".join(f"{i}.5" for i in range(3000)) + "\n")
+    assert {r.idx: r.value for r in matrix_text.read_vector(spark, str(tmp_path / "v")).collect()} == {i: i + 0.5 for i in range(3000)}
+
+
+def test_written_vectors_and_dense_matrices(spark, tmp_path):
+    values = spark.createDataFrame([("a", i, i / 7) for i in range(100)] + [("b", 0, -1.5)], "name string, idx long, value double")
+    matrix_text.write_vectors(values, f"{tmp_path}/v")
+    got = {(r.file.split("name=")[1][0], r.idx): r.value for r in matrix_text.read_vector(spark, f"{tmp_path}/v/*").collect()}
+    assert got == {(r.name, r.idx): r.value for r in values.collect()}
+    cells = spark.createDataFrame([("a", 0, 1, 2.5), ("a", 2, 2, 1.0), ("b", 1, 0, 3.0)], "name string, row int, col int, value double")
+    matrix_text.write_dense(cells, 3, f"{tmp_path}/d")
+    got = {(r.file.split("name=")[1][0], r.row, r.col): r.value for r in matrix_text.read_dense(spark, f"{tmp_path}/d/*").collect()}
+    want = {("a", i, i): 0.0 for i in range(3)} | {("b", i, i): 0.0 for i in range(3)} | {(r.name, r.row, r.col): r.value for r in cells.collect()}
+    assert got == want
+
+
+def test_an_empty_vector(spark, tmp_path):
+    (tmp_path / "v").write_text("0\n\n")
+    assert matrix_text.read_vector(spark, str(tmp_path / "v")).count() == 0
