@@ -44,6 +44,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return made_of(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), e)
 
 
+def merged_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) after more edges (a, b): known is what connected_components gave for the edges before, which aren't read.
+
+    The new edges are contracted to the components of their ends; the components of that smaller graph say which of the old ones
+    fall together, and only what changes is renamed. Nodes that are new come in with their edges.
+    """
+    e = stored(edges.where("a is not null and b is not null").select("a", "b").distinct(), "new-edges")
+    ends = stored(e.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "new-ends")
+    roots = ends.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    roots = stored(roots, "new-roots")
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = join_split(join_split(e, side("a"), "a"), side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    merged = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    new = ends.join(known.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    renamed = join_split(known.select("node", "component").unionByName(new), merged.where("component <> merged"), "component", "left")
+    return renamed.select("node", F.coalesce("merged", "component").alias("component"))
+
+
 def potentials(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component, lift) of nodes whose differences are given: edges (a, b, lift) say value(a) - value(b) = lift.
 

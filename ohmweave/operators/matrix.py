@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import forget, stored
 from . import ranks
 
 #: Entries of a row that one value holds.
@@ -115,3 +117,53 @@ def residual(entries: DataFrame, x: DataFrame, b: DataFrame, by: Keys = ()) -> D
     size = norm(b, by)
     both = gap.join(size, list(by)) if by else gap.crossJoin(size)  # one row each
     return both.select(*by, F.when(F.col("norm") > 1e-15, F.col("gap") / F.col("norm")).otherwise(F.col("gap")).alias("residual"))
+
+
+def ode_solution(entries: DataFrame, x0: DataFrame, b: DataFrame | None = None, time: float = 1.0, by: Keys = (), most: float = 1e-12, max_terms: int = 60) -> DataFrame:
+    """(idx, value): x(time) of x' = A x + b, which is exp(A time) x0 plus what b adds, for many systems at once.
+
+    The exponential isn't formed, nor A inverted: time is cut into steps in which A's largest row sum is 1 at most, and a step is its
+    Taylor series, a matrix-vector product a term, each term written before the next; a step ends when no component of a term
+    exceeds `most` times the largest of the sum. x0 and b: (idx, value), an index that is missing is 0.
+    """
+    a = stored(entries.select(*by, "row", "col", "value"), "matrix")
+    norm = a.groupBy(*by, "row").agg(F.sum(F.abs("value")).alias("s")).agg(F.max("s")).first()[0] or 0.0
+    steps = max(1, math.ceil(norm * abs(time) - 1e-9))
+    h = time / steps
+    none = x0.limit(0).select(*by, "idx", "value")
+    x = stored(x0.select(*by, "idx", F.col("value").cast("double").alias("value")), "state")
+    for _ in range(steps):
+        slope = axpy(1.0, times(a, x, by), none if b is None else b, by)
+        term = stored(slope.withColumn("value", F.col("value") * h), "term")
+        for k in range(2, max_terms + 2):
+            last, x = x, stored(axpy(1.0, term, x, by), "state")
+            forget(last)
+            sizes = term.agg(F.max(F.abs("value"))).first()[0] or 0.0, x.agg(F.max(F.abs("value"))).first()[0] or 0.0
+            if sizes[0] <= most * sizes[1]:
+                break
+            if k > max_terms:
+                raise RuntimeError(f"the series did not end in {max_terms} terms")
+            last, term = term, stored(times(a, term, by).withColumn("value", F.col("value") * (h / k)), "term")
+            forget(last)
+        forget(term)
+    forget(a)
+    return x
+
+
+def exponential_action(entries: DataFrame, x: DataFrame, time: float = 1.0, by: Keys = ()) -> DataFrame:
+    """(idx, value): exp(A time) x."""
+    return ode_solution(entries, x, None, time, by)
+
+
+def least_sums(axes: Sequence[DataFrame], by: Keys, m: int) -> DataFrame:
+    """(by, place, value): the m least sums of one value of each axis (by, value), in order, without the product of the axes.
+
+    Of sorted axes a sum of the i-th, j-th, ... values is among the m least only if i j ... <= m, so only these few are made: about
+    m log(m) of two axes, whatever their length.
+    """
+    one = [ranks.ranked(a.select(*by, "value").where(F.col("value").isNotNull()), by, ["value"], "i").where(F.col("i") <= m) for a in axes]
+    out = one[0].select(*by, F.col("i").alias("_used"), F.col("value").alias("_sum"))
+    for axis in one[1:]:
+        wanted = out.select(*by, "_used", "_sum", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.lit(m) / F.col("_used")))).alias("i"))
+        out = wanted.join(axis, [*by, "i"]).select(*by, (F.col("_used") * F.col("i")).alias("_used"), (F.col("_sum") + F.col("value")).alias("_sum"))
+    return ranks.ranked(out.select(*by, F.col("_sum").alias("value")), by, ["value"], "place").where(F.col("place") <= m).select(*by, "place", "value")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import forget, stored
 from . import ranks
 
 TINY = 1e-10  # keeps relative errors of a zero finite
@@ -100,31 +103,79 @@ def reciprocal_fit(points: DataFrame, by: list[str], x: str = "x", y: str = "y")
     return s.select(*by, F.when(ok, (F.col("uy") * F.col("vv") - F.col("vy") * F.col("uv")) / det).alias("a"), F.when(ok, (F.col("vy") * F.col("uu") - F.col("uy") * F.col("uv")) / det).alias("b"))
 
 
-def _grid_fit(points: DataFrame, by: list[str], grid: list[float], basis: Column, x: str, y: str) -> DataFrame:
-    """For each grid value g the least squares y = k basis(x, g) + c; the g that leaves least, with its k and c.
+def _refined(sums: DataFrame, by: list[str], bracket: DataFrame, slope: Callable[[DataFrame], DataFrame], points: int = 64, rounds: int = 5) -> DataFrame:
+    """(by, _g): where a slope that is given at any g turns from negative to positive inside bracket (by, lo, hi).
 
-    Points of one x are summed up first; only these sums are repeated for each value of the grid, a fixed list.
+    Each round takes the slope at points of every group's interval and keeps the part in which it turns; without a
+    turn the end that it leads to. slope: of rows with _g and _i, gives (by, _i, d). An interval shrinks by `points` each round.
     """
-    sums = points.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-    rows = sums.withColumn("_g", F.explode(F.array(*map(F.lit, grid)))).withColumn("u", basis)
-    n, u = F.col("n"), F.col("u")
-    s = rows.groupBy(*by, "_g").agg(F.sum("n").alias("n"), F.sum(n * u).alias("u"), F.sum(n * u * u).alias("uu"), F.sum(u * F.col("sy")).alias("uy"), F.sum("sy").alias("y"), F.sum("syy").alias("yy"))
-    s = s.withColumn("uu", F.col("uu") - F.col("u") * F.col("u") / n).withColumn("uy", F.col("uy") - F.col("u") * F.col("y") / n).withColumn("yy", F.col("yy") - F.col("y") * F.col("y") / n)
-    s = s.where(F.col("uu") > 1e-12 * F.col("u") * F.col("u") / n).withColumn("k", F.col("uy") / F.col("uu"))
-    fit = s.select(*by, "_g", "k", ((F.col("y") - F.col("k") * F.col("u")) / n).alias("c"), (F.col("yy") - F.col("k") * F.col("uy")).alias("left"))
-    return fit.groupBy(*by).agg(F.min(F.struct("left", "_g", "k", "c")).alias("b")).select(*by, "b._g", "b.k", "b.c", "b.left")
+    for _ in range(rounds):
+        step = F.explode(F.sequence(F.lit(0), F.lit(points))).alias("_i")
+        at = ranks.met_by(sums, bracket, by).select("*", step).withColumn("_g", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_i") / points)
+        # a point where the slope isn't defined is passed over
+        found = slope(at).where("d is not null and not isnan(d)").groupBy(*by).agg(F.max(F.when(F.col("d") < 0, F.col("_i"))).alias("_down"), F.array_sort(F.collect_list("_i")).alias("_all"))
+        above = F.coalesce(F.array_min(F.filter("_all", lambda i: i > F.col("_down"))), F.lit(points))
+        part = found.select(*by, F.coalesce("_down", F.lit(0)).alias("_a"), F.when(F.col("_down").isNull(), 0).otherwise(above).alias("_b"))
+        place = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * F.col(i) / points
+        last, bracket = bracket, stored(ranks.met_by(bracket, part, by, "left").select(*by, F.coalesce(place("_a"), "lo").alias("lo"), F.coalesce(place("_b"), "hi").alias("hi")), "brackets")
+        forget(last)
+    return bracket.select(*by, ((F.col("lo") + F.col("hi")) / 2).alias("_g"))
+
+
+def _power_moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, u, uu, uy, y, yy, vy, vuu, vu) of sums with _g: over u = x^_g, and the same with ln x beside it; centred second moments."""
+    n, u, v = F.col("n"), F.pow("x", "_g"), F.ln("x")
+    terms = {"n": n, "u": n * u, "uu": n * u * u, "uy": u * F.col("sy"), "y": F.col("sy"), "yy": F.col("syy"), "vy": v * u * F.col("sy"), "vuu": n * v * u * u, "vu": n * v * u}
+    return rows.groupBy(*by).agg(*(F.sum(c).alias(f"m_{k}") for k, c in terms.items()))
+
+
+def _power_line(m: DataFrame) -> DataFrame:
+    """moments with k, c of the least squares line y = k u + c and what it leaves; null where u hardly varies."""
+    c = F.col
+    uu, uy, yy = (c(f"m_{a}{b}") - c(f"m_{a}") * c(f"m_{b}") / c("m_n") for a, b in ("uu", "uy", "yy"))
+    k = F.when(uu > 1e-14 * c("m_uu"), uy / uu)
+    return m.withColumns({"k": k, "left": yy - k * uy}).withColumn("c", (c("m_y") - c("k") * c("m_u")) / c("m_n"))
 
 
 def offset_power_fit(points: DataFrame, by: list[str], x: str = "x", y: str = "y", steps: int = 61) -> DataFrame:
-    """y = k x^alpha + c: alpha from a grid over [-3, 3], k and c in closed form."""
+    """(by, alpha, k, c, left): y = k x^alpha + c with alpha in [-3, 3], least squares; points without a positive x are left out.
+
+    A grid of `steps` finds the deepest valley, then the slope of what is left, k and c being the best at each alpha, is
+    followed to where it turns (to 1e-10). Points of one x are summed up first, and only these sums are read again.
+    """
+    sums = points.where(F.col(x) > 0).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("y is not null")
+    sums = stored(sums.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")), "sums")
     grid = [round(-3 + 6 * i / (steps - 1), 10) for i in range(steps) if i != (steps - 1) // 2]
-    return _grid_fit(points.where(F.col(x) > 0), by, grid, F.pow(F.col("x"), F.col("_g")), x, y).withColumnRenamed("_g", "alpha")
+    coarse = _power_line(_power_moments(sums.withColumn("_g", F.explode(F.array(*map(F.lit, grid)))), [*by, "_g"])).where("k is not null")
+    best = coarse.groupBy(*by).agg(F.min(F.struct("left", "_g")).alias("b")).select(*by, F.col("b._g").alias("_g"))
+    width = 6 / (steps - 1)
+    bracket = stored(best.select(*by, F.greatest(F.col("_g") - width, F.lit(-3.0)).alias("lo"), F.least(F.col("_g") + width, F.lit(3.0)).alias("hi")), "brackets")
+
+    def slope(rows: DataFrame) -> DataFrame:
+        line = _power_line(_power_moments(rows, [*by, "_i"]))
+        return line.select(*by, "_i", (-F.col("k") * (F.col("m_vy") - F.col("k") * F.col("m_vuu") - F.col("c") * F.col("m_vu"))).alias("d"))
 
+    at = _refined(sums, by, bracket, slope)
+    out = stored(_power_line(_power_moments(ranks.met_by(sums, at, by), [*by, "_g"])).select(*by, F.col("_g").alias("alpha"), "k", "c", "left"), "fits")
+    forget(sums)
+    return out
 
-def amdahl_fit(points: DataFrame, by: list[str], p: str = "p", speedup: str = "speedup", steps: int = 999) -> DataFrame:
-    """The serial share s in [0.001, 0.999] whose 1 / (s + (1 - s) / p) is nearest in squares; ties to the smaller."""
-    sums = points.select(*by, F.col(p).alias("p"), F.col(speedup).alias("y")).where("p is not null and y is not null").groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-    rows = sums.withColumn("s", F.explode(F.array(*[F.lit(round((i + 1) / 1000, 3)) for i in range(steps)])))
-    f = 1 / (F.col("s") + (1 - F.col("s")) / F.col("p"))
-    left = F.sum(F.col("syy") - 2 * f * F.col("sy") + F.col("n") * f * f)
-    return rows.groupBy(*by, "s").agg(left.alias("left")).groupBy(*by).agg(F.min(F.struct("left", "s")).alias("b")).select(*by, "b.s", "b.left")
+
+def amdahl_fit(points: DataFrame, by: list[str], p: str = "p", speedup: str = "speedup", steps: int = 99) -> DataFrame:
+    """(by, s, left): the serial share s in [0.001, 0.999] whose 1 / (s + (1 - s) / p) is nearest in squares.
+
+    As in offset_power_fit a grid finds the valley and the slope its bottom.
+    """
+    sums = points.select(*by, F.col(p).cast("double").alias("p"), F.col(speedup).cast("double").alias("y")).where("p is not null and y is not null")
+    sums = stored(sums.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")), "sums")
+    f = 1 / (F.col("_g") + (1 - F.col("_g")) / F.col("p"))
+    left = F.sum(F.col("syy") - 2 * f * F.col("sy") + F.col("n") * f * f).alias("left")
+    grid = [0.001 + 0.998 * i / (steps - 1) for i in range(steps)]
+    coarse = sums.withColumn("_g", F.explode(F.array(*map(F.lit, grid)))).groupBy(*by, "_g").agg(left)
+    best, width = coarse.groupBy(*by).agg(F.min(F.struct("left", "_g")).alias("b")).select(*by, F.col("b._g").alias("_g")), 0.998 / (steps - 1)
+    bracket = stored(best.select(*by, F.greatest(F.col("_g") - width, F.lit(0.001)).alias("lo"), F.least(F.col("_g") + width, F.lit(0.999)).alias("hi")), "brackets")
+    slope = lambda rows: rows.groupBy(*by, "_i").agg(F.sum((1 / F.col("p") - 1) * f * f * (F.col("n") * f - F.col("sy"))).alias("d"))
+    at = _refined(sums, by, bracket, slope)
+    out = stored(ranks.met_by(sums, at, by).groupBy(*by, "_g").agg(left).withColumnRenamed("_g", "s"), "fits")
+    forget(sums)
+    return out

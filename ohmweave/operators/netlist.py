@@ -6,7 +6,9 @@ number of circuits of any size is rewritten at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.store import broadcast_if_small, forget, stored
@@ -275,13 +277,24 @@ def node_indices(names: DataFrame, numbers: DataFrame, node_col: str = "node") -
     return found.withColumn("idx", F.when(F.col("idx").isNull(), unknown).otherwise(F.col("idx") - 1)).drop("_node")
 
 
-def reduced(parts: DataFrame, fill: bool = True) -> DataFrame:
+def reduced(parts: DataFrame, fill: bool = True, phases: list[dict] | None = None) -> DataFrame:
     """All rewrites in their order: parallel parts, shorts, series capacitors, sources, missing capacitors.
 
     Each stage reads its input several times, so each is written to the shared folder: the plans don't multiply.
+    phases, if given, gets a row for each stage: its seconds, and how many components of each kind it left, counted as
+    they were written.
     """
-    out = stored(merge_parallel(merge_parallel(parts.select(*columns(parts)), "r"), "c"), "merged")
-    for stage in (collapse_shorts, ground_capacitors, norton, *([fill_capacitors] if fill else [])):
-        last, out = out, stored(stage(out), stage.__name__)
-        forget(last)
+    out = parts.select(*columns(parts))
+    for stage in (merged_parallels, collapse_shorts, ground_capacitors, norton, *([fill_capacitors] if fill else [])):
+        seen, began = Observation(), time.perf_counter()
+        counts = [F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in "rciv"]
+        last, out = out, stored(stage(out).observe(seen, *counts), stage.__name__)
+        if phases is not None:
+            phases.append({"phase": stage.__name__, "seconds": time.perf_counter() - began, **seen.get})
+        if stage is not merged_parallels:
+            forget(last)
     return out
+
+
+def merged_parallels(parts: DataFrame) -> DataFrame:
+    return merge_parallel(merge_parallel(parts, "r"), "c")

@@ -31,13 +31,18 @@ def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataF
     return stored(dealt.withColumn("_part", F.shiftright("_at", 33).cast("int")), "ranges")
 
 
-def on_borders(rows: DataFrame, borders: DataFrame, by: Sequence[str]) -> DataFrame:
-    """rows with the columns that borders has for their key and range; null keys are keys too."""
-    named = borders.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_part"])), *(c for c in borders.columns if c not in [*by, "_part"]))
+def met_by(rows: DataFrame, told: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined with the other columns of told on columns of the same names, null equal to null."""
+    named = told.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), *(c for c in told.columns if c not in by))
     same = F.lit(True)
-    for i, c in enumerate([*by, "_part"]):
+    for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(broadcast_if_small(named), same, "left").drop(*(f"_k{i}" for i in range(len(by) + 1)))
+    return rows.join(named, same, how).drop(*(f"_k{i}" for i in range(len(by))))
+
+
+def on_borders(rows: DataFrame, borders: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns that borders has for their key and range; null keys are keys too."""
+    return met_by(rows, broadcast_if_small(borders), [*by, "_part"], "left")
 
 
 def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank", most: int = MOST) -> DataFrame:

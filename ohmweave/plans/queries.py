@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import uniform as rnd
 from ..functions import waveform as wf
-from ..operators import assemble, generate, matrix, metrics, netlist, ranks, stepper, walk
+from ..operators import assemble, generate, graph, matrix, metrics, netlist, ranks, stepper, walk
 from ..sources import matrix_text, netlist_text, results
 from ..sources.store import forget, shared_dir, stored, table
 from . import commands, sweeps
@@ -305,19 +305,30 @@ def q24_fits(spark, sf_dir):
     return out.select("g", *(r(c).alias(c) for c in ("slope", "intercept", "r2", "serial", "parallel")), r("a", 4).alias("a"), r("b", 4).alias("b"))
 
 
-@registered("""with s as (select unnest(range(1, 1000)) / 1000.0::double s), f as (select event_type g, 1.0 + user_id % 8 p, 1 + value / 100 y from events),
-l as (select g, s, round(sum((y - 1 / (s + (1 - s) / p)) ** 2), 6) e from f, s group by all) select g, arg_min(s, {'e': e, 's': s}) s, min(e) as left_over from l group by g""")
+@registered("""with recursive f as (select event_type g, 1.0 + user_id % 8 p, 1 + value / 100 y from events), t as (select g, p::double p, count(*) n, sum(y) sy, sum(y * y) syy from f group by all),
+s as (select 0.001 + 0.998 * i / 98 s from (select unnest(range(99)) i)), l as (select g, s, sum(syy - 2 * sy / (s + (1 - s) / p) + n / (s + (1 - s) / p) ** 2) e from t, s group by all), b as (select g, arg_min(s, e) s from l group by g),
+r(g, lo, hi, k) as (select g, greatest(s - 0.998 / 98, 0.001), least(s + 0.998 / 98, 0.999), 0 from b union all
+ select g, case when d < 0 then mid else lo end, case when d < 0 then hi else mid end, k + 1 from (select r.g, lo, hi, k, any_value((lo + hi) / 2) mid, sum((1 / p - 1) * (n / ((lo + hi) / 2 + (1 - (lo + hi) / 2) / p) - sy) / ((lo + hi) / 2 + (1 - (lo + hi) / 2) / p) ** 2) d from r join t on t.g = r.g where k < 45 group by r.g, lo, hi, k)),
+z as (select g, (lo + hi) / 2 s from r where k = 45)
+select g, round(any_value(s), 6) s, round(sum(syy - 2 * sy / (s + (1 - s) / p) + n / (s + (1 - s) / p) ** 2), 5) left_over from t join z using (g) group by g""")
 def q25_amdahl(spark, sf_dir):
     f = table(spark, sf_dir, "events").select(F.col("event_type").alias("g"), (1.0 + F.col("user_id") % 8).alias("p"), (1 + F.col("value") / 100).alias("speedup"))
-    return metrics.amdahl_fit(f, ["g"]).select("g", "s", r("left").alias("left_over"))
+    return metrics.amdahl_fit(f, ["g"]).select("g", r("s").alias("s"), r("left", 5).alias("left_over"))
 
 
-@registered("""with a as (select unnest(range(-30, 31)) / 10.0::double alpha), f as (select event_type g, 1.0 + user_id % 8 x, value y from events),
-l as (select g, alpha, regr_slope(y, x ** alpha) k, regr_intercept(y, x ** alpha) c, regr_syy(y, x ** alpha) * (1 - regr_r2(y, x ** alpha)) e from f, a where alpha <> 0 group by all)
-select g, arg_min(alpha, e) alpha, round(arg_min(k, e), 5) k, round(arg_min(c, e), 5) c from l group by g""")
+OFFSET_MOMENTS = "sum(n) n, sum(n * x ** a) u, sum(n * x ** (2 * a)) uu, sum(x ** a * sy) uy, sum(sy) y, sum(ln(x) * x ** a * sy) vy, sum(n * ln(x) * x ** (2 * a)) vuu, sum(n * ln(x) * x ** a) vu"
+
+
+@registered(f"""with recursive t as (select event_type g, 1.0::double + user_id % 8 x, count(*) n, sum(value) sy from events group by all), a as (select unnest(range(-30, 31)) / 10.0::double a),
+m as (select g, a, {OFFSET_MOMENTS} from t, a where a <> 0 group by g, a), l as (select g, a, 0 - (uy - u * y / n) ** 2 / (uu - u * u / n) e from m), b as (select g, arg_min(a, e) a from l group by g),
+q(g, lo, hi, i) as (select g, greatest(a - 0.1, -3), least(a + 0.1, 3), 0 from b union all
+ select g, case when d < 0 then mid else lo end, case when d < 0 then hi else mid end, i + 1 from (select *, -k * (vy - k * vuu - (y - k * u) / n * vu) d from (select *, (uy - u * y / n) / (uu - u * u / n) k from
+  (select g, lo, hi, i, a mid, {OFFSET_MOMENTS} from (select q.g, lo, hi, i, (lo + hi) / 2 + 1e-13 a, x, n, sy from q join t on t.g = q.g where i < 45) group by g, lo, hi, i, a)))),
+z as (select g, (lo + hi) / 2 a from q where i = 45), w as (select g, a, {OFFSET_MOMENTS} from t join z using (g) group by g, a)
+select g, round(a, 6) alpha, round((uy - u * y / n) / (uu - u * u / n), 4) k, round((y - (uy - u * y / n) / (uu - u * u / n) * u) / n, 4) c from w""")
 def q26_offset_power_fit(spark, sf_dir):
     f = table(spark, sf_dir, "events").select(F.col("event_type").alias("g"), (1.0 + F.col("user_id") % 8).alias("x"), F.col("value").alias("y"))
-    return metrics.offset_power_fit(f, ["g"]).select("g", "alpha", r("k", 5).alias("k"), r("c", 5).alias("c"))
+    return metrics.offset_power_fit(f, ["g"]).select("g", r("alpha").alias("alpha"), r("k", 4).alias("k"), r("c", 4).alias("c"))
 
 
 @registered("""with d as (select ts::date as day, count(*) n from events group by 1) select strftime(day, '%Y-%m-%d') as day, n, round(first(n) over (order by day) / n, 6) speedup from d""")
@@ -740,6 +751,80 @@ def q62_block_product(spark, sf_dir):
     return matrix.times_blocks(blocks, x).select("idx", r("value", 5).alias("value"))
 
 
+WALK_MATRIX = """e as (select l_returnflag f, 'p' || l_partkey a, 's' || l_suppkey b, l_quantity q from lineitem union all select l_returnflag, 's' || l_suppkey, 'p' || l_partkey, l_quantity from lineitem),
+d as (select f, a, sum(q) d from e group by all), m as (select e.f, e.a as row, e.b col, sum(q) / any_value(d) v from e join d on d.f = e.f and d.a = e.a group by all)"""
+
+
+def spread_matrix(spark, sf_dir) -> DataFrame:
+    """For each return flag the graph of parts and suppliers as a walk: rows of weights that sum to 1, less the identity."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), text("p", "l_partkey").alias("a"), text("s", "l_suppkey").alias("b"), F.col("l_quantity").alias("q"))
+    e = matrix.summed(li.select("f", F.col("a").alias("row"), F.col("b").alias("col"), F.col("q").alias("value")).unionByName(li.select("f", F.col("b").alias("row"), F.col("a").alias("col"), F.col("q").alias("value"))), ["f"])
+    d = e.groupBy("f", "row").agg(F.sum("value").alias("d"))
+    walk_rows = e.join(d, ["f", "row"]).select("f", "row", "col", (F.col("value") / F.col("d")).alias("value"))
+    return stored(walk_rows.unionByName(d.select("f", "row", F.col("row").alias("col"), F.lit(-1.0).alias("value"))), "spread")
+
+
+def series_sql(terms: int) -> str:
+    """CTEs x1, x2, ...: terms of the Taylor series of x(1/2) for x' = (m - 1) x + b, from x0 and b (f, i, v)."""
+    first = "select f, i, 0.5 * sum(v) v from (select m.f, m.row i, m.v * x0.v v from m join x0 on x0.f = m.f and x0.i = m.col union all select f, i, -v from x0 union all select f, i, v from b) group by all"
+    return f"x1 as materialized ({first})," + ",".join(
+        f"x{k} as materialized (select f, i, {0.5 / k!r} * sum(v) v from (select m.f, m.row i, m.v * t.v v from m join x{k - 1} t on t.f = m.f and t.i = m.col union all select f, i, -v from x{k - 1}) group by all)" for k in range(2, terms + 1)
+    )
+
+
+@registered(f"""with {WALK_MATRIX}, x0 as (select f, a i, case when a[1] = 's' then 1.0::double else 0 end v from d), b as (select f, a i, case when a[1] = 'p' then 0.1::double else 0 end v from d),
+{series_sql(16)}, z as (select * from x0 union all {" union all ".join(f"select * from x{k}" for k in range(1, 17))})
+select f, i node, round(sum(v), 8) as value from z group by all""")
+def q63_ode_answers(spark, sf_dir):
+    """Heat that suppliers hold and parts are given, spread over every return flag's graph for half a unit of time."""
+    m = spread_matrix(spark, sf_dir)
+    nodes = m.where("row = col").select("f", F.col("row").alias("idx"))
+    is_s = F.col("idx").startswith("s")
+    x0 = nodes.withColumn("value", F.when(is_s, 1.0).otherwise(0.0))
+    b = nodes.withColumn("value", F.when(is_s, 0.0).otherwise(0.1))
+    return matrix.ode_solution(m, x0, b, 0.5, ["f"]).select("f", F.col("idx").alias("node"), r("value", 8).alias("value"))
+
+
+@registered("""with recursive e as (select 'p' || l_partkey a, 's' || l_suppkey b from lineitem where l_quantity <= 2 and l_discount = 0),
+b as (select a, b from e union select b, a from e),
+c(node, rep) as (select a, a from b union select b.b, c.rep from c join b on b.a = c.node)
+select node, min(rep) component from c group by node""")
+def q64_components_kept_up_to_date(spark, sf_dir):
+    """Components of the lines shipped before 1995, then the later ones merged in; the first are not read again."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity <= 2 and l_discount = 0")
+    e = li.select(text("p", "l_partkey").alias("a"), text("s", "l_suppkey").alias("b"), (F.col("l_shipdate") < "1995-01-01").alias("old"))
+    known = stored(graph.connected_components(e.where("old").select("a", "b")), "known")
+    return graph.merged_components(known, e.where("not old").select("a", "b"))
+
+
+@registered("""with p as (select c_nationkey n, c_acctbal v from customer), q as (select s_nationkey n, s_acctbal v from supplier),
+s as (select p.n, p.v + q.v v, row_number() over (partition by p.n order by p.v + q.v) place from p join q using (n)) select n nation, place, round(v, 2) as value from s where place <= 40""")
+def q65_least_sums(spark, sf_dir):
+    """The 40 least sums of a customer's and a supplier's balance in every nation."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("value"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("value"))
+    return matrix.least_sums([c, s], ["nation"], 40).select("nation", "place", r("value", 2).alias("value"))
+
+
+@registered("""with n as (select s_nationkey k, s_suppkey s from supplier where s_acctbal <> 0), r as (select distinct k, l_partkey p, l_suppkey s from lineitem join n on s = l_suppkey),
+c as (select count(*) lines, count(*) filter (l_returnflag = 'R') shorts from lineitem join n on s = l_suppkey),
+x as (select (select count(*) from r) r, (select count(*) from n) v, (select count(distinct (k, p)) from r) parts)
+select 'merged_parallels' phase, r, parts c, 0::bigint i, v from x union all select 'collapse_shorts', r, parts, 0, v from x union all select 'ground_capacitors', r, parts, 0, v from x
+union all select 'norton', r, parts, r, 0 from x union all select 'fill_capacitors', r, parts, r, 0 from x""")
+def q66_phase_counts(spark, sf_dir):
+    """Each nation's suppliers as sources that feed the parts they sell through resistors, a capacitor a line at each part; what every stage leaves."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal <> 0").select(F.col("s_nationkey").cast("string").alias("circuit"), "s_suppkey", "s_acctbal")
+    li = table(spark, sf_dir, "lineitem").join(s.select("circuit", F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
+    part = lambda df, kind, name, a, b, v: df.select("circuit", F.lit(kind).alias("kind"), name.alias("name"), a.alias("node1"), b.alias("node2"), v.alias("value"), no_pulse().alias("pulse"))
+    item = F.concat_ws("_", F.lit(""), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    made = part(li, "r", F.concat(F.lit("r"), item), text("s", "l_suppkey"), text("p", "l_partkey"), F.col("l_quantity"))
+    made = made.unionByName(part(li, "c", F.concat(F.lit("c"), item), text("p", "l_partkey"), F.lit("0"), F.col("l_quantity")))
+    made = made.unionByName(part(s, "v", text("v", "s_suppkey"), text("s", "s_suppkey"), F.lit("0"), F.col("s_acctbal")))
+    phases: list[dict] = []
+    forget(netlist.reduced(stored(made, "parts"), phases=phases))
+    return spark.createDataFrame([(p["phase"], *(p[k] for k in "rciv")) for p in phases], "phase string, r long, c long, i long, v long")  # a row a stage
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

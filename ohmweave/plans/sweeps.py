@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +33,13 @@ def step_errors(systems: DataFrame, steps: list[int], reference: int, method: st
 def sample_errors(estimates: DataFrame, exact: DataFrame, by: list[str]) -> DataFrame:
     """(by, error_percent) of estimates (mean) against exact values, relative."""
     return estimates.join(exact, by).select(*by, (F.abs(F.col("mean") - F.col("exact")) / F.abs("exact") * 100).alias("error_percent"))
+
+
+def repeated(run: Callable[[], DataFrame], seconds: float = 30.0, most: int = 5) -> dict:
+    """run() again and again, its result read in full each time, until `most` runs or so many seconds: runs, mean, least and rows."""
+    took, rows = [], 0
+    while len(took) < most and sum(took) < seconds:
+        began = time.perf_counter()
+        rows = run().count()
+        took.append(time.perf_counter() - began)
+    return {"runs": len(took), "mean": sum(took) / len(took), "least": min(took), "rows": rows}

@@ -45,8 +45,11 @@ def test_a_single_point_has_all_the_weight(spark):
 def test_fits_recover_their_parameters(spark):
     p = spark.createDataFrame([("a", float(x), 0.5 * x**-2.0 + 3.0, 1 / (0.2 + 0.8 / x)) for x in range(1, 9)], "g string, x double, y double, s double")
     f = metrics.offset_power_fit(p, ["g"]).first()
-    assert (f.alpha, round(f.k, 6), round(f.c, 6)) == (-2.0, 0.5, 3.0)
-    assert metrics.amdahl_fit(p, ["g"], "x", "s").first().s == 0.2
+    assert (round(f.alpha, 7), round(f.k, 6), round(f.c, 6)) == (-2.0, 0.5, 3.0)
+    assert round(metrics.amdahl_fit(p, ["g"], "x", "s").first().s, 8) == 0.2
+    odd = spark.createDataFrame([(g, float(x), 2.0 * x**a - 1.0, 1 / (q + (1 - q) / x)) for g, a, q in ((None, 0.4567891, 0.1234567), ("b", -1.2345678, 0.9876543), ("c", 3.0, 0.0005)) for x in range(1, 30)], "g string, x double, y double, s double")
+    assert {r.g: round(r.alpha, 6) for r in metrics.offset_power_fit(odd, ["g"]).collect()} == {None: 0.456789, "b": -1.234568, "c": 3.0}
+    assert {r.g: round(r.s, 7) for r in metrics.amdahl_fit(odd, ["g"], "x", "s").collect()} == {None: 0.1234567, "b": 0.9876543, "c": 0.001}
 
 
 def test_stream_gives_the_batch_result(spark, sf_dir, tmp_path):
