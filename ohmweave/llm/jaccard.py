@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from .common import bounded, broadcast_if_small, connected_components, forget, j
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
 PARTNERS = 256  # of a head in one part of a task
+ROUNDS = 8  # by which the members of large buckets are worked on, one after the other
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -248,11 +250,14 @@ def plausible(pairs: DataFrame, slices: DataFrame, t: float) -> DataFrame:
 
 
 def beside_heads(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, part, b, grams) in order: a's set (b null) right before those of its partners b, of PARTNERS partners or so a part."""
+    """(a, part, b, grams) in order: a's set (b null) right before those of its partners b, of PARTNERS partners or so a part.
+
+    Pairs are small beside sets: while they can be broadcast, sets move once, to where they are compared.
+    """
     many = pairs.groupBy("a").count().where(F.col("count") > PARTNERS).select("a", F.ceil(F.col("count") / PARTNERS).alias("parts"))
     dealt = pairs.join(broadcast_if_small(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
-    heads = dealt.select("a", "part").distinct().join(known.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "grams")
-    partners = dealt.join(known.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "grams")
+    heads = known.withColumnRenamed("node", "a").join(broadcast_if_small(dealt.select("a", "part").distinct()), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "grams")
+    partners = known.withColumnRenamed("node", "b").join(broadcast_if_small(dealt), "b").select("a", "part", "b", "grams")
     return heads.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
 
@@ -299,9 +304,11 @@ def difference_buckets(rows: DataFrame, heads: DataFrame, known: DataFrame, comm
             seed = {a: mixed(np.array([a], np.int64).view(np.uint64)) for a, _, _, _ in members}
             yield bucket_rows([(b, len(y), mixed(differences(x, y, common.value, t) ^ seed[a])) for a, x, b, y in members])
 
-    out = stored(several(beside_heads(met, known).mapInArrow(run, BUCKET)), "differences")
+    # keys of different heads never meet, so that each round can be written by itself and disk holds one round's sets
+    turns = [met.where(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(ROUNDS)) == k) for k in range(ROUNDS)]
+    rounds = [stored(several(beside_heads(turn, known).mapInArrow(run, BUCKET)), "differences") for turn in turns]
     forget(met)
-    return out
+    return made_of(reduce(DataFrame.unionByName, rounds), *rounds)
 
 
 def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], sample: DataFrame, proposed: DataFrame, t: float = 0.8) -> DataFrame:
