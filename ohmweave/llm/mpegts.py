@@ -26,6 +26,7 @@ UNITS_PER_PACKET = 50  # of an elementary packet
 POINT_EVERY = 4  # elementary packets from one random-access point to the next
 PMT_PID, ES_PID, PROGRAM, PRIVATE_DATA = 0x1000, 0x101, 1, 0x06
 PACKET, PAYLOAD = 188, 184
+SYNC = 0x47
 
 
 def crc_table() -> list[int]:
@@ -55,7 +56,7 @@ def section(table: int, number: int, body: bytes) -> bytes:
 
 
 def header(pid: int, start: bool, control: int, counter: int) -> bytes:
-    return bytes([0x47, 0x40 * start | pid >> 8, pid & 0xFF, control << 4 | counter])
+    return bytes([SYNC, 0x40 * start | pid >> 8, pid & 0xFF, control << 4 | counter])
 
 
 def table_packet(pid: int, data: bytes, counter: int = 0) -> bytes:
@@ -119,6 +120,7 @@ class Stream:
     lost: int = 0  # continuity counters that don't follow
     repeated: int = 0  # packets sent twice, as the format allows
     broken: int = 0  # packets without sync or with impossible lengths, sections with a wrong CRC
+    skipped: int = 0  # bytes outside packets
     torn: int = 0  # elementary packets that aren't whole
     payloads: dict[int, bytes] = field(default_factory=dict)  # elementary pid -> its packets' data end to end
     stamps: list[tuple[int, int, bool, int]] = field(default_factory=list)  # timestamp, byte offset in the stream, random access, pid
@@ -182,8 +184,30 @@ class Sections:
             del self.held[:size]
 
 
+def aligned(ts: bytes, s: Stream) -> Iterator[int]:
+    """Where packets begin. A lone damaged sync byte keeps the beat; where the beat is lost, the next sync byte that repeats a packet later sets it."""
+    at = 0
+    while at < len(ts):
+        if ts[at] == SYNC or at + PACKET >= len(ts) or ts[at + PACKET] == SYNC:
+            yield at
+            at += PACKET
+            continue
+        to = ts.find(SYNC, at + 1)
+        while 0 <= to < len(ts) - PACKET and ts[to + PACKET] != SYNC:
+            to = ts.find(SYNC, to + 1)
+        if to < 0:
+            yield at  # no beat any more: what is left is broken, a packet's worth at a time
+            at += PACKET
+        else:
+            s.skipped += to - at
+            at = to
+
+
 def demux(ts: bytes) -> Stream:
-    """Read a stream of any number of programs and elementary streams; faults are counted, never raised."""
+    """Read a stream of any number of programs and elementary streams; faults are counted, never raised.
+
+    Bytes that belong to no packet, at the start or in between, are skipped and counted (see aligned).
+    """
     s = Stream()
     last: dict[int, tuple[int, bytes]] = {}  # pid -> counter and payload of its last packet
     sections: dict[int, Sections] = {}
@@ -195,9 +219,9 @@ def demux(ts: bytes) -> Stream:
         if time:
             s.stamps.append((*time, pid))
 
-    for at in range(0, len(ts), PACKET):
+    for at in aligned(ts, s):
         s.packets += 1
-        if ts[at] != 0x47 or at + PACKET > len(ts) or ts[at + 1] & 0x80:
+        if ts[at] != SYNC or at + PACKET > len(ts) or ts[at + 1] & 0x80:
             s.broken += 1
             continue
         control = ts[at + 3]
@@ -257,7 +281,7 @@ def describe(s: Stream) -> str:
     maps = ",".join(f"{p}:{pid}" for p, pid in sorted(s.programs.items()))
     points = ",".join(str(t) for t, _, p in s.times if p)
     span = f"{s.times[0][0]}-{s.times[-1][0]}" if s.times else ""
-    return f"programs={maps};streams={kinds};packets={s.packets};pes={len(s.times)};lost={s.lost};repeated={s.repeated};broken={s.broken};torn={s.torn};pts={span};points={points}"
+    return f"programs={maps};streams={kinds};packets={s.packets};pes={len(s.times)};lost={s.lost};repeated={s.repeated};broken={s.broken};torn={s.torn};pts={span};points={points}" + (f";skipped={s.skipped}" if s.skipped else "")
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -127,3 +127,20 @@ def test_edge_rows(spark):
     points = mpegts.access_points(mpegts.to_media(df)).where("doc_id is null").collect()
     assert len(points) == 32
     assert sum(r.random_access for r in points) == 8
+
+
+def test_a_lost_beat_is_found_again():
+    payload = bytes(range(256)) * 40
+    ts = mpegts.mux(payload)
+    whole = mpegts.demux(ts)
+    for at in (0, 188 * 3, 188 * 20):
+        for stray in (b"stray", b"\x00" * 100, b"G", b"GG" * 40):
+            s = mpegts.demux(ts[:at] + stray + ts[at:])
+            assert s.skipped + 188 * s.broken >= len(stray)
+            assert s.broken <= 1 and s.lost <= 1
+            if at == 0 and b"G" not in stray:
+                assert (s.payload, s.skipped, s.broken) == (whole.payload, len(stray), 0)
+    cut = mpegts.demux(ts[: 188 * 10 + 50] + ts[188 * 10 + 90 :])  # 40 bytes are missing
+    assert cut.broken + cut.lost >= 1 and cut.packets >= whole.packets - 3
+    noise = mpegts.demux(b"\x01" * 10_000)
+    assert noise.packets == noise.broken and noise.payload == b""
