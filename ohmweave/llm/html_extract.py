@@ -28,6 +28,10 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 LONG_NAME, LONG_PATH = 200, 200  # characters; what is longer goes by its hash
 WRAPPER = 0.6  # of a page's text outside links: what a suspect element holds to be no boilerplate
+STRONG_WRAPPER = 0.9  # and what one named after comments or adverts holds, beside a clean container that promises text
+TEASER = 0.2  # of the best container's score: what the winning path scores at least unless the page has its article elsewhere
+SIBLING = 0.3  # of a container's score: what a promising one beside it scores to be part of the same article
+VOTES = 10**12  # of a page, over its containers by squared score
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +51,7 @@ ABOUT_LAYOUT = frozenset("has is layout no page with without".split())
 BESIDE = frozenset("area bar block bottom box col column container content footer global group header holder inner item items left list main module outer page panel primary region right row secondary section site top wrap wrapper".split())
 NEVER_NOISE = frozenset(["html", "body", "main"])
 STRONG = frozenset("ad ads advert adverts advertisement comment commentlist comments disqus promo promos related reply respond responses sponsored".split())
-CLEAN, SUSPECT, NOISY = 0, 1, 2
+CLEAN, SUSPECT, STRONGLY, NOISY = 0, 1, 2, 3
 
 
 def parts(name: str) -> list[str]:
@@ -55,7 +59,7 @@ def parts(name: str) -> list[str]:
 
 
 def name_says(name: str) -> tuple[int, bool]:
-    """(CLEAN, SUSPECT or NOISY, whether it promises text) of one class or id."""
+    """(CLEAN, SUSPECT or STRONGLY so, whether it promises text) of one class or id."""
     p = parts(name)
     if p and p[0] in ABOUT_LAYOUT:  # has-sidebar, no-comments
         return CLEAN, False
@@ -67,11 +71,11 @@ def name_says(name: str) -> tuple[int, bool]:
     good = not GOOD.isdisjoint(words)
     if NOISE.isdisjoint(words) or not words <= NOISE | BESIDE | GOOD:  # widget in elementor-widget-container says nothing
         return CLEAN, good
-    return (SUSPECT, False) if STRONG.isdisjoint(words) else (NOISY, False)
+    return (SUSPECT, False) if STRONG.isdisjoint(words) else (STRONGLY, False)
 
 
 def look(tag: str, attributes: str) -> tuple[int, bool, str]:
-    """(CLEAN, SUSPECT or NOISY, promising, generalised name) of an element."""
+    """(CLEAN, SUSPECT, STRONGLY so or NOISY, promising, generalised name) of an element."""
     state = NOISY if tag in LEFT_OUT else SUSPECT if tag == "form" else CLEAN
     said, good, names = CLEAN, tag in ("article", "main"), []
     if "=" in attributes:
@@ -106,6 +110,8 @@ class Page:
         self.good: list[bool] = [False]
         self.blocks: list[tuple[str, int, int]] = []  # text, characters of links, container
         self.region: list[int] = [-1]  # of each container: the innermost suspect element around it
+        self.strong: list[bool] = []  # of each suspect element
+        self.holds_good: list[bool] = []  # of each suspect element: a clean container that promises text
         suspects, within = self._scan(html)
         self._settle(suspects, within)
 
@@ -189,9 +195,11 @@ class Page:
             if tag not in BLOCK and tag != "a" and state == CLEAN and tag not in RAW:
                 continue
             _, skipped, container, suspect, scope = stack[-1]
-            if state == SUSPECT and not skipped:
+            if state in (SUSPECT, STRONGLY) and not skipped:
                 flush()
                 suspects.append(suspect)
+                self.strong.append(state == STRONGLY)
+                self.holds_good.append(False)
                 suspect = len(suspects) - 1
             skipped = skipped or state == NOISY
             if tag in CONTAINER and not skipped:
@@ -199,6 +207,8 @@ class Page:
                 self.parents.append(container)
                 self.good.append(good)
                 self.region.append(suspect)
+                if suspect >= 0 and good and state == CLEAN:
+                    self.holds_good[suspect] = True
                 container = len(self.paths) - 1
             if tag in RAW:  # its content isn't markup
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -215,19 +225,32 @@ class Page:
         """Drop the blocks and containers of suspect elements but those that hold most of the page's text."""
         if not suspects:
             return
-        held, total = [0.0] * len(suspects), 0.0
-        for (block, links, _), r in zip(self.blocks, within, strict=True):
-            size = max(0, len(block) - links)
-            total += size
-            if r >= 0:
-                held[r] += size
-        for r in range(len(suspects) - 1, -1, -1):  # an inner one comes after those around it
-            if suspects[r] >= 0:
-                held[suspects[r]] += held[r]
-        kept = [False] * len(suspects)
-        for r, outer in enumerate(suspects):
-            kept[r] = held[r] > 0 and held[r] >= WRAPPER * total and (outer < 0 or kept[outer])
-        self.blocks = [b for b, r in zip(self.blocks, within, strict=True) if r < 0 or kept[r]]
+        sizes = [max(0, len(block) - links) for block, links, _ in self.blocks]
+        dropped = [False] * len(suspects)
+
+        def held() -> tuple[list[float], float]:
+            """Text in each suspect element, and in all of the page, without what is dropped."""
+            each, total = [0.0] * len(suspects), 0.0
+            for size, r in zip(sizes, within, strict=True):
+                if r < 0 or not dropped[r]:
+                    total += size
+                    if r >= 0:
+                        each[r] += size
+            for r in range(len(suspects) - 1, -1, -1):  # an inner one comes after those around it
+                if suspects[r] >= 0:
+                    each[suspects[r]] += each[r]
+            return each, total
+
+        for r in range(len(suspects) - 1, -1, -1):
+            if suspects[r] >= 0 and self.holds_good[r]:
+                self.holds_good[suspects[r]] = True
+        for kind, share in ((True, STRONG_WRAPPER), (False, WRAPPER)):
+            each, total = held()
+            for r, outer in enumerate(suspects):
+                if self.strong[r] == kind:
+                    dropped[r] = not (each[r] > 0 and each[r] >= share * total and (self.holds_good[r] or not kind))
+                dropped[r] = dropped[r] or outer >= 0 and dropped[outer]
+        self.blocks = [b for b, r in zip(self.blocks, within, strict=True) if r < 0 or not dropped[r]]
 
     def scores(self) -> list[float]:
         """Text of each container outside links; what lies in an inner container counts less."""
@@ -239,21 +262,43 @@ class Page:
         return [s * (1.5 if g else 1.0) for s, g in zip(own, self.good, strict=True)]
 
     def votes(self) -> list[tuple[str, int]]:
-        """The page's thousand votes over the paths of its containers, by squared score; under half a vote is none."""
+        """The page's votes over the paths of its containers that have text, by squared score."""
         by_path: dict[str, float] = defaultdict(float)
         for p, s in zip(self.paths, self.scores(), strict=True):
             by_path[p] = max(by_path[p], s)
         total = sum(s * s for s in by_path.values()) or 1.0
-        return [(p, n) for p, s in by_path.items() if (n := round(1000 * s * s / total))]
+        return [(p, int(VOTES * s * s / total)) for p, s in by_path.items() if s > 0]
 
     def text(self, path: str | None) -> str:
-        """Blocks inside the containers on `path`, or inside the page's best container if there is no text in them."""
-        out = self._inside([p == path for p in self.paths]) if path is not None else ""
-        if out:
-            return out
+        """Blocks inside the containers on `path`, or inside the page's best container.
+
+        The best one stands in where there is no text on the path; and where its name promises text and the path has
+        little beside it, under TEASER of its score, in containers apart from it. Of equal scores the first container is best. Containers next to the chosen ones whose names promise text and
+        that score well beside them (SIBLING) belong to the same article.
+        """
         s = self.scores()
         best = max(range(len(s)), key=s.__getitem__)
-        return self._inside([i == best for i in range(len(s))]) if s[best] > 0 else ""
+        chosen = [i for i, p in enumerate(self.paths) if p == path and s[i] > 0]
+        if not chosen or self.good[best] and max(s[i] for i in chosen) < TEASER * s[best] and self._apart(chosen, best):
+            chosen = [best] if s[best] > 0 else []
+        beside = {self.parents[i]: max(s[j] for j in chosen if self.parents[j] == self.parents[i]) for i in chosen}
+        more = [i for i in range(1, len(s)) if self.good[i] and self.parents[i] in beside and s[i] >= SIBLING * beside[self.parents[i]]]
+        inside = [False] * len(s)
+        for i in chosen + more:
+            inside[i] = True
+        return self._inside(inside)
+
+    def _apart(self, chosen: list[int], best: int) -> bool:
+        """Whether the best container is neither one of these nor in or around one."""
+        inside = set(chosen)
+        at = best
+        while at >= 0 and at not in inside:
+            at = self.parents[at]
+        below = {best}
+        for i in range(best + 1, len(self.parents)):  # a container comes after those around it
+            if self.parents[i] in below:
+                below.add(i)
+        return at < 0 and inside.isdisjoint(below)
 
     def _inside(self, inside: list[bool]) -> str:
         if not any(inside):

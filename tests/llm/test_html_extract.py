@@ -115,3 +115,30 @@ def test_deep_nesting_is_linear(piece):
 def test_long_page_is_read_whole():
     html = "<article>" + "".join(f"<p>block {i}</p>" for i in range(50_000))
     assert Page(html).text(None).count("\n") == 49_999
+
+
+LONG = "Some long sentence of the article goes on here. " * 18
+
+
+def test_a_teaser_on_the_hosts_path_gives_way_to_the_article():
+    page = Page(f"<body><div class=content>Teaser one.</div><article><p>{LONG}</p></article>")
+    assert page.text("html>body>div.content") == LONG.strip()
+    around = Page(f"<body><div class=page>Lead. <article><p>{LONG}</p></article></div>")
+    assert around.text("html>body>div.page") == "Lead.\n" + LONG.strip()
+
+
+def test_an_article_in_two_containers_is_put_together():
+    page = Page(f"<body><div class=content><p>{LONG}</p></div><div class=other><p>{LONG}</p></div><div class=more-text><p>The end. {LONG[:500]}</p></div>")
+    assert page.text("html>body>div.content") == f"{LONG.strip()}\nThe end. {LONG[:500].strip()}"
+
+
+def test_a_page_wrapper_named_after_comments_stays():
+    assert Page(f'<body><div class="page comments"><article><p>{LONG}</p></article></div>').text(None) == LONG.strip()
+    comments = f'<body><div class=a><p>A short article.</p></div><div class=comments><article class=comment><p>{LONG}</p></article></div>'
+    assert Page(comments).text(None) == "A short article."
+
+
+def test_every_container_with_text_has_its_votes():
+    votes = dict(Page("<body><article><p>" + LONG * 30 + "</p></article><section><p>short one</p></section>").votes())
+    assert 0 < votes["html>body>section"] < votes["html>body>article"]
+    assert sum(votes.values()) <= 10**12
