@@ -15,6 +15,10 @@ from ..functions.uniform import uniform
 
 ENDS = ("DD", "DN", "ND", "NN", "P")
 
+# Components of a power grid and the pulse on its diagonal.
+GRID_OHM, GRID_FARAD, GRID_VOLT, FEED_OHM = 0.25, 5.37096111111111e-11, 1.8, 0.025
+GRID_PULSE = {"v1": 2.5099e-05, "v2": 0.0627475, "td": 1e-9, "tr": 1e-19, "tf": 1e-10, "pw": 1e-19, "per": 3e-09}
+
 
 def points(grids: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, nx, ny, nz, i, j, k): the points of each grid, from 0."""
@@ -62,9 +66,22 @@ def eigenvalues(grids: DataFrame, by: Sequence[str], ends: str | Sequence[str] =
     return p.select(*by, "i", "j", "k", (axes[0] + axes[1] + axes[2]).alias("value"))
 
 
-def eigenvector_1d(n: Column, m: Column, x: Column) -> Column:
-    """Component x of the m-th eigenvector, of length 1; both from 0, fixed ends."""
-    return F.sqrt(2.0 / (n + 1)) * F.sin(F.lit(math.pi) * (m + 1) * (x + 1) / (n + 1))
+def eigenvector_1d(n: Column, m: Column, x: Column, ends: str = "DD") -> Column:
+    """Component x of the m-th eigenvector, of length 1; both from 0, in eigenvalue_1d's order.
+
+    A wave of half the angle there: a sine from a fixed first end, a cosine from a free one; of a circle's pairs the cosine first.
+    """
+    at = lambda angle: F.lit(math.pi) * angle
+    if ends == "DD":
+        return F.sqrt(2.0 / (n + 1)) * F.sin(at((m + 1) * (x + 1) / (n + 1)))
+    if ends == "NN":
+        return F.sqrt(F.when(m == 0, 1.0).otherwise(2.0) / n) * F.cos(at(m * (x + 0.5) / n))
+    if ends == "P":
+        k = F.floor((m + 1) / 2)
+        angle = at(2 * k * x / n)
+        return F.sqrt(F.when((m == 0) | (2 * k == n), 1.0).otherwise(2.0) / n) * F.when((m == 0) | (m % 2 == 1), F.cos(angle)).otherwise(F.sin(angle))
+    wave = F.sin(at((m + 0.5) * (x + 1) / (n + 0.5))) if ends == "DN" else F.cos(at((m + 0.5) * (x + 0.5) / (n + 0.5)))
+    return F.sqrt(2.0 / (n + 0.5)) * wave
 
 
 def exponential_1d(sizes: DataFrame, by: Sequence[str], row: int = 0) -> DataFrame:
@@ -108,7 +125,7 @@ def power_grid(grids: DataFrame) -> DataFrame:
     about `share` of the places off the first row and column, drawn by a hash of circuit, layer and place.
     """
     kind = "struct<v1:double,v2:double,td:double,tr:double,tf:double,pw:double,per:double>"
-    pulse = F.struct(*[F.lit(v).alias(k) for k, v in zip(("v1", "v2", "td", "tr", "tf", "pw", "per"), (2.5099e-05, 0.0627475, 1e-9, 1e-19, 1e-10, 1e-19, 3e-09), strict=True)]).cast(kind)
+    pulse = F.struct(*[F.lit(v).alias(k) for k, v in GRID_PULSE.items()]).cast(kind)
     p = grids
     for axis, n in (("l", "layers"), ("x", "nx"), ("y", "ny")):
         p = p.withColumn(axis, F.explode(F.sequence(F.lit(1), F.col(n))))
@@ -124,12 +141,12 @@ def power_grid(grids: DataFrame) -> DataFrame:
     fed = (l == 1) & (y == 1)
     drawn = uniform(F.col("circuit"), l.cast("string"), x.cast("string"), y.cast("string")) < F.col("share")
     found = F.array(
-        part(F.lit(True), "c", "c", here, ground, 5.37096111111111e-11),
-        part(y < F.col("ny"), "r", "ry", here, node(l, x, y + 1), 0.25),
-        part(x < F.col("nx"), "r", "rx", here, node(l, x + 1, y), 0.25),
+        part(F.lit(True), "c", "c", here, ground, GRID_FARAD),
+        part(y < F.col("ny"), "r", "ry", here, node(l, x, y + 1), GRID_OHM),
+        part(x < F.col("nx"), "r", "rx", here, node(l, x + 1, y), GRID_OHM),
         part((l < F.col("layers")) & (x > 1) & (y > 1) & drawn, "v", "via", here, node(l + 1, x, y), 0.0),
-        part(fed, "v", "vdd", F.concat(F.lit("s"), name), ground, 1.8),
-        part(fed, "r", "rdd", F.concat(F.lit("s"), name), here, 0.025),
-        part((l == 1) & (x == y) & (x > 1), "i", "i", here, ground, 2.5099e-05, pulse),
+        part(fed, "v", "vdd", F.concat(F.lit("s"), name), ground, GRID_VOLT),
+        part(fed, "r", "rdd", F.concat(F.lit("s"), name), here, FEED_OHM),
+        part((l == 1) & (x == y) & (x > 1), "i", "i", here, ground, GRID_PULSE["v1"], pulse),
     )
     return p.select("circuit", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("p")).select("circuit", "p.*")

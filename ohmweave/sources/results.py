@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,26 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(*(F.col(n).cast(k).alias(n) for n, k in kinds))
 
 
-def cached(spark: SparkSession, folder: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """make()'s result under its parameters, as Parquet; made once. A key with seed -1 is never reused: it asks for chance."""
-    path = f"{folder}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()}"
-    fresh = key.get("seed") == -1
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    if fresh or not there:
-        make().write.mode("overwrite").parquet(path)
+def cached(spark: SparkSession, folder: str, key: dict, make: Callable[[], DataFrame], inputs: Sequence[DataFrame] = ()) -> DataFrame:
+    """make()'s result under its parameters and the state of its inputs' files, as Parquet; made once.
+
+    A key with seed -1 is never reused: it asks for chance. An input file of another name, size or time makes another result. A result is
+    written beside its place and moved there when it is whole, so that of two writers one wins and neither reads half a result.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    files = []
+    for name in sorted({f for df in inputs for f in df.inputFiles()}):
+        at = hadoop.Path(name)
+        told = at.getFileSystem(conf).getFileStatus(at)
+        files.append([name, told.getLen(), told.getModificationTime()])
+    path = f"{folder}/{hashlib.sha256(json.dumps([key, files], sort_keys=True).encode()).hexdigest()}"
+    place = hadoop.Path(path)
+    fs = place.getFileSystem(conf)
+    if key.get("seed") == -1 or not fs.exists(place):
+        own = f"{path}-{uuid.uuid4().hex}"
+        make().write.parquet(own)
+        if key.get("seed") == -1:
+            return spark.read.parquet(own)
+        if fs.exists(place) or not fs.rename(hadoop.Path(own), place):
+            fs.delete(hadoop.Path(own), True)
     return spark.read.parquet(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ohmweave.operators import graph, matrix, netlist
+from ohmweave.operators import generate, graph, matrix, netlist
 from ohmweave.plans import sweeps
 from ohmweave.sources import netlist_text
 
@@ -126,3 +126,18 @@ def test_runs_are_repeated_under_a_budget(spark):
     got = sweeps.repeated(lambda: spark.range(10).where(F.col("id") > 2), 60.0, 3)
     assert (got["runs"], got["rows"]) == (3, 7) and 0 < got["least"] <= got["mean"]
     assert sweeps.repeated(lambda: spark.range(5), 0.0001)["runs"] == 1
+
+
+@pytest.mark.parametrize("ends", generate.ENDS)
+def test_eigenvectors_of_every_kind_of_ends(spark, ends):
+    for size in (1, 2, 5, 6):
+        grid = spark.createDataFrame([(0, size, 1, 1)], "id int, nx int, ny int, nz int")
+        a = np.zeros((size, size))
+        for r in generate.laplacian(grid, ["id"], ends).collect():
+            a[r.row, r.col] = r.value
+        n, m, x = F.lit(size), F.col("m"), F.col("x")
+        p = spark.range(size).select(F.col("id").alias("m")).crossJoin(spark.range(size).select(F.col("id").alias("x")))
+        v, w = np.zeros((size, size)), np.zeros(size)
+        for r in p.select("m", "x", generate.eigenvector_1d(n, m, x, ends).alias("v"), generate.eigenvalue_1d(n, m, ends).alias("l")).collect():
+            v[r.x, r.m], w[r.m] = r.v, r.l
+        assert np.allclose(v.T @ v, np.eye(size)) and np.allclose(a @ v, v * w)

@@ -79,6 +79,23 @@ def test_printed_results_and_cache(spark, tmp_path):
     assert len(made) == 3
 
 
+def test_a_cached_result_goes_with_its_inputs(spark, tmp_path):
+    made = []
+
+    def of():
+        df = spark.read.text(str(tmp_path / "in"))
+        return results.cached(spark, str(tmp_path / "c"), {"k": 1}, lambda: made.append(1) or df, [df]).count()
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\n")
+    assert (of(), of(), len(made)) == (1, 1, 1)
+    (tmp_path / "in" / "b.txt").write_text("two\n")
+    assert (of(), of(), len(made)) == (2, 2, 2)
+    (tmp_path / "in" / "b.txt").write_text("two\nthree\n")
+    assert (of(), len(made)) == (3, 3)
+    assert len(list((tmp_path / "c").iterdir())) == 3
+
+
 @pytest.fixture
 def small_splits(spark):
     key = "spark.sql.files.maxPartitionBytes"
