@@ -192,7 +192,7 @@ class Model:
         found, i = [], 0
         while i < len(lines):
             best, end = alone[i], i + 1
-            w = lines[i][-longest:]
+            w = lines[i][-longest:]  # a template that begins in this line has no more words before its end
             if w and (w[-1] in openers or not any_pair.isdisjoint(pairs(w))):
                 most = matched(best[0], pairs(lines[i])) if best and best[2] >= share else 0
                 added = 0
@@ -287,10 +287,14 @@ def fit(lines: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, see
     return Model(families, number, weight, bias, float(temperature), confirm)
 
 
-def train(docs: DataFrame, most_lines: int = 4000, most_docs: int = 400, text_col: str = "text") -> Model:
-    """Fit against the lines of at most `most_docs` documents, by hash order, and at most `most_lines` of them."""
+def train(docs: DataFrame, most_lines: int = 4000, most_docs: int = 400, text_col: str = "text", most_chars: int = 20_000) -> Model:
+    """Fit against the lines of at most `most_docs` documents, by hash order, and at most `most_lines` of them.
+
+    The documents have fewer than `most_chars` characters each, so that what the driver holds is bounded. Only the fit is;
+    scan_licenses reads every text whole.
+    """
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    some = texts.select("text", F.xxhash64("text", F.lit("sample")).alias("h")).where(F.length("text") < 20_000)
+    some = texts.select("text", F.xxhash64("text", F.lit("sample")).alias("h")).where(F.length("text") < most_chars)
     hashes = some.select("h").distinct().orderBy("h").limit(most_docs)
     rows = some.join(F.broadcast(hashes), "h").select("h", "text").distinct().orderBy("h").collect()
     lines = [x for r in rows for x in r.text.split("\n") if x.strip()]
@@ -303,8 +307,8 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.8
 
     families: the confirmed families, sorted and comma-joined; n_licensed: paragraphs with one; n_unconfirmed:
     paragraphs that the classifier finds but no template confirms; best: the highest chance of a confirmed
-    paragraph, else 0. Of families alike in chance the first by name counts. Null and empty texts have none. Repeated rows and null ids get a row each. An empty
-    table gives an empty result. Other columns are not looked at.
+    paragraph, else 0. Of families alike in chance the first by name counts. Null and empty texts have none; long ones
+    are read whole, a line at a time. Repeated rows and null ids get a row each. An empty table gives an empty result. Other columns are not looked at.
     """
     model = model or train(docs, text_col=text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the templates
