@@ -17,6 +17,8 @@ All links are decided by the true similarity. No bucket is compared all with all
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, broadcast_if_small, connected_components, forget, join_split, made_of, stored
+from .common import BATCH_BYTES, bounded, broadcast_if_small, connected_components, forget, join_split, made_of, stored
 
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
@@ -79,7 +81,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
-        for b in bounded(batches, 2):
+        for b in freeing(batches, 2):
             sets = [shingle_set(x) for x in b.column(2).to_pylist()]
             fps = np.array([fingerprint(x) for x in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_id, sets), pa.int64()), pa.array(fps)], names=["doc_id", "text_hash", "node", "fp"])
@@ -102,7 +104,7 @@ def buckets(texts: DataFrame, t: float, common) -> DataFrame:
     """BUCKET rows for each shingle of each text's prefix, of the keys that several rows have. texts: text; common: broadcast."""
 
     def run(batches):
-        for b in bounded(batches, 0):
+        for b in freeing(batches, 0):
             yield bucket_rows([(set_id(g), len(g), prefix(g, common.value, t)) for g in map(shingle_set, b.column(0).to_pylist())])
 
     return several(texts.mapInArrow(run, BUCKET))
@@ -117,6 +119,14 @@ def bucket_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n)], names=["key", "node", "n"])
 
 
+def freeing(batches, column: int):
+    """bounded in runs of half the size; what a task has freed goes back to the system at its end, since idle workers keep it otherwise."""
+    yield from bounded(batches, column, BATCH_BYTES // 2)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def several(rows: DataFrame) -> DataFrame:
     """The BUCKET rows whose key is not alone, a batch and a row at a time whatever a key's number of rows."""
 
@@ -222,7 +232,7 @@ def known_sets(texts: DataFrame) -> DataFrame:
     """(node, grams): the whole sets, sorted. texts: node, text."""
 
     def sets(batches):
-        for b in bounded(batches, 1):
+        for b in freeing(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["node", "grams"])
 
     return stored(texts.mapInArrow(sets, "node long, grams binary"), "sets")
@@ -264,7 +274,7 @@ def beside_heads(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def partners_of(batches):
     """(list of (a, its set, b, its set)) for each batch of beside_heads."""
     head, mine = None, np.empty(0, np.uint64)
-    for batch in bounded(batches, 3):
+    for batch in freeing(batches, 3):
         out = []
         for i, (a, part, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
             grams = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
@@ -328,7 +338,7 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     known = known_sets(pick(nodes))
 
     def cut(batches):
-        for b in bounded(batches, 1):
+        for b in freeing(batches, 1):
             sets = [np.frombuffer(x, dtype=np.uint64) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([slice_of(x).tobytes() for x in sets], pa.binary())], names=["node", "n", "slice"])
 
