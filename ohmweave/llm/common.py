@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..sources.store import broadcast_if_small, forget, join_split, made_of, shared_dir, stored, table
 
-__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "made_of", "shared_dir", "smaller_batches", "stored", "table"]
+__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "made_of", "shared_dir", "smaller_batches", "stored", "table", "tidy"]
 
 BATCH_BYTES = 8 << 20
 
@@ -35,6 +36,13 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BY
             at = end
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have executors drop the broadcasts of finished joins: Spark's cleaner learns of them only as the driver collects garbage,
+    and a driver that needs little memory hardly ever does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def smaller_batches(spark: SparkSession, most: int = BATCH_BYTES // 2):
     """Arrow batches of about `most` bytes at most for what runs inside; the session's own setting is back after it."""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, bounded, broadcast_if_small, connected_components, forget, join_split, made_of, stored
+from .common import BATCH_BYTES, bounded, broadcast_if_small, connected_components, forget, join_split, made_of, stored, tidy
 
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
@@ -316,7 +316,10 @@ def difference_buckets(rows: DataFrame, heads: DataFrame, known: DataFrame, comm
 
     # keys of different heads never meet, so that each round can be written by itself and disk holds one round's sets
     turns = [met.where(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(ROUNDS)) == k) for k in range(ROUNDS)]
-    rounds = [stored(several(beside_heads(turn, known).mapInArrow(run, BUCKET)), "differences") for turn in turns]
+    rounds = []
+    for turn in turns:
+        rounds.append(stored(several(beside_heads(turn, known).mapInArrow(run, BUCKET)), "differences"))
+        tidy(turn.sparkSession)
     forget(met)
     return made_of(reduce(DataFrame.unionByName, rounds), *rounds)
 
@@ -336,6 +339,7 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     tried = stored(head_pairs(rows, heads, t).unionByName(ends).distinct(), "pairs")
     nodes = stored(rows.select("node").unionByName(ends.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "nodes")
     known = known_sets(pick(nodes))
+    tidy(spark)
 
     def cut(batches):
         for b in freeing(batches, 1):
@@ -348,6 +352,7 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
         may = stored(plausible(pairs, slices, t), "pairs")
         out = stored(verified(may, known, t), "links")
         forget(may)
+        tidy(spark)
         return out
 
     links, spent = decided(tried), [rows, heads, large, tried, nodes, known, slices]

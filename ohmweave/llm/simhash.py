@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import bounded, broadcast_if_small, connected_components, forget, join_split, made_of, smaller_batches, stored
+from .common import bounded, broadcast_if_small, connected_components, forget, join_split, made_of, smaller_batches, stored, tidy
 
 FULL = (1 << 64) - 1
 
@@ -243,6 +243,7 @@ def _left(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> Dat
 
     sample = heads.select("node").orderBy(F.xxhash64("node")).limit(2000)
     proposed = ball_links(heads.select("node", "fp"))
+    tidy(docs.sparkSession)
     links = jaccard.similar_links(texts, pick, sample, proposed, similarity)
     roots = connected_components(links)
     rooted = stored(representatives.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
