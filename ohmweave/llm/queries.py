@@ -31,7 +31,9 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets_by_ledger(table(spark, sf_dir, "documents"), secrets.Ledger(spark))
+    docs = table(spark, sf_dir, "documents")
+    # a ledger that knows the base rules' findings in half the rows: all of docs is scanned and reported all the same
+    return secrets.find_secrets_by_ledger(docs, secrets.Ledger(spark), earlier=docs.where("doc_id % 2 = 0"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, forget, join_split, shared_dir, stored
+from .common import broadcast_if_small, forget, join_split, made_of, shared_dir, stored
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, ledger: Da
         have = dict(wanted.groupBy("rule").agg(F.countDistinct("blob")).collect())  # a row for each rule
     due = [r for r in rules if have.get(r.key, 0) < total]
     if not due:
-        new = versions.sparkSession.createDataFrame([], LEDGER)
+        new = made_of(versions.sparkSession.createDataFrame([], LEDGER), at_hand)
         return new, new if ledger is None else wanted
     if id_col:
         repeated = broadcast_if_small(at_hand.where("n > 1").select("blob", "keep", F.lit(True).alias("again")), 400_000, F.lit(80))
@@ -118,6 +118,7 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, ledger: Da
     raw = once.select("blob", found.alias("found")).dropDuplicates(["blob"])  # rows of one id and text were both scanned
     raw = stored(raw.select("blob", F.inline("found")).where(F.col("steps").isNotNull()), "matches")
     new = stored(placed(raw, tuple(due)), "scanned")
+    new = made_of(new, new, at_hand)  # the state reads both
     forget(raw)
     return new, new if ledger is None else wanted.unionByName(new)
 
@@ -158,18 +159,19 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = EXTRA, ledger: DataF
     return reported(docs, state, every, id_col, text_col)
 
 
-def find_secrets_by_ledger(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """find_secrets over a stored ledger: the base rules are brought up to date first, then all; the second update meets
-    the first one's pairs in the ledger and scans for the added rules alone."""
+def find_secrets_by_ledger(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = EXTRA, earlier: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """find_secrets over a stored ledger, which is brought up to date twice: with the base rules over `earlier`, the rows
+    that were there first (all of docs, if not given), then with all rules over docs. The second update scans for the base
+    rules only in blobs that the ledger lacks, for the added rules in all."""
     every = BASE + tuple(rules)
-    ledger.update(docs, BASE, text_col, id_col)
-    ledger.update(docs, every, text_col, id_col)
+    forget(ledger.update(docs if earlier is None else earlier, BASE, text_col, id_col))
+    forget(ledger.update(docs, every, text_col, id_col))
     return reported(docs, ledger.read(), every, id_col, text_col)
 
 
 def reported(docs: DataFrame, state: DataFrame, every: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
-    """The ledger's findings joined back to every row of docs."""
-    hits = state.where((F.size("spans") > 0) & F.col("rule").isin([r.key for r in every])).withColumn("kind", F.substring_index("rule", ":", 1))
+    """The ledger's findings joined back to every row of docs; a pair that two writers appended at once counts once."""
+    hits = state.where((F.size("spans") > 0) & F.col("rule").isin([r.key for r in every])).dropDuplicates(["blob", "rule"]).withColumn("kind", F.substring_index("rule", ":", 1))
     order = F.create_map(*[x for i, r in enumerate(every) for x in (F.lit(r.kind), F.lit(i))])
     rows = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("order"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("all"))
     per_blob = rows.groupBy("blob").agg(F.flatten(F.collect_list("all")).alias("all"))  # a row for each rule at most

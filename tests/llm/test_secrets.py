@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from ohmweave.llm import secrets
 from ohmweave.llm.common import table
 
@@ -95,6 +97,26 @@ def test_a_stored_ledger_is_scanned_once(spark, sf_dir):
     assert {r.rule for r in other.update(docs, id_col="doc_id").select("rule").distinct().collect()} == {r.key for r in secrets.EXTRA}
 
 
+def test_later_rows_meet_a_ledger_that_knows_some_blobs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.unionByName(docs.limit(30).withColumn("doc_id", F.col("doc_id") + 1_000_001)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    earlier, ledger = docs.where("doc_id % 2 = 0"), secrets.Ledger(spark)
+    known = {r.blob for r in ledger.update(earlier, secrets.BASE, id_col="doc_id").select("blob").distinct().collect()}
+    assert 0 < len(known) < docs.select("text").distinct().count()
+    later = ledger.update(docs, id_col="doc_id").select("blob", "rule").collect()
+    base = {r.key for r in secrets.BASE}
+    assert known.isdisjoint(r.blob for r in later if r.rule in base)
+    assert ledger.read().groupBy("blob", "rule").count().where("count > 1").count() == 0
+    whole = found(secrets.find_secrets(docs))
+    assert found(secrets.find_secrets_by_ledger(docs, ledger, earlier=earlier)) == whole
+    assert found(secrets.find_secrets_by_ledger(docs, secrets.Ledger(spark), earlier=earlier)) == whole
+    # two writers at once
+    ledger.read().where("size(spans) > 0").limit(50).coalesce(1).write.mode("append").parquet(ledger.at + "-more")
+    doubled = secrets.Ledger(spark, ledger.at)
+    spark.read.schema(secrets.LEDGER).parquet(ledger.at + "-more").write.mode("append").parquet(ledger.at)
+    assert found(secrets.find_secrets_by_ledger(docs, doubled, earlier=earlier)) == whole
+
+
 def test_many_matches_ties_and_copies(spark):
     many = "g ".join(f"{i:024x}" for i in range(64_000))
     tie = "secret=" + "ab" * 16  # assign, with a hex run inside
