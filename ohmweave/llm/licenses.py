@@ -6,6 +6,8 @@ corpus' own lines. Its chances are calibrated by a temperature on held-out rows
 of families that were not, which should be none; a family is predicted only at a chance of `sure` or more: what falls
 between is unknown. A prediction counts once one of the family's templates confirms it by the share of its word pairs
 that the paragraph has, unless the paragraph denies the licence, or names another version or a word of another family.
+A line that states several licences (a tag such as `License: MIT OR Apache-2.0`, or `under either of A or B`) is also
+judged as one short statement for each of them, by the same classifier and templates.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ GNU_WARRANTY = "This program is distributed in the hope that it will be useful,
 UNDER = "This work is licensed under the {}."
 RELEASED = "Released under the {}."
 SPDX = "SPDX-License-Identifier: {}"
+LICENSED = "Licensed under the {}."
 CREATIVE = "This work is licensed under a Creative Commons {} 4.0 International License."
 
 
@@ -39,7 +42,7 @@ def gnu(name: str, short: str, version: str, tags: str) -> tuple[str, ...]:
 
 
 TEMPLATES = {
-    "AGPL": gnu("Affero ", "AGPL", "3", "AGPL-3.0-only AGPL-3.0-or-later"),
+    "AGPL": gnu("Affero ", "AGPL", "3", "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -52,6 +55,10 @@ TEMPLATES = {
         RELEASED.format("BSD License"),
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         SPDX.format("BSD-3-Clause"),
         SPDX.format("BSD-2-Clause"),
     ),
@@ -62,16 +69,19 @@ TEMPLATES = {
     "CC0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under CC0 1.0 Universal.", SPDX.format("CC0-1.0")),
     "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", RELEASED.format("Eclipse Public License, version 2.0"), SPDX.format("EPL-2.0")),
     "GPL": (
-        *gnu("", "GPL", "3", "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later"),
+        *gnu("", "GPL", "3", "GPL-2.0 GPL-3.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later"),
         GNU.format("", "2"),
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", RELEASED.format("ISC License"), SPDX.format("ISC")),
-    "LGPL": (*gnu("Lesser ", "LGPL", "3", "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later"), GNU.replace("program", "library").format("Lesser ", "2.1")),
+    "LGPL": (*gnu("Lesser ", "LGPL", "3", "LGPL-2.1 LGPL-3.0 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later"), GNU.replace("program", "library").format("Lesser ", "2.1")),
     "MIT": (
         RELEASED.format("MIT License"),
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
         "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree.",
         SPDX.format("MIT"),
     ),
@@ -87,16 +97,90 @@ TEMPLATES = {
     "WTFPL": ("This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License.", SPDX.format("WTFPL")),
     "Zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", RELEASED.format("zlib License"), SPDX.format("Zlib")),
 }
+# Names by which statements call the families, after LICENSED.
+SHORT = {
+    "AGPL": ("AGPL v3",),
+    "Apache-2.0": ("Apache 2.0", "Apache License"),
+    "Artistic-2.0": ("Artistic License",),
+    "BSD": ("BSD",),
+    "BSL-1.0": ("Boost Software License",),
+    "EPL-2.0": ("Eclipse Public License", "EPL 2.0"),
+    "GPL": ("GPL", "GPL v2", "GPL v3"),
+    "ISC": ("ISC",),
+    "LGPL": ("LGPL", "LGPL v3"),
+    "MIT": ("MIT",),
+    "MPL-2.0": ("Mozilla Public License", "MPL 2.0"),
+    "PostgreSQL": ("PostgreSQL License",),
+    "Unlicense": ("Unlicense",),
+    "WTFPL": ("WTFPL",),
+    "Zlib": ("zlib",),
+}
+TEMPLATES = {f: (*ts, *(LICENSED.format(x) for x in SHORT.get(f, ()))) for f, ts in TEMPLATES.items()}
+# A template that has such words of its family confirms only texts that have one of them too.
+NAMES = {
+    "AGPL": {"affero", "agpl"},
+    "Apache-2.0": {"apache"},
+    "Artistic-2.0": {"artistic"},
+    "BSD": {"bsd"},
+    "BSL-1.0": {"boost", "bsl"},
+    "CC-BY": {"cc", "creative"},
+    "CC-BY-NC": {"cc", "creative"},
+    "CC-BY-SA": {"cc", "creative"},
+    "CC0": {"cc0"},
+    "EPL-2.0": {"eclipse", "epl"},
+    "GPL": {"gnu", "gpl"},
+    "ISC": {"isc"},
+    "LGPL": {"gnu", "lgpl"},
+    "MIT": {"mit"},
+    "MPL-2.0": {"mozilla", "mpl"},
+    "PostgreSQL": {"postgresql"},
+    "Python-2.0": {"psf", "python"},
+    "Unlicense": {"unlicense"},
+    "WTFPL": {"fuck", "wtfpl"},
+    "Zlib": {"zlib"},
+}
+# Words of licences that repeat a family's paragraphs and add others, within NEAR lines: the family's nameless templates don't count there.
+RELATIVES = {"BSD": {"openssl", "ssleay", "php", "apache"}, "MIT": {"boost", "unencumbered", "unlicense"}}
+NEAR = 40
 # Words of which a family's notices have one in any case, and words that speak for another family.
 NEEDS = {"AGPL": {"affero", "agpl"}, "LGPL": {"lesser", "lgpl", "library"}, "CC-BY-NC": {"nc", "noncommercial"}, "CC-BY-SA": {"sa", "sharealike"}, "WTFPL": {"wtfpl", "fuck"}, "Python-2.0": {"python", "psf"}}
 BARS = {"GPL": {"lesser", "lgpl", "affero", "agpl", "library"}, "LGPL": {"affero", "agpl"}, "CC-BY": {"nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives", "noderivs"}, "CC-BY-NC": {"sa", "sharealike", "nd", "noderivatives", "noderivs"}, "CC-BY-SA": {"nc", "noncommercial"}}
 VERSIONS = {"Apache-2.0": {"2", "2.0"}, "Artistic-2.0": {"2", "2.0"}, "BSL-1.0": {"1", "1.0"}, "EPL-2.0": {"2", "2.0"}, "MPL-2.0": {"2", "2.0"}}
 VERBS = frozenset("licensed released distributed covered available governed published made under".split())
 NONE = "none"
+UNCONFIRMED = 0.3  # the most that the share of a template counts which lacks its name or a part of its identifier
+
+
+TAG = re.compile(r"(?i)\b(?:spdx(?:-license-identifier)?|licen[sc]es?)[\"']?\s*[:=]\s*(.+)")
+UNDER_WHAT = re.compile(r"(?i)\b(?:licen[sc]ed|released|distributed|available|published|covered)\b[^.;:]*?\bunder\s+(.+)")
+BETWEEN = re.compile(r"(?i)\s+(?:or|and)\s+|[/|]|,(?!\s*v(?:ersion)?[\s.\d])")
+LEAD = re.compile(r"(?i)^(?:(?:either|both|any|one|of|the|a|an|terms|conditions|your|choice|option|at)\s+)+")
 
 
 def words_of(paragraph: str) -> list[str]:
-    return WORD.findall(paragraph.lower())
+    return WORD.findall(paragraph.lower().replace("gplv", "gpl v"))
+
+
+def statements(line: str, most_words: int = 6) -> list[list[str]]:
+    """For each licence that a line names in a tag or after `under`, short statements of it, to be judged one after the other.
+
+    Names are parted by or, and, slash, bar or comma; one of over `most_words` words is no name. An exception (WITH) is not part
+    of it, a closing + stands for -or-later.
+    """
+    met = TAG.search(line)
+    tagged = bool(met)
+    met = met or UNDER_WHAT.search(line)
+    if not met:
+        return []
+    rest = re.split(r"[.;:](?:\s|$)", met[1])[0]
+    out = []
+    for name in BETWEEN.split(re.sub(r"[()\"'<>*#]", " ", rest)):
+        name = LEAD.sub("", re.sub(r"(?i)\s+(?:with|at\s+your)\s.*", "", name.strip())).strip()
+        name = re.sub(r"\+$", "-or-later", name)
+        if 0 < len(words_of(name)) <= most_words:
+            plain = re.sub(r"(?i)\s+licen[sc]es?$", "", name)
+            out.append(([SPDX.format(name)] if tagged and " " not in name else []) + [LICENSED.format(x) for x in dict.fromkeys((name, plain))])
+    return out
 
 
 def grams(words: list[str]) -> list:
@@ -114,7 +198,7 @@ def excluded(family: str, there: set[str]) -> bool:
 def denied(words: list[str]) -> bool:
     """Whether the text says that it is not licensed so: a negation up to three words before the verb, in no condition."""
     for k, w in enumerate(words):
-        if w in ("not", "never", "isn", "wasn", "aren") or w == "longer" and k and words[k - 1] == "no":
+        if w in ("not", "never", "isn", "wasn", "aren", "previously", "formerly") or w == "longer" and k and words[k - 1] == "no":
             if not VERBS.isdisjoint(words[k + 1 : k + 4]) and "if" not in words[max(0, k - 8) : k]:
                 return True
     return False
@@ -169,22 +253,43 @@ class Model:
             return 0.0
         if family in VERSIONS and named and named.isdisjoint(VERSIONS[family]):
             return 0.0
-        shares = ((len(t & have) / len(t), ("spdx", "license") in t) for t in self.confirm[family])
-        return max(x if not whole or x == 1 else min(x, 0.3) for x, whole in shares)
-
-    def scan(self, text: str, sure: float, share: float) -> list[tuple[str, float, float]]:
-        """What judge finds in each paragraph of text.
-
-        A line is also judged together with the lines that follow it up to a blank line, a confirmed one or the
-        longest template's number of words; a confirmed run that has more word pairs of a template than the
-        line alone counts as one paragraph.
+        text = "".join(words)
+        has = lambda name: name in words or len(name) > 4 and name in text  # noqa: E731  a long one may be broken by a wrap
+        best = 0.0
+        for t in self.confirm[family]:
+            x, names = len(t & have) / len(t), {w for p in t for w in p if w in NAMES.get(family, ())}
+            lacking = bool(names) and not any(map(has, names)) or ("spdx", "license") in t and x < 1
+            best = max(best, min(x, UNCONFIRMED) if lacking else x)
+        return best
+
+    def stated(self, line: str, sure: float, share: float) -> list[tuple[str, float, float]]:
+        """What templates confirm of the statements of a line, once for each family; nothing where it denies them."""
+        each = statements(line)
+        if not each or denied(words_of(line)):
+            return []
+        out = {}
+        for forms in each:
+            judged = (self.judge(x, sure, share) for x in forms)
+            got = next((j for j in judged if j and j[2] >= share), None)
+            if got:
+                out.setdefault(got[0], got)
+        return list(out.values())
+
+    def scan(self, text: str, sure: float, share: float, window: int | None = None) -> list[tuple[str, float, float]]:
+        """What judge finds in each paragraph of text; further families that a line states follow, one by one.
+
+        Every line is judged whole. It is also judged together with the lines that follow it up to a blank line or a confirmed
+        one; a confirmed run that has more word pairs of a template than the line alone counts as one paragraph. Of such a run
+        `window` words of each line count, and lines join while the ones before have fewer: two more than the
+        longest template has pairs of words, unless given.
         """
-        lines = [words_of(x) for x in text.split("\n")]
+        raw = text.split("\n")
+        lines = [words_of(x) for x in raw]
         alone = [self.judge_words(w, sure, share) for w in lines]
         templates = [t for ts in self.confirm.values() for t in ts]
         any_pair = set().union(*templates)
         openers = {a for a, _ in any_pair}
-        longest = max(map(len, templates)) + 1
+        longest = window or max(map(len, templates)) + 2
 
         def matched(family, have):
             return max(len(t & have) for t in self.confirm[family] if len(t & have) >= share * len(t))
@@ -207,8 +312,15 @@ class Model:
                     got = self.judge_words(w, sure, share)
                     if got and got[2] >= share and matched(got[0], here) > most:
                         best, end, most = got, j + 1, matched(got[0], here)
+            if best and best[2] >= share and not RELATIVES.get(best[0], set()).isdisjoint(w for x in lines[max(0, i - NEAR) : end + NEAR] for w in x):
+                if NAMES[best[0]].isdisjoint(w for x in lines[i:end] for w in x):
+                    best = (*best[:2], min(best[2], UNCONFIRMED))
+            more = self.stated(" ".join(raw[i:end]), sure, share)
+            if best and best[2] < share and more:
+                best = None
             if best:
                 found.append(best)
+            found += [j for j in more if not best or j[0] != best[0]]
             i = end
         return found
 
@@ -302,13 +414,13 @@ def train(docs: DataFrame, most_lines: int = 4000, most_docs: int = 400, text_co
     return fit(lines[:most_lines])
 
 
-def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.8, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.8, share: float = 0.6, window: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, families, n_licensed, n_unconfirmed, best) for every row of docs.
 
-    families: the confirmed families, sorted and comma-joined; n_licensed: paragraphs with one; n_unconfirmed:
+    families: the confirmed families, sorted and comma-joined; n_licensed: paragraphs with one, once for each of its families; n_unconfirmed:
     paragraphs that the classifier finds but no template confirms; best: the highest chance of a confirmed
     paragraph, else 0. Of families alike in chance the first by name counts. Null and empty texts have none; long ones
-    are read whole, a line at a time. Repeated rows and null ids get a row each. An empty table gives an empty result. Other columns are not looked at.
+    are read whole, a line at a time (window: see Model.scan). Repeated rows and null ids get a row each. An empty table gives an empty result. Other columns are not looked at.
     """
     model = model or train(docs, text_col=text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the templates
@@ -319,7 +431,7 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.8
         for b in bounded(batches, 1):
             out = []
             for text in b.column(1).to_pylist():
-                found = m.scan(text or "", sure, share)
+                found = m.scan(text or "", sure, share, window)
                 good = [j for j in found if j[2] >= share]
                 out.append((",".join(sorted({j[0] for j in good})), len(good), len(found) - len(good), round(max((j[1] for j in good), default=0.0), 6)))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64()]
