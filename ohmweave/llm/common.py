@@ -44,7 +44,7 @@ def tidy(spark: SparkSession) -> None:
 
 
 @contextmanager
-def smaller_batches(spark: SparkSession, most: int = BATCH_BYTES // 2):
+def smaller_batches(spark: SparkSession, most: int = BATCH_BYTES // 8):
     """Arrow batches of about `most` bytes at most for what runs inside; the session's own setting is back after it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

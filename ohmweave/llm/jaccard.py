@@ -2,7 +2,8 @@
 
 Candidates come from a prefix filter, which loses none: put the shingles of all texts in one order; two sets of
 similarity t share a shingle among the first n - ceil(t * n) + 1 of each. The order is by hash, with shingles that
-are common in a bounded sample last, so that a much repeated line makes no large bucket; any order is lossless.
+are common in a bounded sample, or that crowd a bucket of that first order, last, so that a much repeated line makes no
+large bucket however many texts there are; any order is lossless.
 
 All links are decided by the true similarity. No bucket is compared all with all while its members are many:
 
@@ -11,7 +12,7 @@ All links are decided by the true similarity. No bucket is compared all with all
 2. Members of large buckets are told apart by what they have and the head lacks, or the other way about. If x is not
    linked to head h but is to y, the sets x ^ h and y ^ h overlap, so the same filter finds the pair by a prefix of
    these differences (at most n * (1 - t) / t + 1 shingles, those that the head lacks first). These buckets of
-   differences meet heads of their own, as before.
+   differences meet heads of their own, as before. A large bucket of one component is left out.
 3. Small buckets and those of differences compare what still lies in different components.
 """
 
@@ -33,6 +34,7 @@ from .common import BATCH_BYTES, bounded, broadcast_if_small, connected_componen
 
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
+CROWD = 8  # members of a bucket whose shingle isn't put last
 PARTNERS = 256  # of a head in one part of a task
 ROUNDS = 8  # by which the members of large buckets are worked on, one after the other
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -100,14 +102,32 @@ def common_shingles(sample: DataFrame, most: int = 100_000, least: int = 3) -> n
 BUCKET = "key long, node long, n int"
 
 
-def buckets(texts: DataFrame, t: float, common) -> DataFrame:
-    """BUCKET rows for each shingle of each text's prefix, of the keys that several rows have. texts: text; common: broadcast."""
+def prefix_rows(texts: DataFrame, t: float, common) -> DataFrame:
+    """BUCKET rows for each shingle of each text's prefix. texts: text; common: broadcast."""
 
     def run(batches):
         for b in freeing(batches, 0):
             yield bucket_rows([(set_id(g), len(g), prefix(g, common.value, t)) for g in map(shingle_set, b.column(0).to_pylist())])
 
-    return several(texts.mapInArrow(run, BUCKET))
+    return texts.mapInArrow(run, BUCKET)
+
+
+def buckets(texts: DataFrame, t: float, common) -> DataFrame:
+    """prefix_rows of the keys that several rows have."""
+    return several(prefix_rows(texts, t, common))
+
+
+def crowded(texts: DataFrame, t: float, common, most: int = 100_000) -> np.ndarray:
+    """`common` and the keys of the largest buckets that it leads to, sorted: a bounded sample misses what is common only in a large table."""
+    counts = prefix_rows(texts, t, common).groupBy("key").count().where(F.col("count") > CROWD)
+    keys = counts.orderBy(F.desc("count"), "key").limit(most).select("key").toArrow().column(0).to_numpy()
+    return np.union1d(common.value, keys.astype(np.int64).view(np.uint64))
+
+
+def unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key): the buckets whose members lie in several components."""
+    rooted = rows.join(roots, "node", "left").select("key", F.coalesce("component", "node").alias("root"))
+    return rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
 
 
 def bucket_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -331,7 +351,9 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     nodes, a bounded number; proposed: (a, b), pairs to try first.
     """
     spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(pick(sample)))
+    sampled = spark.sparkContext.broadcast(common_shingles(pick(sample)))
+    common = spark.sparkContext.broadcast(crowded(texts, t, sampled))
+    sampled.unpersist()
     rows = stored(buckets(texts, t, common), "buckets")
     heads = stored(heads_of(rows), "heads")
     large = stored(heads.where(F.col("members") > SMALL), "large")
@@ -359,8 +381,11 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     roots = connected_components(links)
     big = broadcast_if_small(large.select("key"))
     small_rows = rows.join(big, "key", "left_anti")
-    if large.limit(1).count():
-        apart = difference_buckets(rows.join(big, "key", "left_semi"), large, known, common, t)
+    mixed_keys = stored(unsettled(rows.join(big, "key", "left_semi"), roots), "unsettled")
+    spent.append(mixed_keys)
+    if mixed_keys.limit(1).count():
+        asked = broadcast_if_small(mixed_keys)
+        apart = difference_buckets(rows.join(asked, "key", "left_semi"), large.join(asked, "key", "left_semi"), known, common, t)
         near = stored(heads_of(apart), "heads")
         again = stored(across(head_pairs(apart, near, t), roots).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = decided(again)

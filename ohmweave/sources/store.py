@@ -86,9 +86,10 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """
     counted = left.groupBy(key).count() if counts is None else counts
     bar = max(least, (left.count() if total is None else total) // parts)
-    hot = [r[0] for r in counted.where((F.col("count") > bar) & F.col(key).isNotNull()).select(key).collect()]  # fewer than `parts`
-    if not hot:
+    hot = counted.where((F.col("count") > bar) & F.col(key).isNotNull()).select(key).toArrow()  # fewer than `parts`
+    if not hot.num_rows:
         return left.join(right, key, how)
-    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema))
+    # a table of Arrow stays on the driver; a list would have every executor keep Python workers of another kind for it
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(key).schema))
     few = F.broadcast(right.join(keys, key, "left_semi"))
     return left.join(keys, key, "left_semi").join(few, key, how).unionByName(left.join(keys, key, "left_anti").join(right, key, how))

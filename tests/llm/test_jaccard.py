@@ -2,8 +2,10 @@
 
 import random
 
-from ohmweave.llm import simhash
-from ohmweave.llm.common import table
+import numpy as np
+
+from ohmweave.llm import jaccard, simhash
+from ohmweave.llm.common import smaller_batches, table
 
 
 def grams(text):
@@ -133,3 +135,38 @@ def test_texts_below_the_similarity_stay(spark):
     want = brute_kept(rows)
     assert want == [i for g in range(4) for i in (10 * g, 10 * g + 2)]
     assert kept(spark, rows) == want
+
+
+def no_differences(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("members of a large bucket are told apart again")
+
+    monkeypatch.setattr(jaccard, "difference_buckets", refuse)
+
+
+def test_a_large_bucket_of_one_component_is_done(spark, monkeypatch):
+    rng, w = random.Random(11), zipf(random.Random(12), 300)
+    rows = []
+    for k in range(60):
+        x = list(w)
+        x[rng.randrange(len(x))] = f"edit{k}"
+        rows.append((k, " ".join(x)))
+    no_differences(monkeypatch)
+    assert kept(spark, rows) == brute_kept(rows) == [0]
+
+
+def test_a_line_that_the_sample_misses_makes_no_large_bucket(spark):
+    rng, line = random.Random(13), " ".join(f"line13x{i}" for i in range(16))
+    texts = spark.createDataFrame([(" ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) + " " + line,) for _ in range(60)], "text string")
+    order = spark.sparkContext.broadcast(np.empty(0, np.uint64))
+    largest = lambda common: jaccard.buckets(texts, 0.8, common).groupBy("key").count().agg({"count": "max"}).first()[0] or 0
+    assert largest(order) == 60
+    assert largest(spark.sparkContext.broadcast(jaccard.crowded(texts, 0.8, order))) <= jaccard.SMALL
+
+
+def test_workers_get_batches_of_a_megabyte(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with smaller_batches(spark):
+        assert int(spark.conf.get(key).rstrip("b")) <= 1 << 20
+    assert spark.conf.get(key) == before

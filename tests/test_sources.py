@@ -1,6 +1,6 @@
 import pytest
 
-from ohmweave.sources import matrix_text, netlist_text, results
+from ohmweave.sources import matrix_text, netlist_text, results, store
 
 LINES = ["A Title V1", "* comment", "", "Vdd a 0 1.8", "R1 a,b (2.5)", "i1 b 0 1e-3 pulse(1,2,3,4,5,6,7)", "C1 b 0 1e-9", "L1 b c 3", "? what", ".tran 1e-2 1", ".print tran V(b) v( c )", ".print ac v(z)", ".end"]
 
@@ -135,3 +135,13 @@ def test_written_vectors_and_dense_matrices(spark, tmp_path):
 def test_an_empty_vector(spark, tmp_path):
     (tmp_path / "v").write_text("0\n\n")
     assert matrix_text.read_vector(spark, str(tmp_path / "v")).count() == 0
+
+
+def test_hot_keys_of_a_join_need_no_python_workers(spark):
+    rows = [(b"hub", k) for k in range(300)] + [(bytes([k]), k) for k in range(20)] + [(None, 0)]
+    left = spark.createDataFrame(rows, "key binary, n int")
+    right = spark.createDataFrame([(b"hub", "x"), (bytes([3]), "y")], "key binary, name string")
+    left, right = store.stored(left, "left"), store.stored(right, "right")
+    out = store.join_split(left, right, "key", "left")
+    assert sorted((r.n, r.name or "") for r in out.collect()) == sorted((n, "x" if k == b"hub" else "y" if k == bytes([3]) else "") for k, n in rows)
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()
