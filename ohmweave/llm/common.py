@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..sources.store import broadcast_if_small, forget, join_split, made_of, shared_dir, stored, table
 
-__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "join_split", "made_of", "shared_dir", "smaller_batches", "stored", "table", "tidy"]
+__all__ = ["bounded", "broadcast_if_small", "connected_components", "crc32_of_id", "forget", "freeing", "give_back", "join_split", "made_of", "shared_dir", "smaller_batches", "stored", "table", "tidy"]
 
 BATCH_BYTES = 8 << 20
 
@@ -36,6 +37,19 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BY
             at = end
 
 
+def freeing(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """bounded in runs of half the size; what a task has freed goes back to the system at its end."""
+    yield from bounded(batches, column, BATCH_BYTES // 2)
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system: an idle worker, and the task of another operator that gets it next, keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(spark: SparkSession) -> None:
     """Have executors drop the broadcasts of finished joins: Spark's cleaner learns of them only as the driver collects garbage,
     and a driver that needs little memory hardly ever does."""

@@ -18,8 +18,6 @@ All links are decided by the true similarity. No bucket is compared all with all
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
@@ -30,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, bounded, broadcast_if_small, connected_components, forget, join_split, made_of, stored, tidy
+from .common import broadcast_if_small, connected_components, forget, freeing, join_split, made_of, stored, tidy
 
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
@@ -139,14 +137,6 @@ def bucket_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n)], names=["key", "node", "n"])
 
 
-def freeing(batches, column: int):
-    """bounded in runs of half the size; what a task has freed goes back to the system at its end, since idle workers keep it otherwise."""
-    yield from bounded(batches, column, BATCH_BYTES // 2)
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def several(rows: DataFrame) -> DataFrame:
     """The BUCKET rows whose key is not alone, a batch and a row at a time whatever a key's number of rows."""
 

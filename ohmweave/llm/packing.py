@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, stored
+from .common import freeing, smaller_batches, stored
 
 CAPACITY = 2048
 LONG_SPACE = 50_000
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
 
     def run(batches):
         encode, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
-        for b in bounded(batches, 1):
+        for b in freeing(batches, 1):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text or "")
@@ -186,7 +186,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPAC
     A document is its text's ids and id 0, so a null or empty text is one piece of length 1. Repeated rows and
     null ids are packed like any other; a text of any length is cut whole. An empty table gives an empty result. Extra columns are not looked at.
     """
-    cut = stored(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
+    with smaller_batches(docs.sparkSession):
+        cut = stored(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

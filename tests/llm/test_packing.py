@@ -64,6 +64,16 @@ def test_one_very_long_text_beside_many_short_ones(spark, ids_of):
     assert len(got) == len(rows)
 
 
+def test_workers_get_batches_of_a_megabyte(spark, monkeypatch, ids_of):
+    key, seen, real = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.stored
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "stored", lambda df, what: seen.append(spark.conf.get(key)) or real(df, what))
+    rows = [(i, "some words " * 300 * (i % 7)) for i in range(400)]
+    check(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, ids_of)
+    assert [int(x.rstrip("b")) <= 1 << 20 for x in seen] == [True]
+    assert spark.conf.get(key) == before
+
+
 def test_edge_rows(spark, ids_of):
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x"), (5, "<|endoftext|> é\x00 \n\t  z"), (6, " ".join(f"w{i}" for i in range(9_000)))]
     df = spark.createDataFrame([(i, t, 7, 1) for i, t in rows], "doc_id long, text string, length int, task int")
