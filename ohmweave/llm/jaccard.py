@@ -9,18 +9,16 @@ All links are decided by the true similarity. No bucket is compared all with all
 
 1. Pairs that another search proposes (SimHash balls), and each member of a bucket with heads of it: members of least
    hash, one in a bucket of up to SMALL members, three in a larger one. The links found give components.
-2. Members of large buckets are told apart by what they have and the head lacks, or the other way about. If x is not
-   linked to head h but is to y, the sets x ^ h and y ^ h overlap, so the same filter finds the pair by a prefix of
-   these differences (at most n * (1 - t) / t + 1 shingles, those that the head lacks first). These buckets of
-   differences meet heads of their own, as before. A large bucket of one component is left out.
-3. Small buckets and those of differences compare what still lies in different components.
+2. Members of large buckets that still hold several components are compared by bitmaps (see bits_of), whose bits differ no
+   more than the sets do: all of a first head's members in blocks, first each member with the nearest of another
+   component, then all pairs that are left. What the bitmaps allow is decided as before; a large bucket of one component is left out.
+3. Small buckets compare what still lies in different components.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, forget, freeing, join_split, made_of, stored, tidy
+from .common import broadcast_if_small, connected_components, forget, freeing, give_back, join_split, made_of, stored, tidy
 
 WIDTH = 5
 SMALL = 32  # members of a bucket that are compared all with all
 CROWD = 8  # members of a bucket whose shingle isn't put last
 PARTNERS = 256  # of a head in one part of a task
-ROUNDS = 8  # by which the members of large buckets are worked on, one after the other
+BLOCK = 1024  # members of a head that are compared with as many others in one piece of work
+MOST_BITS = 1 << 18  # of a set's bitmap
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -248,24 +247,38 @@ def known_sets(texts: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(sets, "node long, grams binary"), "sets")
 
 
-def slice_of(grams: np.ndarray) -> np.ndarray:
-    """Distinct 16-bit values of a quarter of the shingles, by hash."""
-    return np.unique((grams[(grams >> np.uint64(16)) & np.uint64(3) == 0]).astype(np.uint16))
+def bits_of(grams: np.ndarray) -> np.ndarray:
+    """The set as a bitmap of a power of two of bits, four a shingle or more: a bit is on if an odd number of shingles fall on it.
+
+    Two bitmaps of one size differ in no more bits than the sets differ in shingles, and a bitmap folds to half its size.
+    """
+    size = min(MOST_BITS, max(256, 1 << int(4 * len(grams) - 1).bit_length())) if len(grams) else 256
+    hits = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(hits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
-def plausible(pairs: DataFrame, slices: DataFrame, t: float) -> DataFrame:
-    """The pairs without those whose slices alone differ in more shingles than a similarity of t allows; loses none."""
-    sides = [slices.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("slice").alias(f"slice_{c}")) for c in ("a", "b")]
+def may_be_similar(n: np.ndarray, m: np.ndarray, differ: np.ndarray, t: float) -> np.ndarray:
+    return differ <= n + m - 2 * least_overlap(n, m, t)
+
+
+def plausible(pairs: DataFrame, bitmaps: DataFrame, t: float) -> DataFrame:
+    """The pairs without those whose bitmaps alone differ in more shingles than a similarity of t allows; loses none."""
+    sides = [bitmaps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b")]
 
     def run(batches):
         for batch in batches:
             n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4))
-            most = n + m - 2 * least_overlap(n, m, t)
-            sets = [[np.frombuffer(x, dtype=np.uint16) for x in batch.column(i).to_pylist()] for i in (3, 5)]
-            keep = [len(np.setxor1d(x, y, assume_unique=True)) <= k for x, y, k in zip(*sets, most, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(i).to_pylist()] for i in (3, 5)]
+            differ = np.array([np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum() for x, y in zip(*sets, strict=True)], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(n, m, differ, t), pa.bool_()))
 
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "slice_a", "n_b", "slice_b")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -308,30 +321,84 @@ def verified(pairs: DataFrame, known: DataFrame, t: float) -> DataFrame:
     return beside_heads(pairs, known).mapInArrow(run, "a long, b long")
 
 
-def differences(head: np.ndarray, grams: np.ndarray, common: np.ndarray, t: float) -> np.ndarray:
-    """The first shingles of the set's difference from a head's: what the head lacks (common ones last), then what it has."""
-    more, less = np.setdiff1d(grams, head, assume_unique=True), np.setdiff1d(head, grams, assume_unique=True)
-    late = np.isin(more, common, assume_unique=True)
-    return np.r_[more[~late], more[late], less][: int(len(grams) * (1 - t) / t + 1e-9) + 1]
+def near_in_block(node: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[bytes], t: float, nearest: bool):
+    """Arrays (a, b) of pairs of different roots (and sides, if there are two) that their bitmaps allow; of each node only the nearest if asked."""
+    by = np.argsort(n, kind="stable")
+    node, n, root, side, bits = node[by], n[by].astype(np.int64), root[by], side[by], [np.frombuffer(bits[i], dtype=np.uint64) for i in by.tolist()]
+    ends, two = np.searchsorted(n, n / t + 1e-9, side="right"), side.min() < side.max()
+    least, other = np.full(len(n), 1 << 62), np.zeros(len(n), np.int64)
+    words = np.array([len(x) for x in bits])
+    for w in np.unique(words).tolist():
+        first, last = np.flatnonzero(words == w)[[0, -1]].tolist()  # words grow with n
+        table = np.stack([folded(x, w) for x in bits[first : int(ends[last])]])
+        for i in range(first, last + 1):
+            to = np.arange(i + 1, int(ends[i]))
+            to = to[(root[to] != root[i]) & ((side[to] != side[i]) | (not two))]
+            if not len(to):
+                continue
+            differ = np.bitwise_count(table[to - first] ^ table[i - first]).sum(axis=1, dtype=np.int64)
+            ok = may_be_similar(n[i], n[to], differ, t)
+            to, differ = to[ok], differ[ok]
+            if not nearest:
+                yield np.full(len(to), node[i]), node[to]
+            elif len(to):
+                k = int(np.argmin(differ))
+                if differ[k] < least[i]:
+                    least[i], other[i] = differ[k], to[k]
+                closer = to[differ < least[to]]
+                least[closer], other[closer] = differ[differ < least[to]], i
+    has = np.flatnonzero(least < 1 << 62)
+    if len(has):
+        yield node[has], node[other[has]]
+
+
+def difference_buckets(members: DataFrame, bitmaps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(piece, a, i, j, own, node, root, n, bits): the pieces of work (a, i, j) in which a head's members are compared, of heads with several components.
+
+    A head's members are dealt to blocks by hash, and every two blocks meet in a piece of their own: no task holds more than two.
+    """
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    sizes = rooted.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("a", "blocks")
+    dealt = rooted.join(broadcast_if_small(sizes), "a").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.select("a", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root")
+    full = met.join(bitmaps, "node").select(F.xxhash64("a", "i", "j").alias("piece"), "a", "i", "j", "own", "node", "root", "n", "bits")
+    return full.repartition("piece").sortWithinPartitions("piece", "a", "i", "j")
 
 
-def difference_buckets(rows: DataFrame, heads: DataFrame, known: DataFrame, common, t: float) -> DataFrame:
-    """BUCKET rows by (first head, shingle of the difference from it) of the members of large buckets."""
-    met = stored(join_split(rows, heads, "key", counts=sizes_of(heads)).select(F.col("h0.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "members")
+def near_members(members: DataFrame, bitmaps: DataFrame, roots: DataFrame, t: float, nearest: bool) -> DataFrame:
+    """(a, b): members of one head, of different components, that may be similar by their bitmaps. members: a (the head), node."""
 
     def run(batches):
-        for members in partners_of(batches):
-            seed = {a: mixed(np.array([a], np.int64).view(np.uint64)) for a, _, _, _ in members}
-            yield bucket_rows([(b, len(y), mixed(differences(x, y, common.value, t) ^ seed[a])) for a, x, b, y in members])
+        held, now = [], None
+
+        def pairs():
+            node, root, own, n, bits = zip(*held, strict=True)
+            root, own = np.array(root), np.array(own)
+            if (root == root[0]).all() or now[1] != now[2] and own.min() == own.max():
+                return
+            found, count = [], 0
+            for x in near_in_block(np.array(node), np.array(n), root, own, bits, t, nearest):
+                found.append(x)
+                count += len(x[0])
+                if count > 1 << 18:
+                    yield pair_batch(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                    found, count = [], 0
+            if count:
+                yield pair_batch(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
-    # keys of different heads never meet, so that each round can be written by itself and disk holds one round's sets
-    turns = [met.where(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(ROUNDS)) == k) for k in range(ROUNDS)]
-    rounds = []
-    for turn in turns:
-        rounds.append(stored(several(beside_heads(turn, known).mapInArrow(run, BUCKET)), "differences"))
-        tidy(turn.sparkSession)
-    forget(met)
-    return made_of(reduce(DataFrame.unionByName, rounds), *rounds)
+        for b in batches:
+            for *key, own, node, root, n, bits in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                if key != now:
+                    if held:
+                        yield from pairs()
+                    held, now = [], key
+                held.append((node, root, own, n, bits))
+        if held:
+            yield from pairs()
+        give_back()
+
+    return difference_buckets(members, bitmaps, roots).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], sample: DataFrame, proposed: DataFrame, t: float = 0.8) -> DataFrame:
@@ -356,18 +423,18 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     def cut(batches):
         for b in freeing(batches, 1):
             sets = [np.frombuffer(x, dtype=np.uint64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([slice_of(x).tobytes() for x in sets], pa.binary())], names=["node", "n", "slice"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([bits_of(x).tobytes() for x in sets], pa.binary())], names=["node", "n", "bits"])
 
-    slices = stored(known.mapInArrow(cut, "node long, n int, slice binary"), "slices")
+    bitmaps = stored(known.mapInArrow(cut, "node long, n int, bits binary"), "bitmaps")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        may = stored(plausible(pairs, slices, t), "pairs")
+        may = stored(plausible(pairs, bitmaps, t), "pairs")
         out = stored(verified(may, known, t), "links")
         forget(may)
         tidy(spark)
         return out
 
-    links, spent = decided(tried), [rows, heads, large, tried, nodes, known, slices]
+    links, spent = decided(tried), [rows, heads, large, tried, nodes, known, bitmaps]
     roots = connected_components(links)
     big = broadcast_if_small(large.select("key"))
     small_rows = rows.join(big, "key", "left_anti")
@@ -375,16 +442,17 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     spent.append(mixed_keys)
     if mixed_keys.limit(1).count():
         asked = broadcast_if_small(mixed_keys)
-        apart = difference_buckets(rows.join(asked, "key", "left_semi"), large.join(asked, "key", "left_semi"), known, common, t)
-        near = stored(heads_of(apart), "heads")
-        again = stored(across(head_pairs(apart, near, t), roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+        held = large.join(asked, "key", "left_semi")
+        members = join_split(rows.join(asked, "key", "left_semi"), held.select("key", "h0"), "key", counts=sizes_of(held)).select(F.col("h0.node").alias("a"), "node")
+        members = stored(members.distinct(), "members")
+        again = stored(near_members(members, bitmaps, roots, t, True).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = decided(again)
         links = made_of(links.unionByName(more), links, more)
         forget(roots)
         roots = connected_components(links)
-        left = cross_pairs(small_rows, roots, t).unionByName(cross_pairs(apart, roots, t)).distinct()
+        left = cross_pairs(small_rows, roots, t).unionByName(near_members(members, bitmaps, roots, t, False)).distinct()
         left = left.join(again, ["a", "b"], "left_anti")
-        spent += [apart, near, again]
+        spent += [members, again]
     else:
         left = cross_pairs(small_rows, roots, t)
     rest = stored(left.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -392,10 +460,3 @@ def similar_links(texts: DataFrame, pick: Callable[[DataFrame], DataFrame], samp
     forget(roots, rest, *spent)  # links alone are read from here on
     common.unpersist()
     return made_of(links.unionByName(last), links, last)
-
-
-def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    for end in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.where("root_a <> root_b").select("a", "b")

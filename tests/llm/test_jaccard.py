@@ -170,3 +170,58 @@ def test_workers_get_batches_of_a_megabyte(spark):
     with smaller_batches(spark):
         assert int(spark.conf.get(key).rstrip("b")) <= 1 << 20
     assert spark.conf.get(key) == before
+
+
+def test_bitmaps_differ_no_more_than_the_sets():
+    rng = np.random.default_rng(14)
+    for n in (1, 5, 64, 65, 300, 2000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.1, 0.5, 1.0):
+            y = np.unique(np.r_[x[rng.random(len(x)) >= share], rng.integers(0, 1 << 63, int(n * share)).astype(np.uint64)])
+            a, b = jaccard.bits_of(x), jaccard.bits_of(y)
+            assert np.bitwise_count(jaccard.folded(a, len(b)) ^ jaccard.folded(b, len(a))).sum() <= len(np.setxor1d(x, y))
+    assert len(jaccard.bits_of(np.empty(0, np.uint64))) == 4
+
+
+def test_members_of_a_head_meet_whatever_their_blocks(spark, monkeypatch):
+    """All pairs of different components that are similar enough are found in blocks of any size, the nearest of each node among them."""
+    rng = np.random.default_rng(15)
+    base, sets = rng.integers(0, 1 << 63, 200).astype(np.uint64), {}
+    for k in range(60):
+        own = rng.integers(0, 1 << 63, rng.integers(0, 30)).astype(np.uint64)
+        sets[k] = np.unique(np.r_[base[rng.random(200) >= rng.random() / 6], own])
+    root = {k: k % 7 for k in sets}
+    similar = {(i, j) for i in sets for j in sets if i < j and root[i] != root[j] and 1.8 * len(np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j])) - 1e-9}
+    assert 100 < len(similar) < 1400
+    members = spark.createDataFrame([(1, k) for k in sets], "a long, node long")
+    roots = spark.createDataFrame(list(root.items()), "node long, component long")
+    bitmaps = spark.createDataFrame([(k, len(x), bytearray(jaccard.bits_of(x).tobytes())) for k, x in sets.items()], "node long, n int, bits binary")
+    for block in (1024, 9):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = lambda nearest: {tuple(r) for r in jaccard.near_members(members, bitmaps, roots, 0.8, nearest).collect()}  # noqa: E731, B023
+        every, few = got(False), got(True)
+        assert similar <= every
+        assert all(root[a] != root[b] for a, b in every)
+        assert few <= every
+        assert {x for p in few for x in p} == {x for p in every for x in p}
+
+
+def test_unlike_copies_of_one_text_are_told_apart_without_pairs(spark, monkeypatch):
+    """Pairs that reach the join with the sets grow with the copies, not with their square."""
+    rng, rows, seen, real = random.Random(16), [], [], jaccard.plausible
+    w = zipf(rng, 300)
+    for k in range(500):
+        x = list(w)
+        for _ in range(rng.randint(0, 12)):
+            x[rng.randrange(300)] = f"e{rng.random()}"
+        rows.append((k, " ".join(x)))
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "plausible", counted)
+    want = brute_kept(rows)
+    assert 100 < len(want) < 450
+    assert kept(spark, rows) == want
+    assert sum(seen) < 20 * len(rows), seen
