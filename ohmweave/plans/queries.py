@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -762,11 +763,16 @@ d as (select f, a, sum(q) d from e group by all), m as (select e.f, e.a as row,
 
 def spread_matrix(spark, sf_dir) -> DataFrame:
     """For each return flag the graph of parts and suppliers as a walk: rows of weights that sum to 1, less the identity."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), text("p", "l_partkey").alias("a"), text("s", "l_suppkey").alias("b"), F.col("l_quantity").alias("q"))
-    e = matrix.summed(li.select("f", F.col("a").alias("row"), F.col("b").alias("col"), F.col("q").alias("value")).unionByName(li.select("f", F.col("b").alias("row"), F.col("a").alias("col"), F.col("q").alias("value"))), ["f"])
-    d = e.groupBy("f", "row").agg(F.sum("value").alias("d"))
-    walk_rows = e.join(d, ["f", "row"]).select("f", "row", "col", (F.col("value") / F.col("d")).alias("value"))
-    return stored(walk_rows.unionByName(d.select("f", "row", F.col("row").alias("col"), F.lit(-1.0).alias("value"))), "spread")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"))
+    pairs = stored(li.groupBy("f", "p", "s").agg(F.sum("q").alias("q")), "pairs")  # both directions weigh the same
+    out = []
+    for own, other in (("p", "s"), ("s", "p")):
+        d = pairs.groupBy("f", own).agg(F.sum("q").alias("d"))
+        out.append(pairs.join(d, ["f", own]).select("f", text(own, own).alias("row"), text(other, other).alias("col"), (F.col("q") / F.col("d")).alias("value")))
+        out.append(d.select("f", text(own, own).alias("row"), text(own, own).alias("col"), F.lit(-1.0).alias("value")))
+    spread = stored(reduce(DataFrame.unionByName, out), "spread")
+    forget(pairs)
+    return spread
 
 
 def series_sql(terms: int) -> str:

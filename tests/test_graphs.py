@@ -76,6 +76,29 @@ def test_exponential_of_the_two_state_system(spark):
     assert got == {0: 1.2133544, 1: 0.6993177}
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_terms_of_a_series_join_no_keys(spark, monkeypatch, small):
+    """Packed products in parts, strips and values of any size; with them no term joins the matrix's keys."""
+    if small:
+        for name, x in (("PLACE", 3), ("CHUNK", 5), ("STRIP", 20)):
+            monkeypatch.setattr(matrix, name, x)
+    rng, seen, real = np.random.default_rng(5), [], matrix.times
+    a = np.where(rng.random((40, 40)) < 0.15, rng.standard_normal((40, 40)) / 4, 0.0)
+    a[:, 7], a[11] = 0.05, 0.02  # a hub's column and row
+    start, force = rng.standard_normal(40), rng.standard_normal(40)
+    monkeypatch.setattr(matrix, "times", lambda *x: seen.append(1) or real(*x))
+    key = lambda i: f"n{i}"
+    m = spark.createDataFrame([(key(i), key(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)] + [("n0", "gone", 5.0), ("n1", "n1", None)], "row string, col string, value double")
+    x, b = (spark.createDataFrame([(key(i), float(z)) for i, z in enumerate(v) if i % 5 or k], "idx string, value double") for k, v in enumerate((start, force)))
+    start[::5] = 0
+    got = {r.idx: r.value for r in matrix.ode_solution(m, x, b, 0.5).collect()}
+    e = expm(np.block([[a, force[:, None]], [np.zeros((1, 41))]]) * 0.5)
+    want = e[:40, :40] @ start + e[:40, 40]
+    assert len(got) == 40
+    assert np.allclose([got[key(i)] for i in range(40)], want, atol=1e-9)
+    assert not seen
+
+
 @pytest.mark.parametrize("m", [1, 7, 40])
 def test_least_sums_without_the_product(spark, m):
     rng = random.Random(m)
